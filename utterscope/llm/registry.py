@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from utterscope.llm.decontaminate import op5_decontamination
+from utterscope.llm.html_text import op1_html_text
+from utterscope.llm.quality import op7_quality
+from utterscope.llm.secrets import op2_secret_scan
 from utterscope.llm.token_count import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
+        "op2_secret_scan": op2_secret_scan,
         "op4_token_counts": op4_token_counts,
+        "op5_decontamination": op5_decontamination,
+        "op7_quality": op7_quality,
     }
 
 
