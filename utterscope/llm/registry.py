@@ -10,6 +10,8 @@ from utterscope.llm.decontaminate import op5_decontamination
 from utterscope.llm.html_text import op1_html_text
 from utterscope.llm.quality import op7_quality
 from utterscope.llm.secrets import op2_secret_scan
+from utterscope.llm.sharding import op3_sharding
+from utterscope.llm.simhash import op8_simhash
 from utterscope.llm.token_count import op4_token_counts
 
 
@@ -17,9 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op2_secret_scan": op2_secret_scan,
+        "op3_sharding": op3_sharding,
         "op4_token_counts": op4_token_counts,
         "op5_decontamination": op5_decontamination,
         "op7_quality": op7_quality,
+        "op8_simhash": op8_simhash,
     }
 
 
