@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from utterscope.llm import lm_score, packing, topk
 from utterscope.llm.decontaminate import op5_decontamination
 from utterscope.llm.html_text import op1_html_text
+from utterscope.llm.lm_score import op10_lm_score
+from utterscope.llm.packing import op9_packing
 from utterscope.llm.quality import op7_quality
 from utterscope.llm.secrets import op2_secret_scan
 from utterscope.llm.sharding import op3_sharding
 from utterscope.llm.simhash import op8_simhash
 from utterscope.llm.token_count import op4_token_counts
+from utterscope.llm.topk import op6_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +26,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_token_counts": op4_token_counts,
         "op5_decontamination": op5_decontamination,
+        "op6_topk": op6_topk,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
+        "op9_packing": op9_packing,
+        "op10_lm_score": op10_lm_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_topk": topk.ORACLE_SQL,
+        "op9_packing": packing.ORACLE_SQL,
+        "op10_lm_score": lm_score.ORACLE_SQL,
+    }
