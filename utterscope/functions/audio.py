@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STT_RATE = 16_000
 WINDOW_SECONDS = 0.02
@@ -82,13 +83,22 @@ def resampled(samples: np.ndarray, source: int, target: int = STT_RATE) -> np.nd
     return (np.fft.irfft(kept, n) * (n / len(samples))).astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def resample(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Mono float samples at 16 kHz."""
     return pd.Series([None if s is None else resampled(np.asarray(s, np.float64), int(r)) for s, r in zip(samples, rate)])
 
 
-def prepare_for_stt(samples: Column, rate: Column, channels: Column) -> Column:
-    """Mono 16 kHz float samples of a recording; an invalid recording is an error."""
-    checked = F.when((rate <= 0) | (F.size(samples) == 0), F.raise_error(F.lit("recording has no samples or no sample rate")).cast("array<smallint>")).otherwise(samples)
-    return resample(mono(checked, channels), rate)
+def stt_samples(samples: np.ndarray, rate: int, channels: int) -> np.ndarray:
+    """Mono 16 kHz float samples of interleaved 16-bit ones; an invalid recording is an error."""
+    if rate <= 0 or not len(samples):
+        raise ValueError("recording has no samples or no sample rate")
+    if channels <= 0 or len(samples) % channels:
+        raise ValueError("recorded audio contains an incomplete frame")
+    return resampled(np.asarray(samples, np.float64).reshape(-1, channels).mean(axis=1) / 32768, rate)
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def prepare_for_stt(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
+    """stt_samples of each recording; null for null."""
+    return pd.Series([None if s is None else stt_samples(s, int(r), int(c)) for s, r, c in zip(samples, rate, channels)])

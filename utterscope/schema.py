@@ -52,10 +52,13 @@ def event_schema(producer_version: str = "app_version") -> T.StructType:
     return T.StructType.fromDDL(event_ddl(producer_version))
 
 
-LABEL_SCHEMA = T.StructType.fromDDL(
-    "schema_version SMALLINT, event_id STRING, labeled_at STRING, actual_speech BOOLEAN, corrected_transcript STRING, correct_intent STRING, notes STRING"
-)
-PLAN_SCHEMA = T.StructType.fromDDL("schema_version INT, campaign STRING, prompts ARRAY<STRUCT<id: STRING, transcript: STRING, intent: STRING>>")
+LABEL_DDL = "schema_version SMALLINT, event_id STRING, labeled_at STRING, actual_speech BOOLEAN, corrected_transcript STRING, correct_intent STRING, notes STRING"
+PLAN_DDL = "schema_version INT, campaign STRING, prompts ARRAY<STRUCT<id: STRING, transcript: STRING, intent: STRING>>"
+
+
+def label_schema() -> T.StructType:
+    return T.StructType.fromDDL(LABEL_DDL)
+
 
 #: Paths that every line must have; a line without one is an error, as is a null there.
 EVENT_REQUIRED = (

@@ -55,13 +55,12 @@ def _parsed(lines: DataFrame, schema: T.StructType, required: Sequence[str], wro
 
 def split_events(spark: SparkSession, path: str | Sequence[str], producer_version: str = "app_version") -> tuple[DataFrame, DataFrame]:
     """Valid events with their place, and the place and value of invalid lines."""
-    record = F.col("record")
     wrong = (
-        ~record["execution_result.status"].isin(*S.STATUSES)
-        | ~F.coalesce(record["collection.source"], F.lit("prompted")).isin(*S.COLLECTION_SOURCES)
-        | (F.coalesce(F.least(record["vad.speech_windows"], record["vad.silence_windows"], record["vad.duration_ms"], record["vad.trailing_silence_ms"]), F.lit(0)) < 0)
-        | (record["collection"].isNotNull() & record["collection.source"].isNull())
-        | (record["prediction"].isNotNull() & record["prediction.intent"].isNull())
+        ~F.col("record.execution_result.status").isin(*S.STATUSES)
+        | ~F.coalesce(F.col("record.collection.source"), F.lit("prompted")).isin(*S.COLLECTION_SOURCES)
+        | (F.coalesce(F.least(F.col("record.vad.speech_windows"), F.col("record.vad.silence_windows"), F.col("record.vad.duration_ms"), F.col("record.vad.trailing_silence_ms")), F.lit(0)) < 0)
+        | (F.col("record.collection").isNotNull() & F.col("record.collection.source").isNull())
+        | (F.col("record.prediction").isNotNull() & F.col("record.prediction.intent").isNull())
         | F.col("value").rlike(r'"ground_truth"\s*:\s*null')
     )
     schema = S.event_schema(producer_version)
@@ -77,8 +76,9 @@ def split_labels(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFr
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         lines = spark.createDataFrame([], "value string, file string, line_no bigint")
-    parsed = _parsed(lines, S.LABEL_SCHEMA, S.LABEL_REQUIRED, F.lit(False))
-    return parsed.where("not invalid").select(*[f"record.{f.name}" for f in S.LABEL_SCHEMA], *PLACE), parsed.where("invalid").select(*PLACE, "value")
+    schema = S.label_schema()
+    parsed = _parsed(lines, schema, S.LABEL_REQUIRED, F.lit(False))
+    return parsed.where("not invalid").select(*[f"record.{f.name}" for f in schema], *PLACE), parsed.where("invalid").select(*PLACE, "value")
 
 
 def _raise_first(bad: DataFrame, what: str) -> None:
@@ -120,13 +120,14 @@ def _json_line(df: DataFrame, always: Sequence[str], optional: Sequence[str]) ->
 def append_events(events: DataFrame, path: str) -> None:
     """Append as JSON lines; provenance, collection and ground_truth are left out where null."""
     optional = ("provenance", "collection", "ground_truth")
-    names = [f.name for f in S.event_schema()]
-    df = events.select(*names)
+    fields = S.event_schema().fields
+    names = [f.name for f in fields]
+    df = events.select(*[F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     df.select(_json_line(df, [n for n in names if n not in optional], optional).alias("value")).write.mode("append").text(path)
 
 
 def append_labels(labels: DataFrame, path: str) -> None:
-    df = labels.select(*S.LABEL_SCHEMA.fieldNames())
+    df = labels.select(*S.label_schema().fieldNames())
     df.select(_json_line(df, df.columns, ()).alias("value")).write.mode("append").text(path)
 
 
@@ -141,7 +142,7 @@ class InvalidPlan(ValueError):
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     """campaign, place, prompt_id, transcript and intent of a plan's prompts, after checking the plan."""
-    plans = spark.read.schema(S.PLAN_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    plans = spark.read.schema(S.PLAN_DDL).option("multiLine", True).option("mode", "FAILFAST").json(path)
     check_plan(plans)
     return plans.select("campaign", F.posexplode("prompts").alias("place", "prompt")).select(
         "campaign", "place", F.col("prompt.id").alias("prompt_id"), "prompt.transcript", "prompt.intent"

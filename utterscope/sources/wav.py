@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-WAV = "samples array<smallint>, sample_rate_hz int, channels int"
+WAV = T.StructType([T.StructField("samples", T.ArrayType(T.ShortType())), T.StructField("sample_rate_hz", T.IntegerType()), T.StructField("channels", T.IntegerType())])
 
 
 def encode(samples: np.ndarray, rate: int, channels: int) -> bytes:
@@ -32,7 +33,7 @@ def decode(content: bytes) -> tuple[np.ndarray, int, int]:
         return np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.int16), w.getframerate(), w.getnchannels()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_bytes(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else encode(s, int(r), int(c)) for s, r, c in zip(samples, rate, channels)])
 
