@@ -58,6 +58,12 @@ def byte_chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterat
         yield start, run
 
 
+def safe_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names that clash with nothing, and those names by the old ones, in order."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def map_texts(
     df: DataFrame,
     text: str,

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import mixed, run_hashes, runs
-from utterscope.llm.common import byte_chunks, map_texts, table
+from utterscope.llm.common import byte_chunks, map_texts, safe_names, table
 
 WINDOW = 10
 PART_WORDS = 1_000_000
@@ -270,11 +270,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     All columns stay; texts without such spans, null among them, are unchanged.
     """
     shared = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers_of(benchmark, window=window)]
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
+    plain, names = safe_names(docs)
     fields = [T.StructField("__clean", T.StringType()), T.StructField("__keep", T.BooleanType())]
-    made = map_texts(plain, names[docs.columns.index(text)], partial(_cleaned, shared=shared, max_span=max_span, max_coverage=max_coverage), fields, names)
-    return made.where("__keep").select(*[F.col("__clean" if c == text else n).alias(c) for n, c in zip(names, docs.columns)])
+    cleaned = partial(_cleaned, shared=shared, max_span=max_span, max_coverage=max_coverage)
+    made = map_texts(plain, names[text], cleaned, fields, [n for c, n in names.items() if c != text])
+    return made.where("__keep").select(*[F.col("__clean" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

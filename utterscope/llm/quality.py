@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import run_hashes, runs, sums_between
-from utterscope.llm.common import map_texts, table
+from utterscope.llm.common import map_texts, safe_names, table
 
 BITS = 17
 DIM = 8
@@ -35,18 +35,19 @@ WORDS, CHARS = 0, 1 << BITS
 REPEATS = 2 << BITS
 BUCKETS = REPEATS + 1 + len(LAGS)
 FIELDS = 3
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 
 
-def _field_features(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(position, bucket) of each feature, by field, of code points whose white space is 32."""
+def _field_features(points: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(position, bucket) of each feature, by field, of code points whose white space is 32; no feature spans two texts."""
     word = points != 32
     starts, ends = runs(word)
     hashes = run_hashes(points, starts, ends)
     words = WORDS + (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     again = np.zeros(len(hashes), np.int64)
+    text = np.searchsorted(bounds, starts, side="right")
     for lag in reversed(LAGS):
-        again[lag:][hashes[lag:] == hashes[:-lag]] = lag
+        again[lag:][(hashes[lag:] == hashes[:-lag]) & (text[lag:] == text[:-lag])] = lag
     at, grams = [], []
     wide = points.astype(np.uint32)
     for n in GRAMS:
@@ -84,8 +85,7 @@ def _points(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _doc_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and the weight of each in the averaged vectors."""
-    points, _ = _points([text])
-    groups = _field_features(points)
+    groups = _field_features(*_points([text]))
     buckets, weights = [], []
     for field in range(FIELDS):
         own = [b for (_, b), f in zip(groups, FIELD_OF) if f == field and len(b)]
@@ -121,7 +121,7 @@ class Classifier:
     def _logits(self, texts: Sequence[str | None]) -> np.ndarray:
         points, bounds = _points(texts)
         sums, counts = np.zeros((FIELDS, len(texts))), np.zeros((FIELDS, len(texts)))
-        for (position, bucket), field in zip(_field_features(points), FIELD_OF):
+        for (position, bucket), field in zip(_field_features(points, bounds), FIELD_OF):
             cuts = np.searchsorted(position, bounds)
             sums[field] += sums_between(self.weight[bucket], cuts)
             counts[field] += np.diff(cuts)
@@ -203,10 +203,9 @@ def score_quality(docs: DataFrame, model: Classifier, text: str = "text", keep:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows whose text scores at least `threshold`, with their columns unchanged."""
     model = fit_on_labels(docs, labels, text, key)
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    scored = score_quality(plain, model, names[docs.columns.index(text)], names)
-    return scored.where(F.col("score") >= threshold).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    plain, names = safe_names(docs)
+    scored = score_quality(plain, model, names[text], list(names.values()))
+    return scored.where(F.col("score") >= threshold).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

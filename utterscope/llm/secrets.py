@@ -21,9 +21,10 @@ from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utterscope.llm.common import map_texts, table
+from utterscope.llm.common import map_texts, safe_names, table
 
 #: Patterns of the base kinds, in their order. Fixed values.
 KINDS = ("assign", "access", "hex", "markov")
@@ -182,9 +183,10 @@ def _masked(texts: Sequence[str | None], model: MarkovRatio, least: float, mark:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", model: MarkovRatio | None = None, least: float = MIN_RATIO) -> DataFrame:
     """All rows and columns, with the secrets of `text` replaced by `mark`; a null text stays null."""
-    keep = [c for c in docs.columns if c != text]
-    made = map_texts(docs, text, partial(_masked, model=model or default_model(), least=least, mark=mark), [T.StructField("__masked", T.StringType())], keep)
-    return made.withColumnRenamed("__masked", text).select(*[f"`{c}`" for c in docs.columns])
+    plain, names = safe_names(docs)
+    masked = partial(_masked, model=model or default_model(), least=least, mark=mark)
+    made = map_texts(plain, names[text], masked, [T.StructField("__masked", T.StringType())], [n for c, n in names.items() if c != text])
+    return made.select(*[F.col("__masked" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
