@@ -16,8 +16,11 @@ from utterscope.llm.quality import keep_good
 from utterscope.llm.secrets import redact
 from utterscope.llm.simhash import deduplicate
 
-#: Differing fingerprint bits up to which the near-duplicate stage links two documents.
-NEAR_BITS = 6
+#: Near-duplicates: shingles of five words, at most NEAR_BITS differing bits in one of two fingerprints and BOTH_BITS of
+#: 128 in both together, which is what a shingle similarity of 0.8 or more comes to (about 19 bits are expected at 0.8).
+SHINGLE = 5
+NEAR_BITS = 8
+BOTH_BITS = 22
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id."""
-    return deduplicate(docs, distance=NEAR_BITS)
+    return deduplicate(docs, shingle=SHINGLE, distance=NEAR_BITS, total=BOTH_BITS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from utterscope.llm import secrets as S
-from utterscope.llm.simhash import fingerprint
+from utterscope.llm.simhash import fingerprints
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -24,7 +24,7 @@ def sf_dir(spark, tmp_path_factory):
     rows |= {100 + i: " ".join(w + "###" for w in clean[i].split()) for i in range(30)}  # junk
     rows |= {200 + i: clean[0] for i in range(6)} | {210 + i: clean[1] for i in range(3)}  # copies
     long = text(2000)
-    rows |= {220: long, 221: long.replace(long.split()[700], "changed", 1)}  # near copies
+    rows |= {220: long, 221: " ".join("changed" if k % 120 == 7 else w for k, w in enumerate(long.split()))}  # near copies
     rows |= {300: f"{clean[2]} {bench[0].upper()} {text(50)}", 301: bench[1]}
     rows |= {400: f"{text(40)} token = 'abcdef0123456789abcdef0123456789' {text(40)}"}
     rows |= {500: None, 501: ""}
@@ -57,7 +57,13 @@ def test_quality(spark, sf_dir):
 def test_near_duplicates(spark, sf_dir):
     got, docs = stage(spark, sf_dir, "near_duplicates")
     assert not any(200 <= i <= 212 for i in got) and 221 not in got and {220, *range(80)} <= set(got)
-    links = {i: {j for j in docs if (fingerprint(docs[i]["text"]) ^ fingerprint(docs[j]["text"])).bit_count() <= P.NEAR_BITS} for i in docs}
+    prints = {i: fingerprints(r["text"], P.SHINGLE, 2) for i, r in docs.items()}
+
+    def linked(i, j):
+        bits = [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(prints[i], prints[j])]
+        return min(bits) <= P.NEAR_BITS and sum(bits) <= P.BOTH_BITS
+
+    links = {i: {j for j in docs if linked(i, j)} for i in docs}
     reach = {}
     for i in sorted(docs):
         if i not in reach:

@@ -7,6 +7,10 @@ Gray rank and grouped into a hierarchy; an upper node keeps the bits that its fi
 of nodes are descended together: the differences in commonly masked bits only add up on the way down, so a pair of groups
 whose differences exceed d is pruned whole. A bucket gives a spanning forest of its links, not all pairs.
 
+A second fingerprint (the same hashes, mixed) can take part: buckets are then made of either one, and a link also needs
+the differences in both together to stay within `total`. As unrelated texts differ in half of all bits, a wide distance
+in one fingerprint then links no strangers, however many texts there are.
+
 Buckets of more than `TILE` fingerprints are split into salted parts, and each pair of parts is a bucket of its own, so no
 link is lost and none is too large for a task. Components come from checkpointed star steps on the links.
 
@@ -21,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import partial
 from itertools import accumulate, combinations
-from math import log2
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from utterscope.llm.arrays import mixed
 from utterscope.llm.common import cut, map_texts, table
 from utterscope.llm.components import components
 
@@ -38,35 +43,59 @@ DISTANCE = 4
 SEED = 42
 FAN = 8
 TILE = 20_000
-PAIR_STEP = 1 << 15
+PAIR_STEP = 1 << 13
 BIT_STEP = 1 << 16
+#: Comparisons that shuffling a row is worth.
+ROW_COST = 1000
+NAMES = ("fp", "fp2")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the word shingles, A-Z lower-cased, words split at ASCII white space."""
+def fingerprints(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes of the word shingles, A-Z lower-cased, words split at ASCII white space.
+
+    The first is of the shingles' XXH64 hashes, the second of these hashes mixed.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * count
     line = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     ends = starts[shingle:] or starts[-1:]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)]), np.uint8).reshape(-1, 8)
+    hashes = np.frombuffer(b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)]), ">u8")
+    found = [_majority(hashes)]
+    if count > 1:
+        found.append(_majority(mixed(hashes.astype(np.uint64)).astype(">u8")))
+    return found
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the big-endian hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BIT_STEP):
-        counts += np.unpackbits(hashes[at : at + BIT_STEP], axis=1).sum(axis=0, dtype=np.int32)
+        counts += np.unpackbits(hashes[at : at + BIT_STEP].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def _fingerprints(texts: Sequence[str | None], shingle: int) -> dict[str, list]:
-    return {"fp": [fingerprint(t, shingle) for t in texts]}
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprints(text, shingle)[0]
+
+
+def _columns(texts: Sequence[str | None], shingle: int, count: int) -> dict[str, list]:
+    found = [fingerprints(t, shingle, count) for t in texts]
+    return {name: [f[k] for f in found] for k, name in enumerate(NAMES[:count])}
 
 
 def bit_masks(count: int, distance: int) -> list[int]:
-    """Signed masks of the tables for `count` fingerprints: each keeps c of distance + c blocks."""
-    c = 1
-    while 64 * c // (distance + c) < log2(max(count, 2)) - 6 and c < 6:
-        c += 1
+    """Signed masks of the tables for `count` fingerprints: each keeps c of distance + c blocks.
+
+    c makes the cost of a fingerprint least: each table costs ROW_COST to shuffle and half a bucket of comparisons.
+    """
+
+    def cost(c: int) -> float:
+        return comb(distance + c, c) * (ROW_COST + count / 2 ** (64 * c // (distance + c)) / 2)
+
+    c = min(range(1, 7), key=cost)
     blocks = distance + c
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     block = [((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in range(blocks)]
@@ -115,10 +144,14 @@ def _children(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return i[keep], j[keep]
 
 
-def forest(bucket: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+def forest(bucket: np.ndarray, fp: np.ndarray, distance: int, other: np.ndarray | None = None, total: int = 128) -> np.ndarray:
     """For each fingerprint (sorted by bucket, Gray rank) the first one of its bucket that links reach."""
     levels = _hierarchy(bucket, fp)
     root = np.arange(len(fp))
+    if len(levels) == 1:
+        return root
+    first = levels[1].first
+    members = np.minimum(first[:-1, None] + np.arange(FAN), first[1:, None] - 1)  # a short group repeats its last one
     tops = np.arange(len(levels[-1].pattern))
     stack = [(len(levels) - 1, tops, tops)]
     while stack:
@@ -126,14 +159,18 @@ def forest(bucket: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
         if len(a) > PAIR_STEP:
             stack += [(level, a[PAIR_STEP:], b[PAIR_STEP:]), (level, a[:PAIR_STEP], b[:PAIR_STEP])]
             continue
-        if level == 0:
-            _join(root, a, b)
+        if level == 1:
+            left, right = members[a], members[b]
+            near = np.bitwise_count(fp[left][:, :, None] ^ fp[right][:, None, :]) <= distance
+            pair, i, j = np.nonzero(near)
+            i, j = left[pair, i], right[pair, j]
+            linked = i != j
+            if other is not None:
+                linked &= np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(other[i] ^ other[j]) <= total
+            _join(root, i[linked], j[linked])
             continue
         i, j = _children(levels[level].first, a, b)
         below = levels[level - 1]
-        if level == 1:
-            other = i != j
-            i, j = i[other], j[other]
         near = np.bitwise_count((below.pattern[i] ^ below.pattern[j]) & below.mask[i] & below.mask[j]) <= distance
         if near.any():
             stack.append((level - 1, i[near], j[near]))
@@ -156,69 +193,78 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = up
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], distance: int, total: int | None) -> Iterator[pa.RecordBatch]:
     """Spanning links of the buckets of one partition that is sorted by bucket; the last bucket waits for its rest."""
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        bucket, fp, node = rows
-        same = bucket[1:] == bucket[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        bucket, fp, node = bucket[shared], fp[shared].view(np.uint64), node[shared]
-        order = np.lexsort((gray_rank(fp), bucket))
-        bucket, fp, node = bucket[order], fp[order], node[order]
-        root = forest(bucket, fp, distance) if len(fp) else np.zeros(0, np.int64)
+        same = rows[0][1:] == rows[0][:-1]
+        rows = rows[:, np.append(same, False) | np.append(False, same)]
+        rows = rows[:, np.lexsort((gray_rank(rows[2].view(np.uint64)), rows[0]))]
+        bucket, node, fp = rows[0], rows[1], rows[2].view(np.uint64)
+        other = rows[3].view(np.uint64) if total is not None else None
+        root = forest(bucket, fp, distance, other, total or 0) if len(fp) else np.zeros(0, np.int64)
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 
-    held = np.zeros((3, 0), np.int64)
+    held = None
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])], axis=1)
-        cut_at = int(np.searchsorted(rows[0], rows[0][-1])) if rows.shape[1] else 0
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)])
+        if not rows.shape[1]:
+            continue
+        rows = rows if held is None else np.concatenate([held, rows], axis=1)
+        cut_at = int(np.searchsorted(rows[0], rows[0][-1]))
         held = rows[:, cut_at:]
         if cut_at:
             yield solve(rows[:, :cut_at])
-    if held.shape[1]:
+    if held is not None:
         yield solve(held)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, total: int | None = None, tile: int = TILE) -> DataFrame:
     """Links (u, v) that connect the same nodes as all pairs of fingerprints at most `distance` bits apart do.
 
-    `fps` is materialised and has distinct long fingerprints `fp` with their ids `node`.
+    `fps` is materialised and has distinct long fingerprints `fp` with their ids `node`. With `total` it has `fp2` too, and
+    pairs are those at most `distance` apart in either fingerprint and at most `total` in both together.
     """
     count = fps.count()
     masks = bit_masks(count, distance)
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]))
-    rows = fps.select("fp", "node", keys.alias("k")).select("fp", "node", F.xxhash64("k.t", "k.key").alias("bucket"))
+    names = NAMES if total is not None else NAMES[:1]
+    rows = None
+    for k, name in enumerate(names):
+        keys = F.explode(F.array(*[F.struct(F.lit(t + k * len(masks)).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]))
+        own = [F.col(name).alias("near"), *[F.col(n).alias("far") for n in names if n != name]]
+        more = fps.select("node", *own, keys.alias("k")).select(F.xxhash64("k.t", "k.key").alias("bucket"), "node", "near", *(["far"] if len(names) > 1 else []))
+        rows = more if rows is None else rows.unionAll(more)
+    columns = rows.columns
     large = cut(rows.groupBy("bucket").count().where(F.col("count") > tile))
     if large.count():
         parts = F.ceil(F.col("count") * 2 / tile).cast("int")
         split = (
             rows.join(large.select("bucket", parts.alias("parts")), "bucket", "left")
-            .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+            .withColumn("part", F.pmod(F.xxhash64("near"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
         )
         tiles = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-        rows = split.select("fp", "node", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(tiles).alias("bucket"))
-    partitions = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // 4_000_000)
-    dealt = rows.select("bucket", "fp", "node").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(partial(_links, distance=distance), "u long, v long")
+        rows = split.withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(tiles)).select(columns)
+    partitions = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(masks) * len(names) // 4_000_000)
+    dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(partial(_links, distance=distance, total=total), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """key, fp (signed long) and component_id (smallest key that links reach) of every row."""
-    prints = cut(map_texts(docs, text, partial(_fingerprints, shingle=shingle), [T.StructField("fp", T.LongType())], [key]))
-    fps = cut(prints.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("node")))
-    found = components(links(fps, distance))
-    labelled = cut(
-        fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    )
-    return prints.join(labelled, "fp", "left").select(key, "fp", "component_id")
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, total: int | None = None) -> DataFrame:
+    """key, fp (signed long) and component_id (smallest key that links reach) of every row; fp2 as well with `total`."""
+    names = list(NAMES if total is not None else NAMES[:1])
+    fields = [T.StructField(n, T.LongType()) for n in names]
+    prints = cut(map_texts(docs, text, partial(_columns, shingle=shingle, count=len(names)), fields, [key]))
+    fps = cut(prints.where(F.col(key).isNotNull()).groupBy(*names).agg(F.min(key).alias("node")))
+    found = components(links(fps, distance, total))
+    labelled = cut(fps.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
+    return prints.join(labelled, names, "left").select(key, *names, "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, total: int | None = None) -> DataFrame:
     """One row of each component: that of its smallest key (of rows that repeat this key, one). Rows with a null key stay."""
-    kept = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance).where(F.col(key) == F.col("component_id"))
+    kept = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance, total).where(F.col(key) == F.col("component_id"))
     ids = kept.select(F.col(key).alias("__kept")).distinct()
     once = docs.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])
     return once.unionByName(docs.where(F.col(key).isNull()))
