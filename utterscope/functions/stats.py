@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, count, minimum, median, percentile_95 (nearest rank), mean and maximum of the non-null values of each group."""
+def distribution(df: DataFrame, keys: Sequence[str], value: str, times: str | None = None) -> DataFrame:
+    """keys, count, minimum, median, percentile_95 (nearest rank), mean and maximum of the non-null values of each group.
+
+    With `times`, a row stands for so many rows.
+    """
+    n = F.sum(times) if times else F.count(F.lit(1))
     counts = (
         df.where(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double"))
-        .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__cell", F.floor("__v"))
+        .groupBy(*keys, "__v").agg(n.alias("__n")).withColumn("__cell", F.floor("__v"))
     )
     along = Window.partitionBy(*keys).orderBy("__cell")
     whole = Window.partitionBy(*keys)

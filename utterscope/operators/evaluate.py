@@ -153,32 +153,46 @@ def parser_mistakes(samples: DataFrame) -> DataFrame:
     return rows.select("parser", F.col("id").alias("event_id"), F.col("label_intent").alias("expected"), "predicted", F.coalesce("transcript", F.lit("")).alias("transcript"))
 
 
-def sample_errors(samples: DataFrame) -> DataFrame:
-    """event_id, substitutions, deletions, insertions, reference_words and wer of the speech samples with a reference."""
+def _with_errors(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Word errors of label_transcript against transcript; pairs whose reference has no words are left out."""
     tokens = (
-        samples.where(F.col("label_speech") & F.col("label_transcript").isNotNull())
-        .select(F.col("id").alias("event_id"), words(F.col("label_transcript")).alias("reference"), words(F.coalesce("transcript", F.lit(""))).alias("hypothesis"))
+        pairs.select(*keep, words(F.col("label_transcript")).alias("reference"), words(F.coalesce("transcript", F.lit(""))).alias("hypothesis"))
         .where(F.size("reference") > 0)
+        .withColumn("e", word_errors(F.col("reference"), F.col("hypothesis")))
     )
-    errors = tokens.withColumn("e", word_errors(F.col("reference"), F.col("hypothesis")))
-    return errors.select(
-        "event_id", F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"),
+    return tokens.select(
+        *keep, F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"),
         F.size("reference").alias("reference_words"), rate(F.col("e.c"), F.size("reference")).alias("wer"),
     )
 
 
+def _referenced(samples: DataFrame) -> DataFrame:
+    return samples.where(F.col("label_speech") & F.col("label_transcript").isNotNull())
+
+
+def sample_errors(samples: DataFrame) -> DataFrame:
+    """event_id, substitutions, deletions, insertions, reference_words and wer of the speech samples with a reference."""
+    return _with_errors(_referenced(samples).withColumnRenamed("id", "event_id"), "event_id")
+
+
 def stt(samples: DataFrame) -> DataFrame:
-    """One row: speech_samples, evaluated_samples, samples_with_errors, the sums of errors and words, and three WERs."""
-    errors = sample_errors(samples).withColumn("edits", F.expr("substitutions + deletions + insertions"))
+    """One row: speech_samples, evaluated_samples, samples_with_errors, the sums of errors and words, and three WERs.
+
+    Commands repeat, so equal pairs of texts are counted first and aligned once; what the sums and the distribution read
+    is a row for each outcome.
+    """
     names = ("substitutions", "deletions", "insertions", "reference_words")
-    sums = errors.agg(
-        F.count(F.lit(1)).alias("evaluated_samples"), F.count_if(F.col("edits") > 0).alias("samples_with_errors"),
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
+    pairs = _referenced(samples).groupBy("label_transcript", "transcript").agg(F.count(F.lit(1)).alias("n"))
+    outcomes = _with_errors(pairs, "n").groupBy(*names, "wer").agg(F.sum("n").alias("n"))
+    edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    sums = outcomes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("evaluated_samples"), F.coalesce(F.sum(F.when(edits > 0, F.col("n"))), F.lit(0)).alias("samples_with_errors"),
+        *[F.coalesce(F.sum(F.col(c) * F.col("n")), F.lit(0)).alias(c) for c in names],
     )
-    spread = distribution(errors.withColumn("one", F.lit(1)), ["one"], "wer").select(F.col("mean").alias("mean_sample_wer"), F.col("median").alias("median_sample_wer"))
+    spread = distribution(outcomes.withColumn("one", F.lit(1)), ["one"], "wer", "n").select(F.col("mean").alias("mean_sample_wer"), F.col("median").alias("median_sample_wer"))
     speech = samples.agg(F.count_if("label_speech").alias("speech_samples"))
-    edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
-    one = speech.join(sums, F.lit(True)).join(spread, F.lit(True), "left")  # one row each
+    rows = [df.withColumn("one", F.lit(1)) for df in (speech, sums, spread)]  # one row each, the last none without samples
+    one = rows[0].join(rows[1], "one").join(rows[2], "one", "left")
     return one.withColumn("aggregate_wer", rate(edits, F.col("reference_words"))).select(
         "speech_samples", "evaluated_samples", "samples_with_errors", *names, "aggregate_wer", "mean_sample_wer", "median_sample_wer"
     )

@@ -15,25 +15,24 @@ CHECKPOINTS = (100, 140, 200, 300)
 def threshold_sweep(observations: DataFrame, grid: Sequence[int] = GRID, positive: str = "label_speech", value: str = "duration_ms") -> DataFrame:
     """A row for each threshold, with or without observations: kept and rejected of each kind, recall and noise rejection.
 
-    Observations are first counted by the grid step that they reach (with map-side sums), so that what meets the grid
-    has at most 2 * (len(grid) + 1) rows.
+    Observations are first counted by the grid step that they reach (with map-side sums), so that the
+    grid is read off a table of at most 2 * (len(grid) + 1) rows.
     """
-    spark = observations.sparkSession
     steps = F.array(*[F.lit(t).cast("double") for t in grid])
     reached = F.size(F.filter(steps, lambda t: t <= F.col(value).cast("double")))
     counts = (
         observations.where(F.col(value).isNotNull() & F.col(positive).isNotNull())
         .groupBy(F.col(positive).alias("speech"), reached.alias("reached")).agg(F.count(F.lit(1)).alias("n"))
     )
-    thresholds = spark.createDataFrame([(i, t) for i, t in enumerate(grid)], "step int, threshold_ms bigint")
+    table = counts.agg(F.collect_list(F.struct("speech", "reached", "n")).alias("cells"))  # one row, empty or not
+    each = table.select("cells", F.posexplode(F.array(*[F.lit(t).cast("long") for t in grid])).alias("step", "threshold_ms"))
 
     def total(speech: bool, kept: bool) -> Column:
-        side = F.col("speech") if speech else ~F.col("speech")
-        over = F.col("reached") > F.col("step")
-        return F.coalesce(F.sum(F.when(side & (over if kept else ~over), F.col("n"))), F.lit(0))
+        own = F.filter("cells", lambda c: (c["speech"] == speech) & ((c["reached"] > F.col("step")) == kept))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a + c["n"])
 
-    rows = F.broadcast(thresholds).join(counts, F.lit(True), "left").groupBy("threshold_ms").agg(
-        total(True, True).alias("speech_kept"), total(True, False).alias("speech_rejected"),
+    rows = each.select(
+        "threshold_ms", total(True, True).alias("speech_kept"), total(True, False).alias("speech_rejected"),
         total(False, True).alias("non_speech_kept"), total(False, False).alias("non_speech_rejected"),
     )
     return rows.withColumn(
