@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Bytes of text that one numpy step works on: bounds a task's memory and keeps arrays in cache.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+#: Bytes of text that go to Python at once.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,14 @@ def safe_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, as rows of texts may be of any length; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -74,6 +84,7 @@ def map_texts(
     """Add columns that `function` makes from whole texts, in Arrow batches. Only `keep` and the text are read."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[k] for k in keep), *fields])
     made = to_arrow_schema(T.StructType(list(fields)))
     kept = list(keep)

@@ -32,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        both = cut(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(_stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _stars(large)
         now = cut(
