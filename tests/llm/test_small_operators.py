@@ -201,6 +201,9 @@ def test_decontaminate(spark):
     df = spark.createDataFrame([(1, f"{filler} {item}! end", "k"), (2, f"é {item}", "k"), (3, None, None), (4, filler, "k")], "doc_id bigint, text string, __keep string")
     got = {r["doc_id"]: r["text"] for r in D.decontaminate(df, bench).collect()}
     assert got == {1: f"{filler} ! end", 3: None, 4: filler} and D.decontaminate(df, bench).columns == df.columns
+    nested = item.replace(" six", f" {item} six", 1)  # a cut brings another window together
+    again = spark.createDataFrame([(1, f"{filler} {filler} {nested} end", "k")], df.schema)
+    assert D.decontaminate(again, bench).first()["text"].split() == [*filler.split() * 2, "end"]
 
 
 # --- quality

@@ -246,21 +246,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return map_texts(docs, text, partial(_digest, shared=shared), fields, keep)
 
 
+def _without(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:
+    raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for _, _, s, e in spans:
+        parts.append(raw[at:s])
+        at = e
+    return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
 def _cleaned(texts: Sequence[str | None], shared, max_span: int, max_coverage: float) -> dict[str, list]:
-    out: list[str | None] = []
-    keep: list[bool] = []
-    for text, (n_words, spans, _) in zip(texts, scan(texts, [s.value for s in shared])):
-        hit = sum(e - s for s, e, _, _ in spans)
-        keep.append(hit <= max_coverage * n_words)
-        spans = [x for x in spans if x[1] - x[0] > max_span]
-        if not spans:
-            out.append(text)
-            continue
-        raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
-        for _, _, s, e in spans:
-            parts.append(raw[at:s])
-            at = e
-        out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass"))
+    """Cut until nothing is left to cut: what a cut brings together may be a window again."""
+    matchers = [s.value for s in shared]
+    out, keep, todo = list(texts), [True] * len(texts), list(range(len(texts)))
+    first = True
+    while todo:
+        changed = []
+        for i, (n_words, spans, _) in zip(todo, scan([out[i] for i in todo], matchers)):
+            if first:
+                keep[i] = sum(e - s for s, e, _, _ in spans) <= max_coverage * n_words
+            spans = [x for x in spans if x[1] - x[0] > max_span]
+            if spans and keep[i]:
+                out[i] = _without(out[i], spans)
+                changed.append(i)
+        todo, first = changed, False
     return {"__clean": out, "__keep": keep}
 
 
