@@ -154,48 +154,44 @@ def parser_mistakes(samples: DataFrame) -> DataFrame:
 
 
 def _with_errors(pairs: DataFrame, *keep: str) -> DataFrame:
-    """Word errors of label_transcript against transcript; pairs whose reference has no words are left out."""
+    """Word errors of label_transcript against transcript; null for pairs without a reference or any word in it."""
     tokens = (
         pairs.select(*keep, words(F.col("label_transcript")).alias("reference"), words(F.coalesce("transcript", F.lit(""))).alias("hypothesis"))
-        .where(F.size("reference") > 0)
-        .withColumn("e", word_errors(F.col("reference"), F.col("hypothesis")))
+        .withColumn("e", F.when(F.size("reference") > 0, word_errors(F.col("reference"), F.col("hypothesis"))))
     )
     return tokens.select(
         *keep, F.col("e.s").alias("substitutions"), F.col("e.d").alias("deletions"), F.col("e.i").alias("insertions"),
-        F.size("reference").alias("reference_words"), rate(F.col("e.c"), F.size("reference")).alias("wer"),
+        F.when(F.col("e").isNotNull(), F.size("reference")).alias("reference_words"), rate(F.col("e.c"), F.size("reference")).alias("wer"),
     )
 
 
-def _referenced(samples: DataFrame) -> DataFrame:
-    return samples.where(F.col("label_speech") & F.col("label_transcript").isNotNull())
-
-
 def sample_errors(samples: DataFrame) -> DataFrame:
     """event_id, substitutions, deletions, insertions, reference_words and wer of the speech samples with a reference."""
-    return _with_errors(_referenced(samples).withColumnRenamed("id", "event_id"), "event_id")
+    referenced = samples.where(F.col("label_speech") & F.col("label_transcript").isNotNull()).withColumnRenamed("id", "event_id")
+    return _with_errors(referenced, "event_id").where("reference_words is not null")
 
 
 def stt(samples: DataFrame) -> DataFrame:
     """One row: speech_samples, evaluated_samples, samples_with_errors, the sums of errors and words, and three WERs.
 
-    Commands repeat, so equal pairs of texts are counted first and aligned once; what the sums and the distribution read
-    is a row for each outcome.
+    Commands repeat, so equal pairs of texts are counted first and aligned once; all figures are one aggregate over a row
+    for each outcome, and the exact median keeps the distinct rates only.
     """
     names = ("substitutions", "deletions", "insertions", "reference_words")
-    pairs = _referenced(samples).groupBy("label_transcript", "transcript").agg(F.count(F.lit(1)).alias("n"))
+    pairs = samples.where("label_speech").groupBy("label_transcript", "transcript").agg(F.count(F.lit(1)).alias("n"))
     outcomes = _with_errors(pairs, "n").groupBy(*names, "wer").agg(F.sum("n").alias("n"))
-    edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
-    sums = outcomes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("evaluated_samples"), F.coalesce(F.sum(F.when(edits > 0, F.col("n"))), F.lit(0)).alias("samples_with_errors"),
-        *[F.coalesce(F.sum(F.col(c) * F.col("n")), F.lit(0)).alias(c) for c in names],
-    )
-    spread = distribution(outcomes.withColumn("one", F.lit(1)), ["one"], "wer", "n").select(F.col("mean").alias("mean_sample_wer"), F.col("median").alias("median_sample_wer"))
-    speech = samples.agg(F.count_if("label_speech").alias("speech_samples"))
-    rows = [df.withColumn("one", F.lit(1)) for df in (speech, sums, spread)]  # one row each, the last none without samples
-    one = rows[0].join(rows[1], "one").join(rows[2], "one", "left")
-    return one.withColumn("aggregate_wer", rate(edits, F.col("reference_words"))).select(
-        "speech_samples", "evaluated_samples", "samples_with_errors", *names, "aggregate_wer", "mean_sample_wer", "median_sample_wer"
+    n, edits = F.col("n"), F.col("substitutions") + F.col("deletions") + F.col("insertions")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    one = outcomes.agg(
+        total(n).alias("speech_samples"), total(F.when(F.col("wer").isNotNull(), n)).alias("evaluated_samples"), total(F.when(edits > 0, n)).alias("samples_with_errors"),
+        *[total(F.col(c) * n).alias(c) for c in names],
+        F.sum(F.col("wer") * n).alias("__wer"), F.percentile("wer", F.lit(0.5), n).alias("median_sample_wer"),
     )
+    one = one.withColumn("aggregate_wer", rate(edits, F.col("reference_words"))).withColumn("mean_sample_wer", rate(F.col("__wer"), F.col("evaluated_samples")))
+    return one.select("speech_samples", "evaluated_samples", "samples_with_errors", *names, "aggregate_wer", "mean_sample_wer", "median_sample_wer")
 
 
 def speech_durations(samples: DataFrame) -> DataFrame:

@@ -101,9 +101,10 @@ def read_labels(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def latest_labels(labels: DataFrame, order: Sequence[str] = PLACE) -> DataFrame:
-    """The last label of each event."""
-    row = F.struct(*[F.col(c) for c in labels.columns])
-    return labels.groupBy("event_id").agg(F.max_by(row, F.struct(*order)).alias("row")).select("row.*")
+    """The last label of each event; rows stay where their event_id was shuffled to, so a join on it needs no new one."""
+    rest = [c for c in labels.columns if c != "event_id"]
+    last = labels.groupBy("event_id").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row"))
+    return last.select(*[c if c == "event_id" else F.col(f"row.{c}").alias(c) for c in labels.columns])
 
 
 def _json_line(df: DataFrame, always: Sequence[str], optional: Sequence[str]) -> Column:
