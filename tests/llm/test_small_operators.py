@@ -191,7 +191,13 @@ def test_contamination_table(spark):
 
 def test_parts_of_the_benchmark(spark):
     bench = spark.createDataFrame([(i, f"w{i} x y z") for i in range(20)], "item_id bigint, text string")
-    assert len(D.matchers_of(bench, part_words=8)) == 10
+    assert len(list(D.matchers_of(bench, part_words=8))) == 10
+    texts = ["w3 x Y z w19 x y z", "nothing", None, "w0 x y z! w0 x y z"]
+    for words_a_part in (8, 1000):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["longest"]) for r in D.find_contamination(docs(spark, texts), bench, part_words=words_a_part).collect()}
+        assert got[0] == (8, 8, 2, hashlib.sha256(b"19,3").hexdigest(), 8) and got[1][:3] == (1, 0, 0) and got[2][:3] == (0, 0, 0) and got[3][1:3] == (8, 1)
+        kept = {r["doc_id"]: r["text"] for r in D.decontaminate(docs(spark, [f"a b c d e f g h i {t}" if t else t for t in texts]), bench, part_words=words_a_part).collect()}
+        assert kept[0].split() == kept[3].replace("!", "").split() == list("abcdefghi") and kept[2] is None and len(kept) == 4
 
 
 def test_decontaminate(spark):

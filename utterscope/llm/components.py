@@ -39,4 +39,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v"))).distinct()
         )
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()

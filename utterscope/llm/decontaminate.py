@@ -7,7 +7,9 @@ vectorised pass over the hashed words first finds the runs in which every adjace
 those are streamed. Equal pairs have equal hashes, so the pass loses nothing, and what it lets through by chance the
 automaton refuses.
 
-The benchmark is read in parts of at most `part_words` words, one automaton each, so what is broadcast at once is bounded.
+The benchmark is read in parts of at most `part_words` words, one automaton each. Documents are passed by one part at a
+time, and what was found is written to the shared checkpoint folder between parts, so what is broadcast and held by a
+task at once is bounded; a benchmark of up to `part_words` words takes one pass.
 
 Defined results: null texts have no words; an item of no words has no window; a null item_id is written as an empty
 string, repeated item_ids count once; repeated documents are scanned each; an empty benchmark hits nothing; an empty table
@@ -16,20 +18,21 @@ gives an empty result; further columns are not read by the scan and are kept by
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import mixed, run_hashes, runs
-from utterscope.llm.common import byte_chunks, map_texts, safe_names, table
+from utterscope.llm.common import byte_chunks, safe_names, small_batches, table, written
 
 WINDOW = 10
-PART_WORDS = 1_000_000
+PART_WORDS = 100_000
 
 #: Bytes of words: digits, a-z after lower-casing, and all of other than ASCII.
 _WORD = np.zeros(256, bool)
@@ -195,21 +198,15 @@ def scan(texts: Sequence[str | None], matchers: Sequence[Matcher]) -> list[tuple
                     spans[doc].append((low + start, low + end))
                     items[doc].update(matcher.names[k] for k in own)
         for doc in range(len(chunk)):
-            merged: list[list[int]] = []
-            for s, e in sorted(spans[doc]):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
+            merged = _merged(spans[doc])
             at, base = int(first[doc]), int(from_byte[doc])
             hits = [(s - at, e - at, int(starts[s]) - base, int(ends[e - 1]) - base) for s, e in merged]
             found.append((int(first[doc + 1]) - at, hits, sorted(items[doc])))
     return found
 
 
-def matchers_of(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, part_words: int = PART_WORDS) -> list[Matcher]:
-    """One matcher for each part of the benchmark of at most `part_words` words (an item of more is a part of its own)."""
-    parts: list[Matcher] = []
+def matchers_of(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, part_words: int = PART_WORDS) -> Iterator[Matcher]:
+    """A matcher for each part of the benchmark of at most `part_words` words (an item of more is a part of its own)."""
     part: list[tuple[str, list[bytes]]] = []
     size = 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
@@ -218,32 +215,76 @@ def matchers_of(benchmark: DataFrame, text: str = "text", item: str = "item_id",
         if not words:
             continue
         if part and size + len(words) > part_words:
-            parts.append(Matcher(part, window))
+            yield Matcher(part, window)
             part, size = [], 0
         part.append((row["item"], words))
         size += len(words)
-    return [*parts, Matcher(part, window)] if part else parts
+    if part:
+        yield Matcher(part, window)
 
 
-def _digest(texts: Sequence[str | None], shared) -> dict[str, list]:
-    got = scan(texts, [s.value for s in shared])
-    hits = [sum(e - s for s, e, _, _ in spans) for _, spans, _ in got]
-    return {
-        "n_words": [n for n, _, _ in got],
-        "n_hit": hits,
-        "n_items": [len(items) for _, _, items in got],
-        "items_sha256": [hashlib.sha256(",".join(items).encode()).hexdigest() for _, _, items in got],
-        "contaminated": [h > 0 for h in hits],
-        "longest": [max((e - s for s, e, _, _ in spans), default=0) for _, spans, _ in got],
-    }
+def _passes(context: SparkContext, matchers: Iterator[Matcher]) -> Iterator[tuple[Broadcast | None, bool]]:
+    """The broadcast matchers, one at a time, each with whether it is the last; one None for no matcher."""
+    now = next(matchers, None)
+    while True:
+        after = next(matchers, None) if now else None
+        yield context.broadcast(now) if now else None, after is None
+        if after is None:
+            return
+        now = after
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), window: int = WINDOW) -> DataFrame:
+def _merged(spans: Sequence[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that meet made one."""
+    merged: list[list[int]] = []
+    for s, e in sorted(spans):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    return merged
+
+
+_FOUND = ("__words", "__from", "__to", "__items")
+
+
+def _add_hits(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, kept: Sequence[str], last: bool) -> Iterator[pa.RecordBatch]:
+    """The hits of one part put to those of earlier parts; the text goes on unless this part is the last."""
+    matchers = [shared.value] if shared else []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = batch.to_pydict() if "__from" in batch.schema.names else None
+        rows = []
+        for i, (n, spans, items) in enumerate(scan(batch.column("__text").to_pylist(), matchers)):
+            own = [(s, e) for s, e, _, _ in spans]
+            if old:
+                own = _merged([*own, *zip(old["__from"][i], old["__to"][i])])
+                items = sorted({*items, *old["__items"][i]})
+            rows.append((n, [s for s, _ in own], [e for _, e in own], items))
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+        made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+        names = [*kept, *([] if last else ["__text"])]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *_FOUND])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """`keep`, n_words, n_hit, n_items, items_sha256, contaminated and longest (words of the longest hit span)."""
-    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers_of(benchmark, window=window)]
-    fields = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")]
-    fields += [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("longest", T.LongType())]
-    return map_texts(docs, text, partial(_digest, shared=shared), fields, keep)
+    small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    now = docs.select(*keep, F.col(text).alias("__text"))
+    for shared, last in _passes(context, matchers_of(benchmark, window=window, part_words=part_words)):
+        fields = [*(now.schema[c] for c in keep), *([] if last else [now.schema["__text"]]), T.StructField("__words", T.LongType())]
+        fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("__from", "__to")] + [T.StructField("__items", T.ArrayType(T.StringType()))]
+        now = now.mapInArrow(partial(_add_hits, shared=shared, kept=list(keep), last=last), T.StructType(fields))
+        if not last:
+            now = written(now, "hits")
+    lengths = F.zip_with("__to", "__from", lambda e, s: e - s)
+    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
+    return now.select(
+        *keep, F.col("__words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest"),
+    )
 
 
 def _without(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:
@@ -254,36 +295,69 @@ def _without(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _cleaned(texts: Sequence[str | None], shared, max_span: int, max_coverage: float) -> dict[str, list]:
-    """Cut until nothing is left to cut: what a cut brings together may be a window again."""
-    matchers = [s.value for s in shared]
-    out, keep, todo = list(texts), [True] * len(texts), list(range(len(texts)))
-    first = True
-    while todo:
-        changed = []
-        for i, (n_words, spans, _) in zip(todo, scan([out[i] for i in todo], matchers)):
-            if first:
-                keep[i] = sum(e - s for s, e, _, _ in spans) <= max_coverage * n_words
-            spans = [x for x in spans if x[1] - x[0] > max_span]
-            if spans and keep[i]:
-                out[i] = _without(out[i], spans)
-                changed.append(i)
-        todo, first = changed, False
-    return {"__clean": out, "__keep": keep}
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5) -> DataFrame:
+def _cut_hits(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, max_span: int, text: str) -> Iterator[pa.RecordBatch]:
+    """Texts without the hits of one part, cut until nothing is left to cut: what a cut brings together may be a window."""
+    matchers = [shared.value] if shared else []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = batch.schema.names.index(text)
+        out = batch.column(place).to_pylist()
+        first = scan(out, matchers)
+        words = batch.column("__words").to_pylist() if "__words" in batch.schema.names else [n for n, _, _ in first]
+        before = batch.column("__hit").to_pylist() if "__hit" in batch.schema.names else [0] * len(out)
+        hits = [h + sum(e - s for s, e, _, _ in spans) for h, (_, spans, _) in zip(before, first)]
+        todo, found = list(range(len(out))), first
+        while todo:
+            changed = []
+            for i, (_, spans, _) in zip(todo, found):
+                spans = [x for x in spans if x[1] - x[0] > max_span]
+                if spans:
+                    out[i] = _without(out[i], spans)
+                    changed.append(i)
+            todo, found = changed, scan([out[i] for i in changed], matchers)
+        names = [c for c in batch.schema.names if c not in ("__words", "__hit")]
+        columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(hits, pa.int64())], names=[*names, "__words", "__hit"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5, part_words: int = PART_WORDS) -> DataFrame:
     """The rows whose hits cover at most `max_coverage` of their words, without the hit spans of over `max_span` words.
 
-    All columns stay; texts without such spans, null among them, are unchanged.
+    All columns stay; texts without such spans, null among them, are unchanged. Parts of the benchmark cut in turn.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers_of(benchmark, window=window)]
-    plain, names = safe_names(docs)
-    fields = [T.StructField("__clean", T.StringType()), T.StructField("__keep", T.BooleanType())]
-    cleaned = partial(_cleaned, shared=shared, max_span=max_span, max_coverage=max_coverage)
-    made = map_texts(plain, names[text], cleaned, fields, [n for c, n in names.items() if c != text])
-    return made.where("__keep").select(*[F.col("__clean" if c == text else n).alias(c) for c, n in names.items()])
+    small_batches(docs.sparkSession)
+    now, names = safe_names(docs)
+    schema = T.StructType([*now.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__hit", T.LongType())])
+    for shared, last in _passes(docs.sparkSession.sparkContext, matchers_of(benchmark, window=window, part_words=part_words)):
+        now = now.mapInArrow(partial(_cut_hits, shared=shared, max_span=max_span, text=names[text]), schema)
+        if not last:
+            now = written(now, "cut")
+    return now.where(F.col("__hit") <= max_coverage * F.col("__words")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+items AS (SELECT item, w, least({WINDOW}, len(w)) AS k FROM b WHERE len(w) > 0),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+sizes AS (SELECT DISTINCT k FROM windows),
+places AS (
+  SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN sizes)),
+found AS MATERIALIZED (SELECT DISTINCT r, item, i, k FROM places JOIN windows USING (k, s)),
+hit AS MATERIALIZED (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found)),
+runs AS (SELECT r, count(*) AS n FROM (SELECT r, p - row_number() OVER (PARTITION BY r ORDER BY p) AS g FROM hit) GROUP BY r, g),
+sums AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_hit, max(n) AS longest FROM runs GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN sums USING (r) LEFT JOIN own USING (r)
+"""
