@@ -90,6 +90,53 @@ def _confusion(col: str) -> str:
 
 _SPOKEN = "CASE seconds WHEN 300 THEN '5 минут' WHEN 30 THEN '30 секунд' WHEN 8100 THEN '2 часа 15 минут' WHEN 25 THEN '25 секунд' WHEN 60 THEN '1 минуту' END"
 
+#: The detector as a recursion over a session's windows, with the small configuration of the query.
+_MEDIAN = "CASE WHEN len({0}) % 2 = 1 THEN list_sort({0})[len({0}) // 2 + 1] ELSE CAST((list_sort({0})[len({0}) // 2] + list_sort({0})[len({0}) // 2 + 1]) / 2::FLOAT AS FLOAT) END"
+
+_VAD_RUN = f"""WITH RECURSIVE
+frames AS (SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS f, value / 500 AS x FROM events),
+win AS MATERIALIZED (
+  SELECT session, CAST(f // 2 AS BIGINT) AS w, CAST(20 * log10(CAST(CAST(sqrt(sum(x * x) / 2) AS FLOAT) AS DOUBLE)) AS FLOAT) AS db FROM frames GROUP BY 1, 2 HAVING count(*) = 2),
+run AS (
+  SELECT session, CAST(-1 AS BIGINT) AS w, 'calibrating' AS phase, NULL::FLOAT AS floor_db, []::FLOAT[] AS levels, 0 AS waited, 0 AS elapsed, 0 AS quiet, 0 AS silent, NULL::FLOAT AS peak,
+    CAST(0 AS BIGINT) AS utterance, NULL::VARCHAR AS event, NULL::VARCHAR AS reason, NULL::FLOAT AS end_db, []::FLOAT[] AS said, 0 AS was_quiet, 0 AS was_silent, NULL::FLOAT AS top, CAST(0 AS BIGINT) AS of_utterance
+  FROM (SELECT DISTINCT session FROM win)
+  UNION ALL
+  SELECT session, w,
+    CASE WHEN event = 'speech_started' THEN 'speaking' WHEN event IS NOT NULL THEN 'waiting' ELSE phase END,
+    CASE WHEN event = 'calibrated' THEN calibrated ELSE floor_now END,
+    CASE WHEN event IS NULL OR event = 'speech_started' THEN levels_now ELSE [] END,
+    CASE WHEN event IS NULL AND phase = 'waiting' THEN waited + 1 ELSE 0 END,
+    CASE WHEN event IS NULL AND phase = 'speaking' THEN elapsed + 1 ELSE 0 END,
+    CASE WHEN event IS NULL THEN quiet_now ELSE 0 END, CASE WHEN event IS NULL THEN silent_now ELSE 0 END,
+    CASE WHEN event = 'speech_started' THEN list_max(levels_now) ELSE peak_now END,
+    CASE WHEN event IN ('timed_out', 'speech_ended') THEN utterance + 1 ELSE utterance END,
+    event, reason, end_limit, levels_now, quiet_now, silent_now, peak_now, utterance
+  FROM (
+    SELECT *, CASE WHEN phase = 'calibrating' AND len(levels_now) >= 3 THEN 'calibrated' WHEN phase = 'waiting' AND len(levels_now) >= 2 THEN 'speech_started'
+        WHEN phase = 'waiting' AND waited + 1 >= 6 THEN 'timed_out' WHEN reason IS NOT NULL THEN 'speech_ended' END AS event,
+      CASE WHEN len(heard) = 0 THEN -90::FLOAT ELSE {_MEDIAN.format('heard')} END AS calibrated
+    FROM (
+      SELECT *, list_filter(levels_now, lambda x: x > -120) AS heard,
+        CASE WHEN phase = 'speaking' AND quiet_now >= 2 THEN 'silence' WHEN phase = 'speaking' AND elapsed + 1 >= 8 THEN 'maximum_duration' END AS reason
+      FROM (
+        SELECT session, w, phase, utterance, waited, elapsed, end_limit, greatest(peak, db) AS peak_now,
+          CASE WHEN phase = 'speaking' AND db < end_limit THEN quiet + 1 ELSE 0 END AS quiet_now,
+          CASE WHEN phase = 'speaking' AND db < end_limit THEN silent + 1 ELSE silent END AS silent_now,
+          CASE WHEN phase = 'waiting' AND db < start_limit THEN [] WHEN phase = 'speaking' AND db < end_limit THEN levels ELSE list_append(levels, db) END AS levels_now,
+          CASE WHEN phase = 'waiting' AND db < start_limit AND db > -120 THEN CAST((1::FLOAT - 0.02::FLOAT) * floor_db + 0.02::FLOAT * db AS FLOAT) ELSE floor_db END AS floor_now
+        FROM (
+          SELECT run.* EXCLUDE (w, event, reason, end_db, said, was_quiet, was_silent, top, of_utterance), win.w, db, greatest(floor_db + 1::FLOAT, -30::FLOAT) AS start_limit, greatest(floor_db + 0.5::FLOAT, -40::FLOAT) AS end_limit
+          FROM run JOIN win ON win.session = run.session AND win.w = run.w + 1))))),
+found AS (
+  SELECT session, of_utterance AS utterance, event, w AS window_idx, (w + 1) * 2 AS at_frame, event = 'speech_ended' AS over, floor_db, reason, end_db, said, was_quiet, was_silent, top FROM run WHERE event IS NOT NULL),
+told AS (
+  SELECT session, utterance, event, window_idx, at_frame, CASE WHEN over THEN reason END AS end_reason, CASE WHEN over OR event = 'calibrated' THEN floor_db END AS noise_floor_dbfs,
+    CASE WHEN over THEN greatest(floor_db + 1::FLOAT, -30::FLOAT) END AS start_threshold_dbfs, CASE WHEN over THEN end_db END AS end_threshold_dbfs, CASE WHEN over THEN top END AS peak_dbfs,
+    CASE WHEN over THEN CAST(list_reduce(said, lambda a, x: CAST(a + x AS FLOAT)) / CAST(len(said) AS FLOAT) AS FLOAT) END AS mean_speech_dbfs, CASE WHEN over THEN {_MEDIAN.format('said')} END AS median_speech_dbfs,
+    CASE WHEN over THEN len(said) + was_silent END AS detected_windows, CASE WHEN over THEN CAST(was_quiet AS BIGINT) END AS trailing_silence_windows,
+    CASE WHEN over THEN len(said) END AS speech_windows, CASE WHEN over THEN CAST(was_silent AS BIGINT) END AS silence_windows FROM found)"""
+
 ORACLES: dict[str, str] = {
     "headline_counts": _with("""SELECT count(*) AS events, count(*) FILTER (windows >= 7) AS audio_samples, count(transcript) AS transcripts,
   count(*) FILTER (status = 'failed') AS processing_errors, count(*) FILTER (status = 'rejected' AND transcript IS NULL) AS short_rejections,
@@ -156,6 +203,9 @@ FROM (SELECT *, CASE WHEN long_enough THEN 'audio/' || name || '.wav' END AS aud
     "level_windows": """SELECT session, window_idx, round(CAST(CAST(sqrt(s / 5) AS FLOAT) AS DOUBLE), 4) AS rms, round(CAST(CAST(20 * log10(CAST(CAST(sqrt(s / 5) AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) AS dbfs, (window_idx + 1) * 5 AS end_frame
 FROM (SELECT session, f // 5 AS window_idx, sum(x * x) AS s, count(*) AS n
   FROM (SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS f, value / 500 AS x FROM events) GROUP BY 1, 2) WHERE n = 5""",
+    "vad_events": f"{_VAD_RUN} SELECT * FROM told",
+    "vad_segments": f"""{_VAD_RUN} SELECT e.* EXCLUDE (event, at_frame), s.at_frame AS started_at, greatest(0, s.at_frame - 3) AS start_frame, e.at_frame AS end_frame
+FROM told e JOIN told s USING (session, utterance) WHERE e.event = 'speech_ended' AND s.event = 'speech_started'""",
     "latest_per_user": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "unlabeled_documents": "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_confusion": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
