@@ -40,7 +40,7 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     wanted = cells.where(holds("__low", "__upto", "__m") | holds("__high", "__upto", "__m") | holds("__p95", "__upto", "__m"))
     wanted = wanted.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__cell").alias("__c"), (F.col("__upto") - F.col("__m")).alias("__before"), "count", "minimum", "maximum", "mean", *ranks)
-    same = F.col("__cell") == F.col("__c")
+    same = F.col("__cell").eqNullSafe(F.col("__c"))  # an equality would put a filter on one use of the counts, and they would be made twice
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     inside = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
