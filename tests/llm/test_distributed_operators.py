@@ -351,6 +351,23 @@ def test_cross_entropies(spark, size):
         assert len(got) == len(docs)
 
 
+def test_every_word_is_told_apart(spark):
+    rng = random.Random(9)
+    docs = [" ".join(f"w{int(rng.paretovariate(0.4))}" for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, "", "é É\x0ba A", "rare"]
+    docs += docs[:2]
+    target = [*docs[20:60], "other words", None]
+    df = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(docs)], DOCS).withColumn("score", F.lit("clash"))
+    for own in (target, []):
+        got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(t,) for t in own], "text string"), vocabulary=None, alpha=5.0).collect()
+        want = brute_scores(docs, own, 10**9, 5.0)
+        assert sorted(r["doc_id"] or 0 for r in got) == list(range(len(docs)))
+        for r in got:
+            n, t, b = want[r["doc_id"] or 0]
+            assert r["n_tokens"] == n and r["ce_target"] == pytest.approx(t) and r["ce_background"] == pytest.approx(b) and r["score"] == pytest.approx(t - b)
+    empty = spark.createDataFrame([], DOCS)
+    assert lm_score.cross_entropy_difference(empty, empty, vocabulary=None).count() == 0
+
+
 def test_target_like_documents_score_lower(spark):
     cats, dogs = ["cats purr and sleep"] * 30, ["dogs bark and run"] * 30
     df = spark.createDataFrame(list(enumerate(cats + dogs)), DOCS)

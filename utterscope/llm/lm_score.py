@@ -1,12 +1,13 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, of a target corpus and of the background corpus, share one vocabulary: the most frequent words of both,
-all others being one unknown word. They have the same order and smoothing. A document's score is the mean over its tokens
+all others being one unknown word, or every word of both where the size is None. They have the same order and smoothing. A document's score is the mean over its tokens
 (words, A-Z lower-cased and split at ASCII white space, and the end mark) of the target model's loss minus the
 background model's: the lower, the more the document is like the target.
 
 Words and bigrams are counted over every row of both corpora, in each task first and then by shuffles. What comes to the
-driver and is broadcast is bounded by the vocabulary: (size + 2) ** 2 entries a model.
+driver and is broadcast is bounded by the vocabulary: (size + 2) ** 2 entries a model. With every word nothing is
+broadcast: each document's distinct bigrams meet the counts of both corpora in shuffled joins.
 
 P(w | v) = (n(v w) + alpha * P(w)) / (n(v) + alpha), P(w) = (n(w) + 1) / (N + outcomes).
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utterscope.llm.common import byte_chunks, map_texts, small_batches, table
+from utterscope.llm.common import byte_chunks, cut, map_texts, small_batches, table
 
 VOCABULARY = 2048
 ALPHA = 20.0
@@ -123,9 +124,73 @@ def _scores(texts: Sequence[str | None], numbers, models) -> dict[str, np.ndarra
     return out
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: int = VOCABULARY, alpha: float = ALPHA) -> DataFrame:
-    """`keep`, n_tokens, ce_target, ce_background and score (their difference) of each whole text of the background."""
+def _own_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct bigrams "v w" with their counts; a mark is an empty word. A text's first row has what is kept."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        rows: list[int] = []
+        kept: list[int | None] = []
+        pairs: list[bytes] = []
+        here: list[int] = []
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(rows, pa.int64()), batch.column(1).take(pa.array(kept, pa.int64())), pa.array(pairs, pa.binary()).cast(pa.string()), pa.array(here, pa.int64())]
+            for own in (rows, kept, pairs, here):
+                own.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["row", "kept", "pair", "here"])
+
+        for first, chunk in byte_chunks(batch.column(2).to_pylist()):
+            for i, raw in enumerate(chunk, first):
+                words = [b"", *words_of(raw), b""]
+                counts = Counter(map(b" ".join, zip(words, words[1:])))
+                rows += [ids[i]] * len(counts)
+                kept += [i, *[None] * (len(counts) - 1)]
+                pairs += counts
+                here += counts.values()
+            yield made()
+
+
+def _scored_by_joins(docs: DataFrame, target: DataFrame, text: str, target_text: str, keep: Sequence[str], alpha: float) -> DataFrame:
+    """As cross_entropy_difference with every word of both corpora."""
+
+    def bigrams(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+        kept = F.struct(F.lit(0).alias("__any"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keep)]).alias("kept")
+        slim = df.select(F.monotonically_increasing_id().alias("row"), kept, F.col(f"`{text}`").alias("text"))
+        fields = [slim.schema["row"], T.StructField("kept", slim.schema["kept"].dataType), T.StructField("pair", T.StringType()), T.StructField("here", T.LongType())]
+        return slim.mapInArrow(_own_bigrams, T.StructType(fields))
+
+    own = cut(bigrams(docs, text, keep))
+    none = F.lit(0).cast("long")
+    seen = own.select("pair", F.col("here").alias("b"), none.alias("t")).unionAll(bigrams(target, target_text, ()).select("pair", none, "here"))
+    counted = cut(
+        seen.groupBy("pair").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+        .withColumn("v", F.substring_index("pair", " ", 1)).withColumn("w", F.substring_index("pair", " ", -1))
+    )
+    before = cut(counted.groupBy("v").agg(F.sum("b").alias("b_before"), F.sum("t").alias("t_before")))
+    single = cut(counted.groupBy("w").agg(F.sum("b").alias("b_single"), F.sum("t").alias("t_single")))
+    words, b_total, t_total = single.agg(F.count_if(F.col("w") != ""), F.coalesce(F.sum("b_single"), none), F.coalesce(F.sum("t_single"), none)).first()
+    outcomes = words + 2
+
+    def loss(side: str, total: int):
+        one = (F.col(f"{side}_single") + 1) / F.lit(float(total + outcomes))
+        return -F.log((F.col(side) + alpha * one) / (F.col(f"{side}_before") + alpha))
+
+    losses = cut(counted.where("b > 0").join(before, "v").join(single, "w").select("pair", loss("t", t_total).alias("t"), loss("b", b_total).alias("b")))
+    sums = own.select("row", "pair", "here").join(losses, "pair").groupBy("row").agg(
+        F.sum("here").alias("n_tokens"), (F.sum(F.col("here") * F.col("t")) / F.sum("here")).alias("ce_target"), (F.sum(F.col("here") * F.col("b")) / F.sum("here")).alias("ce_background"))
+    scored = own.where(F.col("kept").isNotNull()).select("row", "kept").join(sums, "row")
+    return scored.select(*[F.col(f"kept.__k{i}").alias(k) for i, k in enumerate(keep)], "n_tokens", "ce_target", "ce_background")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: int | None = VOCABULARY, alpha: float = ALPHA) -> DataFrame:
+    """`keep`, n_tokens, ce_target, ce_background and score (their difference) of each whole text of the background.
+
+    With `vocabulary` None every word of both corpora is told apart.
+    """
     small_batches(docs.sparkSession)
+    if vocabulary is None:
+        scored = _scored_by_joins(docs, target, text, target_text, keep, alpha)
+        return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
     context = docs.sparkSession.sparkContext
     corpora = [target.select(F.col(target_text).alias("text")), docs.select(F.col(text).alias("text"))]
     words = shared_vocabulary(corpora, vocabulary)
