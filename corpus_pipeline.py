@@ -16,9 +16,11 @@ from utterscope.llm.quality import keep_good
 from utterscope.llm.secrets import redact
 from utterscope.llm.simhash import deduplicate
 
-#: Near-duplicates: shingles of five words, at most NEAR_BITS differing bits in one of two fingerprints and BOTH_BITS of
-#: 128 in both together, which is what a shingle similarity of 0.8 or more comes to (about 19 bits are expected at 0.8).
+#: Near-duplicates: shingles of five words, of a similarity of SIMILAR or more. Candidates have at most NEAR_BITS differing
+#: bits in one of two fingerprints and BOTH_BITS of 128 in both together (about 19 are expected at 0.8), or share a band of
+#: least hashes.
 SHINGLE = 5
+SIMILAR = 0.8
 NEAR_BITS = 8
 BOTH_BITS = 22
 
@@ -35,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id."""
-    return deduplicate(docs, shingle=SHINGLE, distance=NEAR_BITS, total=BOTH_BITS)
+    return deduplicate(docs, shingle=SHINGLE, distance=NEAR_BITS, total=BOTH_BITS, similar=SIMILAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

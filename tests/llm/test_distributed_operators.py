@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from utterscope.llm import components as C
 from utterscope.llm import lm_score, packing, registry, topk
 from utterscope.llm import sharding as SH
+from utterscope.llm import similar as SM
 from utterscope.llm import simhash as SI
 from utterscope.llm.common import cut, with_slots
 
@@ -225,6 +226,39 @@ def test_near_duplicates_of_nothing(spark):
     assert SI.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_similar(texts, least, k=5):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+    sets = [grams(t) for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9]
+
+
+@pytest.mark.parametrize("tile", [256, 7])
+def test_links_are_exact_similarities(spark, monkeypatch, tile):
+    monkeypatch.setattr(SM.confirmed_links, "__defaults__", (tile,))
+    rng = random.Random(tile)
+    texts = []
+    for _ in range(6):  # copies with so many changed words that similarities lie on both sides of 0.8, and chains of them
+        base = [f"w{rng.randint(0, 9000)}" for _ in range(200)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randint(0, 7)):
+                own[rng.randrange(len(own))] = f"new{rng.randint(0, 10**6)}"
+            texts.append(" ".join(own))
+            if rng.random() < 0.2:
+                base = own
+    texts += [None, "", "a b", "A  b", "alone here"]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    want = brute_components(range(len(texts)), brute_similar(texts, 0.8))
+    kept = SI.deduplicate(df, shingle=5, distance=8, total=22, similar=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and 20 < len(set(want.values())) < 140
+    by_bits = SI.deduplicate(df, shingle=5, distance=8, total=22)
+    assert sorted(r["doc_id"] for r in by_bits.collect()) != sorted(set(want.values()))
+
+
 # --- top-k
 
 

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from utterscope.llm.arrays import mixed
 from utterscope.llm.common import cut, map_texts, table
 from utterscope.llm.components import components
+from utterscope.llm.similar import bands, digest, shingle_set, similar_duplicates
 
 SHINGLE = 4
 DISTANCE = 4
@@ -50,19 +51,30 @@ ROW_COST = 1000
 NAMES = ("fp", "fp2")
 
 
-def fingerprints(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
-    """Signed 64-bit SimHashes of the word shingles, A-Z lower-cased, words split at ASCII white space.
-
-    The first is of the shingles' XXH64 hashes, the second of these hashes mixed.
-    """
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Big-endian XXH64 hashes of the word shingles, A-Z lower-cased, words split at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * count
+        return np.zeros(0, ">u8")
     line = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     ends = starts[shingle:] or starts[-1:]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)]), ">u8")
+    return np.frombuffer(b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)]), ">u8")
+
+
+def fingerprints(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes of the word shingles.
+
+    The first is of the shingles' XXH64 hashes, the second of these hashes mixed.
+    """
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * count
+    return _prints(hashes, count)
+
+
+def _prints(hashes: np.ndarray, count: int) -> list[int]:
     found = [_majority(hashes)]
     if count > 1:
         found.append(_majority(mixed(hashes.astype(np.uint64)).astype(">u8")))
@@ -86,6 +98,17 @@ def _columns(texts: Sequence[str | None], shingle: int, count: int) -> dict[str,
     return {name: [f[k] for f in found] for k, name in enumerate(NAMES[:count])}
 
 
+def sketches(texts: Sequence[str | None], shingle: int) -> dict[str, list]:
+    """Two fingerprints, the shingle set's digest and its MinHash bands."""
+    out: dict[str, list] = {name: [] for name in (*NAMES, "sig", "bands")}
+    for text in texts:
+        hashes = shingle_hashes(text, shingle)
+        own = shingle_set(hashes)
+        for name, got in zip(out, (*(_prints(hashes, 2) if len(hashes) else (0, 0)), digest(own), bands(own))):
+            out[name].append(got)
+    return out
+
+
 def bit_masks(count: int, distance: int) -> list[int]:
     """Signed masks of the tables for `count` fingerprints: each keeps c of distance + c blocks.
 
@@ -262,9 +285,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return prints.join(labelled, names, "left").select(key, *names, "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, total: int | None = None) -> DataFrame:
-    """One row of each component: that of its smallest key (of rows that repeat this key, one). Rows with a null key stay."""
-    kept = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance, total).where(F.col(key) == F.col("component_id"))
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, total: int | None = None, similar: float | None = None) -> DataFrame:
+    """One row of each component: that of its smallest key (of rows that repeat this key, one). Rows with a null key stay.
+
+    With `similar` (and `total`), fingerprints only give candidates, and links are shingle similarities of at least that.
+    """
+    if similar is not None:
+        found = similar_duplicates(docs, text, key, shingle, distance, total, similar)
+    else:
+        found = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance, total)
+    kept = found.where(F.col(key) == F.col("component_id"))
     ids = kept.select(F.col(key).alias("__kept")).distinct()
     once = docs.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])
     return once.unionByName(docs.where(F.col(key).isNull()))
