@@ -200,6 +200,17 @@ def test_parts_of_the_benchmark(spark):
         assert kept[0].split() == kept[3].replace("!", "").split() == list("abcdefghi") and kept[2] is None and len(kept) == 4
 
 
+def test_parts_cut_as_one(spark):
+    one, two, three = "a b c d e f g h i j k l", "g h i j k l m n o p", " ".join(f"t{i}" for i in range(12))
+    bench = spark.createDataFrame(list(enumerate([one, two, three])), "item_id bigint, text string")
+    filler = " ".join(f"filler{i}" for i in range(60))
+    nested = one.replace(" f", f" {three} f")  # the cut of a later part brings a window of an earlier one together
+    texts = [f"{filler} {one} m n o p. End", f"{filler} {nested} end", f"{one} m n o p " + filler[:100], f"{filler}", None, f"{filler} {three}"]
+    got = [{r["doc_id"]: r["text"] for r in D.decontaminate(docs(spark, texts), bench, part_words=n).collect()} for n in (1000, 12)]
+    assert len(list(D.matchers_of(bench, part_words=12))) == 3 and got[0] == got[1]
+    assert got[1][0] == f"{filler} . End" and got[1][1].split() == [*filler.split(), "end"] and set(got[1]) == {0, 1, 3, 4, 5}
+
+
 def test_decontaminate(spark):
     item = "One two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")

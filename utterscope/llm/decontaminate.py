@@ -268,17 +268,23 @@ def _add_hits(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, kept:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *_FOUND])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """`keep`, n_words, n_hit, n_items, items_sha256, contaminated and longest (words of the longest hit span)."""
-    small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    now = docs.select(*keep, F.col(text).alias("__text"))
-    for shared, last in _passes(context, matchers_of(benchmark, window=window, part_words=part_words)):
-        fields = [*(now.schema[c] for c in keep), *([] if last else [now.schema["__text"]]), T.StructField("__words", T.LongType())]
+def _with_hits(now: DataFrame, keep: Sequence[str], passes: Iterator[tuple[Broadcast | None, bool]], keep_text: bool = False) -> DataFrame:
+    """`keep` and the hits of all parts in the unchanged text `__text`, which goes on only with `keep_text`."""
+    for shared, last in passes:
+        drop = last and not keep_text
+        fields = [*(now.schema[c] for c in keep), *([] if drop else [now.schema["__text"]]), T.StructField("__words", T.LongType())]
         fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("__from", "__to")] + [T.StructField("__items", T.ArrayType(T.StringType()))]
-        now = now.mapInArrow(partial(_add_hits, shared=shared, kept=list(keep), last=last), T.StructType(fields))
+        now = now.mapInArrow(partial(_add_hits, shared=shared, kept=list(keep), last=drop), T.StructType(fields))
         if not last:
             now = written(now, "hits")
+    return now
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """`keep`, n_words, n_hit, n_items, items_sha256, contaminated and longest (words of the longest hit span)."""
+    small_batches(docs.sparkSession)
+    passes = _passes(docs.sparkSession.sparkContext, matchers_of(benchmark, window=window, part_words=part_words))
+    now = _with_hits(docs.select(*keep, F.col(text).alias("__text")), keep, passes)
     lengths = F.zip_with("__to", "__from", lambda e, s: e - s)
     n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
     return now.select(
@@ -296,7 +302,7 @@ def _without(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:
 
 
 def _cut_hits(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, max_span: int, text: str) -> Iterator[pa.RecordBatch]:
-    """Texts without the hits of one part, cut until nothing is left to cut: what a cut brings together may be a window."""
+    """Texts without the hits of the only part, cut until nothing is left to cut: what a cut brings together may be a window."""
     matchers = [shared.value] if shared else []
     for batch in batches:
         if not batch.num_rows:
@@ -304,9 +310,8 @@ def _cut_hits(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, max_s
         place = batch.schema.names.index(text)
         out = batch.column(place).to_pylist()
         first = scan(out, matchers)
-        words = batch.column("__words").to_pylist() if "__words" in batch.schema.names else [n for n, _, _ in first]
-        before = batch.column("__hit").to_pylist() if "__hit" in batch.schema.names else [0] * len(out)
-        hits = [h + sum(e - s for s, e, _, _ in spans) for h, (_, spans, _) in zip(before, first)]
+        words = [n for n, _, _ in first]
+        hits = [sum(e - s for s, e, _, _ in spans) for _, spans, _ in first]
         todo, found = list(range(len(out))), first
         while todo:
             changed = []
@@ -316,24 +321,56 @@ def _cut_hits(batches: Iterator[pa.RecordBatch], shared: Broadcast | None, max_s
                     out[i] = _without(out[i], spans)
                     changed.append(i)
             todo, found = changed, scan([out[i] for i in changed], matchers)
-        names = [c for c in batch.schema.names if c not in ("__words", "__hit")]
-        columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(hits, pa.int64())], names=[*names, "__words", "__hit"])
+        columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(hits, pa.int64())], names=[*batch.schema.names, "__words", "__hit"])
+
+
+def _cut_found(batches: Iterator[pa.RecordBatch], kept: Sequence[str], max_span: int) -> Iterator[pa.RecordBatch]:
+    """Texts without the spans that all parts found, cut once, and whether that changed them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts, changed = [], []
+        for text, lows, highs in zip(*(batch.column(c).to_pylist() for c in ("__text", "__from", "__to"))):
+            spans = [(s, e) for s, e in zip(lows, highs) if e - s > max_span]
+            if spans:
+                _, starts, ends = word_bounds(text.encode("utf-8", "surrogatepass").lower())
+                text = _without(text, [(s, e, int(starts[s]), int(ends[e - 1])) for s, e in spans])
+            texts.append(text)
+            changed.append(bool(spans))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(changed)], names=[*kept, "__text", "__changed"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_span: int = 0, max_coverage: float = 0.5, part_words: int = PART_WORDS) -> DataFrame:
     """The rows whose hits cover at most `max_coverage` of their words, without the hit spans of over `max_span` words.
 
-    All columns stay; texts without such spans, null among them, are unchanged. Parts of the benchmark cut in turn.
+    All columns stay; texts without such spans, null among them, are unchanged. Hits of all parts of the benchmark are found
+    in the same text, which is cut then; texts that were cut are passed by all parts again until none finds anything.
     """
     small_batches(docs.sparkSession)
-    now, names = safe_names(docs)
-    schema = T.StructType([*now.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__hit", T.LongType())])
-    for shared, last in _passes(docs.sparkSession.sparkContext, matchers_of(benchmark, window=window, part_words=part_words)):
-        now = now.mapInArrow(partial(_cut_hits, shared=shared, max_span=max_span, text=names[text]), schema)
-        if not last:
-            now = written(now, "cut")
-    return now.where(F.col("__hit") <= max_coverage * F.col("__words")).select(*[F.col(n).alias(c) for c, n in names.items()])
+    plain, names = safe_names(docs)
+    context = docs.sparkSession.sparkContext
+    parts = lambda: _passes(context, matchers_of(benchmark, window=window, part_words=part_words))
+    shared, only = next(parts())
+    if only:
+        schema = T.StructType([*plain.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__hit", T.LongType())])
+        now = plain.mapInArrow(partial(_cut_hits, shared=shared, max_span=max_span, text=names[text]), schema)
+        return now.where(F.col("__hit") <= max_coverage * F.col("__words")).select(*[F.col(n).alias(c) for c, n in names.items()])
+    kept = [n for c, n in names.items() if c != text]
+    now = plain.withColumnRenamed(names[text], "__text")
+    schema = T.StructType([*(now.schema[c] for c in (*kept, "__text")), T.StructField("__changed", T.BooleanType())])
+    hit = F.aggregate(F.zip_with("__to", "__from", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, n: a + n)
+    done = None
+    while True:
+        found = _with_hits(now, kept, parts(), keep_text=True)
+        if done is None:
+            found = found.where(hit <= max_coverage * F.col("__words"))
+        passed = written(found.mapInArrow(partial(_cut_found, kept=kept, max_span=max_span), schema), "cut")
+        same = passed.where("not __changed").drop("__changed")
+        done = same if done is None else done.unionByName(same)
+        now = passed.where("__changed").drop("__changed")
+        if now.isEmpty():
+            return done.select(*[F.col("__text" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
