@@ -106,6 +106,18 @@ def test_article_pages():
     assert H.main_text(page) == "Head&line One two three four five <b> é x"
 
 
+def test_wrappers_hide_nothing():
+    article = '<article><div class="entry-header"><h1>Head</h1></div><p>text of it</p></article>'
+    for wrapper in ('body class="has-sidebar"', 'div class="content-with-sidebar"', 'div style="overflow:hidden"', 'div class="overflow-hidden"', 'div aria-hidden="false"', 'div data-x="hidden"', 'div class="sidebar"', "html class=search"):
+        name = wrapper.split()[0]
+        for inner, want in ((article, "Head text of it"), (f"<p>{'long text ' * 20}</p>", ("long text " * 20).strip())):
+            if wrapper != 'div class="sidebar"' or inner == article:
+                assert H.main_text(f"<{wrapper}>{inner}</{name}>") == want, wrapper
+    for hidden in ("hidden", 'aria-hidden="true"', "style='color:red; display : none'", 'class="site-footer"', "id=sidebar", 'role="navigation"', 'class="x cookie-notice"', 'class="ad-slot"'):
+        assert H.main_text(f"<article><p>a</p><div {hidden}>no</div><p>b</p></article>") == "a b", hidden
+    assert H.main_text('<article>a</article><div class="related"><article>b</article></div>') == "a"
+
+
 def test_pages_without_an_article():
     body = "<p>" + "long text of the page. " * 8 + "</p>"
     page = f"<div id=menu><a href=a>aa</a> <a href=b>bb</a></div><ul><li><a href=c>a link list</a></li></ul>{body}<p>tail</p><div class='footer'>end</div>"

@@ -48,32 +48,47 @@ MARKS = frozenset(
     "comments disqus replies complementary contentinfo search pagination pager widget".split()
 )
 
+#: Words that may stand beside those in a hyphenated name of the same meaning.
+BESIDE = frozenset(
+    "site global top bottom left right primary secondary main mobile desktop container wrapper wrap box bar list links "
+    "block area section slot unit buttons button form posts articles item items x".split()
+)
+
 _RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.I | re.S)
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)|[!?/][^>]*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[^a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_PARTS = re.compile(r"[^a-z]+")
+
+
+def _is_mark(token: str) -> bool:
+    """Whether a name is one of MARKS, or made of those and words beside them."""
+    if token in MARKS:
+        return True
+    parts = {p for p in _PARTS.split(token) if p}
+    return not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE
 
 
-def _marked(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is not part of the article."""
+def _marked(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is not part of the article, and whether only its names say so."""
     if name in BOILERPLATE:
-        return not (name == "header" and inside_article)
+        return not (name == "header" and inside_article), False
     if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if not MARKS.isdisjoint(_WORDS.split(value)) and not (name in ARTICLE and "comment" not in value):
-            return True
-    return False
+        return False, False
+    named = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NONE.search(value)):
+            return True, False
+        if key in ("class", "id", "role") and name not in ("html", "body") and any(map(_is_mark, value.split())):
+            named |= not (name in ARTICLE and "comment" not in value)
+    return named, named
 
 
 def lines(html: str) -> tuple[list[str], list[float], bool]:
     """Text and length of each line, and whether the page marks its article."""
     html = _RAW.sub(lambda m: " " if m[1] else "", html)
-    stack: list[tuple[str, bool, bool]] = []  # name, not the article, opens the article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, not the article, opens the article, only names say so
     hidden = depth = links = 0
     texts: list[str] = []
     state: list[tuple[bool, bool]] = []  # hidden, in the article
@@ -95,7 +110,7 @@ def lines(html: str) -> tuple[list[str], list[float], bool]:
 
     def pop() -> None:
         nonlocal hidden, depth
-        _, bad, opens = stack.pop()
+        _, bad, opens, _ = stack.pop()
         hidden -= bad
         depth -= opens
 
@@ -125,17 +140,20 @@ def lines(html: str) -> tuple[list[str], list[float], bool]:
             continue
         if name == "a":
             links = 1
-            if not _marked(name, m[3], depth > 0):
+            if not _marked(name, m[3], depth > 0)[0]:
                 continue
         if name in VOID or m[3].endswith("/"):
             continue
         if block:
             while stack and stack[-1][0] in SLOPPY and (stack[-1][0] == "p" or stack[-1][0] == name):
                 pop()
-        bad = _marked(name, m[3], depth > 0)
+        bad, named = _marked(name, m[3], depth > 0)
         opens = name in ARTICLE or ('"main"' in m[3] and "role" in m[3])
+        if opens and not found and not bad:  # what holds the article is no boilerplate, whatever its name
+            hidden -= sum(x[1] and x[3] for x in stack)
+            stack = [(x[0], x[1] and not x[3], x[2], x[3]) for x in stack]
         if block or bad:
-            stack.append((name, bad, opens))
+            stack.append((name, bad, opens, named))
             hidden += bad
             depth += opens
             found |= opens and not hidden
