@@ -81,6 +81,24 @@ def test_model_adds_random_strings_only():
         assert S.scan(f"see {text} there", model)[1] == []
 
 
+def test_secrets_joined_to_ordinary_characters():
+    model = S.default_model()
+    rng = random.Random(11)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n, chars=base62: "".join(rng.choice(chars) for _ in range(n))
+    made = [("services/production/notifications/user/", key(24)) for _ in range(60)]
+    made += [("NOTIFICATION_SERVICE_DEFAULT_HANDLER_NAME=", key(24)) for _ in range(60)]
+    made += [("production_notification_service_handler_", key(24)) for _ in range(60)]
+    made += [("", key(24, base62[:52])) for _ in range(60)]  # letters only
+    made += [("token=abcdef12345.", key(30) + "+/") for _ in range(60)]
+    caught = [S.mask(f"see {ordinary}{k} there", model, S.MIN_RATIO, "*").find(k[4:-4]) < 0 for ordinary, k in made]
+    assert [sum(caught[i : i + 60]) >= 57 for i in range(0, 300, 60)] == [True] * 5
+    text = f"AKIA{'ABCDEFGH12' * 2}_{key(30)}"  # what a base span leaves of a run
+    assert S.mask(f"see {text} there", model, S.MIN_RATIO, "*").count("*") == 2
+    for ordinary in ("services/production/notifications/user/settings/update", "NOTIFICATION_SERVICE_DEFAULT_HANDLER_NAME=production", "internationalizationframeworks", "getUserNameFromSessionListOfItems"):
+        assert S.scan(f"see {ordinary} there", model)[1] == []
+
+
 def test_models_separate_held_out_samples():
     model = S.default_model()
     right = [(model.ratio(t) >= S.MIN_RATIO) == random_ for t, random_ in S.labelled_samples(1000, seed=99) if len(t) >= 20]

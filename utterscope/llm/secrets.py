@@ -1,8 +1,10 @@
 """Secret scans: character Markov models of random strings and of ordinary identifiers, compared by log-likelihood ratio.
 
 Two first-order character models, trained from labelled samples (text, is_random), score every long run of key-like
-characters; a run whose mean log-likelihood ratio favours the random model is a secret. Patterns for assignments, access
-keys and long hexadecimal runs give the base spans; the models add spans ("markov") that overlap none of those.
+characters; a run whose mean log-likelihood ratio favours the random model is a secret. Where the whole run's does not, its
+pieces between separators and then the stretch that exceeds the least ratio most are scored on their own, so that ordinary
+characters joined to a secret don't water it down. Patterns for assignments, access keys and long hexadecimal runs give
+the base spans; the models add spans ("markov") in what those leave of a run.
 
 Defined results: a null text is empty and has no spans; positions are code points, ends exclusive; repeated rows are
 scanned each; an empty table gives an empty result; further columns of the input are not read by the scan and are kept by
@@ -33,8 +35,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run, as [0-9a-f]+ with 24 characters or more is
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-#: Runs that the models look at: key-like characters, with a digit and a letter among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+#: Runs that the models look at: key-like characters, with a letter among them.
+MIN_RUN = 20
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}", re.ASCII)
+PIECE = re.compile(rf"[^/=]{{{MIN_RUN},}}")
+LETTER = re.compile(r"[A-Za-z]")
 MIN_RATIO = 0.35
 
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
@@ -105,6 +110,21 @@ class MarkovRatio:
             return 0.0
         return float(self.first[codes[0]] + self.step[codes[:-1], codes[1:]].sum()) / len(codes)
 
+    def best(self, text: str, least: float) -> tuple[int, int] | None:
+        """The stretch of MIN_RUN characters or more that exceeds a mean ratio of `least` most, to the ends of its words."""
+        codes = encode(text)
+        total = np.concatenate(([0.0], np.cumsum(np.append(self.first[codes[0]], self.step[codes[:-1], codes[1:]]) - least)))
+        low = np.minimum.accumulate(total[:-MIN_RUN])
+        end = int(np.argmax(total[MIN_RUN:] - low))
+        if total[end + MIN_RUN] < low[end]:
+            return None
+        start, end = int(np.argmin(total[: end + 1])), end + MIN_RUN
+        while start and text[start - 1].isalnum():
+            start -= 1
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        return start, end
+
 
 def encode(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -123,16 +143,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def model_spans(text: str, model: MarkovRatio, taken: Sequence[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if model.ratio(run) >= least:
-            found.append((m.start(), 3, m.end()))
+        at = m.start()
+        for s, _, e in [x for x in taken if x[0] < m.end() and m.start() < x[2]] + [(m.end(), 3, m.end())]:
+            if s - at >= MIN_RUN:
+                found += [(at + a, 3, at + b) for a, b in random_parts(text[at:s], model, least)]
+            at = max(at, e)
     return found
 
 
+def random_parts(run: str, model: MarkovRatio, least: float) -> list[tuple[int, int]]:
+    """The run if the random model explains it better, or else those of its parts."""
+    if len(run) < MIN_RUN or not LETTER.search(run):
+        return []
+    if model.ratio(run) >= least:
+        return [(0, len(run))]
+    pieces = [m.span() for m in PIECE.finditer(run)]
+    if pieces != [(0, len(run))]:
+        found = [(s + a, s + b) for s, e in pieces for a, b in random_parts(run[s:e], model, least)]
+        if found:
+            return found
+    best = model.best(run, least)
+    if not best or not LETTER.search(run, *best):
+        return []
+    s, e = best
+    return [*random_parts(run[:s], model, least), best, *((e + a, e + b) for a, b in random_parts(run[e:], model, least))]
+
+
 def scan(text: str | None, model: MarkovRatio, least: float = MIN_RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, each sorted by start and kind."""
     if not text:
