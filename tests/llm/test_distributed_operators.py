@@ -370,15 +370,15 @@ def brute_scores(docs, target, size, alpha):
     return [(len(pairs(d)), sum(t(*p) for p in pairs(d)) / len(pairs(d)), sum(b(*p) for p in pairs(d)) / len(pairs(d))) for d in docs]
 
 
-@pytest.mark.parametrize("size", [3, 1000])
-def test_cross_entropies(spark, size):
-    rng = random.Random(size)
+@pytest.mark.parametrize("block", [60, 1 << 22])
+def test_cross_entropies(spark, block):
+    rng = random.Random(block)
     make = lambda pool, n: [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 20))) for _ in range(n)]
     docs, target = [*make(["a", "B", "c", "é"], 40), None, "", "z " * 20_000], [*make(["a", "b"], 20), None]
     for own in (target, []):
         df = spark.createDataFrame(list(enumerate(docs)), DOCS).withColumn("score", F.lit("clash"))
-        got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(t,) for t in own], "text string"), vocabulary=size, alpha=5.0).collect()
-        want = brute_scores(docs, own, size, 5.0)
+        got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(t,) for t in own], "text string"), alpha=5.0, block_bytes=block, part_bits=3).collect()
+        want = brute_scores(docs, own, 10**9, 5.0)
         for r in got:
             n, t, b = want[r["doc_id"]]
             assert r["n_tokens"] == n and r["ce_target"] == pytest.approx(t) and r["ce_background"] == pytest.approx(b) and r["score"] == pytest.approx(t - b)
@@ -392,14 +392,14 @@ def test_every_word_is_told_apart(spark):
     target = [*docs[20:60], "other words", None]
     df = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(docs)], DOCS).withColumn("score", F.lit("clash"))
     for own in (target, []):
-        got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(t,) for t in own], "text string"), vocabulary=None, alpha=5.0).collect()
+        got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(t,) for t in own], "text string"), alpha=5.0, block_bytes=400).collect()
         want = brute_scores(docs, own, 10**9, 5.0)
         assert sorted(r["doc_id"] or 0 for r in got) == list(range(len(docs)))
         for r in got:
             n, t, b = want[r["doc_id"] or 0]
             assert r["n_tokens"] == n and r["ce_target"] == pytest.approx(t) and r["ce_background"] == pytest.approx(b) and r["score"] == pytest.approx(t - b)
     empty = spark.createDataFrame([], DOCS)
-    assert lm_score.cross_entropy_difference(empty, empty, vocabulary=None).count() == 0
+    assert lm_score.cross_entropy_difference(empty, empty, block_bytes=400).count() == 0
 
 
 def test_target_like_documents_score_lower(spark):

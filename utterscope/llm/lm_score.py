@@ -1,204 +1,255 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of a target corpus and of the background corpus, share one vocabulary: the most frequent words of both,
-all others being one unknown word, or every word of both where the size is None. They have the same order and smoothing. A document's score is the mean over its tokens
-(words, A-Z lower-cased and split at ASCII white space, and the end mark) of the target model's loss minus the
-background model's: the lower, the more the document is like the target.
-
-Words and bigrams are counted over every row of both corpora, in each task first and then by shuffles. What comes to the
-driver and is broadcast is bounded by the vocabulary: (size + 2) ** 2 entries a model. With every word nothing is
-broadcast: each document's distinct bigrams meet the counts of both corpora in shuffled joins.
-
-P(w | v) = (n(v w) + alpha * P(w)) / (n(v) + alpha), P(w) = (n(w) + 1) / (N + outcomes).
-
-Defined results: null texts are empty and have the end mark only; repeated rows are counted and scored each; with an empty
-target all words are equally likely under its model; an empty background table gives an empty result; further columns
-are not read.
+Two bigram models, of a target corpus and of the background corpus, share one vocabulary: every word of both. They have
+the same order and smoothing. A document's score is the mean over its tokens (words, A-Z lower-cased and split at ASCII
+white space, and the end mark) of the target model's loss minus the background model's: the lower, the more the document
+is like the target.
+
+P(w | v) = (n(v w) + alpha * P(w)) / (n(v) + alpha), P(w) = (n(w) + 1) / (N + outcomes), where the outcomes are the words
+of both corpora, the end mark and an unknown word.
+
+The counts are sparse and grow with the input; none is broadcast or brought to the driver. Documents are dealt to blocks
+of about BLOCK_BYTES. A block's distinct words and bigrams go, as sorted hashes with their counts, to the parts of the hash
+space; a part sums the counts of all blocks and answers each block with the counts of the hashes that it asked about, in
+the same order; a block then scores its own texts. So what is shuffled is a block's distinct bigrams, however hot one is,
+and a part holds about PART_ENTRIES of them whatever the input. Words and bigrams are told apart by 64-bit hashes.
+
+Defined results: null texts are empty and have the end mark only; a text longer than a block is a block of its own; repeated
+rows are counted and scored each, and so equally; with an empty target all words are equally likely under its model; an
+empty background table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utterscope.llm.common import byte_chunks, cut, map_texts, small_batches, table
+from utterscope.llm.arrays import mixed, run_hashes, runs
+from utterscope.llm.common import small_batches, table, written
 
-VOCABULARY = 2048
 ALPHA = 20.0
-COUNT_BYTES = 4 << 20
-MAX_COUNTED = 200_000
+BLOCK_BYTES = 4 << 20
+PART_ENTRIES = 1 << 21
+PART_BITS = 8
+ANSWER_ENTRIES = 1 << 19
+#: White space that parts words, and capital letters. Fixed values.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = np.uint64(0x5851F42D4C957F2D)
+WORDS, PAIRS = 0, 1
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.lower().split()
+def _keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens and of all bigrams, text after text, and where each text's begin (and the last one's end).
 
+    A token's bigram is it and what stands before it, a mark for the first word; the last token is the end mark.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    starts, ends = runs(~_SPACE[data])
+    hashes = run_hashes(data, starts, ends)
+    upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))  # words of the texts so far
+    marks = upto + np.arange(len(raw))
+    words = np.full(len(hashes) + len(raw), _MARK)
+    at = np.ones(len(words), bool)
+    at[marks] = False
+    words[at] = hashes
+    before = np.concatenate(([_MARK], words[:-1]))
+    return words, mixed(before * np.uint64(3) + words), np.concatenate(([0], marks + 1))
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
 
-    def flushed() -> pa.RecordBatch:
-        got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return got
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of equal bytes, which the shuffle's compression packs well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
-    for batch in batches:
-        for _, chunk in byte_chunks(batch.column(0).to_pylist()):
-            counts.update(words_of(b"\n".join(chunk)))
-            if len(counts) > MAX_COUNTED:
-                yield flushed()
-    if counts:
-        yield flushed()
-
-
-def _ids(chunk: Sequence[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of the texts, each between boundary marks shared with its neighbours, and the place of each first mark."""
-    split = [words_of(x) for x in chunk]
-    sizes = np.array([len(x) for x in split], np.int64)
-    marks = np.concatenate(([0], np.cumsum(sizes + 1)))
-    ids = np.full(int(marks[-1]) + 1, len(numbers) + 1, np.int64)
-    at = np.ones(len(ids), bool)
-    at[marks] = False
-    get = numbers.get
-    ids[at] = np.fromiter((i for own in split for i in map(get, own, repeat(0))), np.int64, int(sizes.sum()))
-    return ids, marks
 
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-def _bigram_counts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    numbers = shared.value
-    outcomes = len(numbers) + 2
-    total = np.zeros(outcomes * outcomes, np.int64)
-    for batch in batches:
-        for _, chunk in byte_chunks(batch.column(0).to_pylist(), COUNT_BYTES):
-            ids, _ = _ids(chunk, numbers)
-            total += np.bincount(ids[:-1] * outcomes + ids[1:], minlength=len(total))
-    seen = np.flatnonzero(total)
-    for at in range(0, len(seen), 100_000):
-        own = seen[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], names=["pair", "n"])
-
-
-def shared_vocabulary(corpora: Sequence[DataFrame], size: int) -> dict[bytes, int]:
-    """Numbers from 1 of the `size` most frequent words of all corpora, ties by the word."""
-    counted = corpora[0].mapInArrow(_word_counts, "word string, n long")
-    for more in corpora[1:]:
-        counted = counted.union(more.mapInArrow(_word_counts, "word string, n long"))
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {r["word"].encode("utf-8", "surrogatepass"): k for k, r in enumerate(top, 1)}
-
-
-def losses(corpus: DataFrame, shared, outcomes: int, alpha: float) -> np.ndarray:
-    """-log P of each pair under the model of one corpus, flat; made in place in one array."""
-    counted = corpus.mapInArrow(partial(_bigram_counts, shared=shared), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(outcomes * outcomes)
-    for part in counted.to_batches():
-        flat[part["pair"].to_numpy()] = part["n"].to_numpy()
-    del counted
-    n = flat.reshape(outcomes, outcomes)
-    one = (n.sum(axis=0) + 1) / (n.sum() + outcomes)
-    before = n.sum(axis=1)
-    n += alpha * one
-    n /= (before + alpha)[:, None]
-    np.log(flat, out=flat)
-    return np.negative(flat, out=flat)
-
-
-def _scores(texts: Sequence[str | None], numbers, models) -> dict[str, np.ndarray]:
-    target, background = (m.value for m in models)
-    outcomes = len(numbers.value) + 2
-    out = {"n_tokens": np.zeros(len(texts), np.int64), "ce_target": np.zeros(len(texts)), "ce_background": np.zeros(len(texts))}
-    for first, chunk in byte_chunks(texts):
-        ids, marks = _ids(chunk, numbers.value)
-        pairs = ids[:-1] * outcomes + ids[1:]
-        own = slice(first, first + len(chunk))
-        out["n_tokens"][own] = np.diff(marks)
-        for name, table_ in (("ce_target", target), ("ce_background", background)):
-            out[name][own] = np.add.reduceat(table_[pairs], marks[:-1]) / np.diff(marks)
-    return out
-
-
-def _own_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct bigrams "v w" with their counts; a mark is an empty word. A text's first row has what is kept."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        rows: list[int] = []
-        kept: list[int | None] = []
-        pairs: list[bytes] = []
-        here: list[int] = []
-
-        def made() -> pa.RecordBatch:
-            columns = [pa.array(rows, pa.int64()), batch.column(1).take(pa.array(kept, pa.int64())), pa.array(pairs, pa.binary()).cast(pa.string()), pa.array(here, pa.int64())]
-            for own in (rows, kept, pairs, here):
-                own.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["row", "kept", "pair", "here"])
-
-        for first, chunk in byte_chunks(batch.column(2).to_pylist()):
-            for i, raw in enumerate(chunk, first):
-                words = [b"", *words_of(raw), b""]
-                counts = Counter(map(b" ".join, zip(words, words[1:])))
-                rows += [ids[i]] * len(counts)
-                kept += [i, *[None] * (len(counts) - 1)]
-                pairs += counts
-                here += counts.values()
-            yield made()
-
-
-def _scored_by_joins(docs: DataFrame, target: DataFrame, text: str, target_text: str, keep: Sequence[str], alpha: float) -> DataFrame:
-    """As cross_entropy_difference with every word of both corpora."""
-
-    def bigrams(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-        kept = F.struct(F.lit(0).alias("__any"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keep)]).alias("kept")
-        slim = df.select(F.monotonically_increasing_id().alias("row"), kept, F.col(f"`{text}`").alias("text"))
-        fields = [slim.schema["row"], T.StructField("kept", slim.schema["kept"].dataType), T.StructField("pair", T.StringType()), T.StructField("here", T.LongType())]
-        return slim.mapInArrow(_own_bigrams, T.StructType(fields))
-
-    own = cut(bigrams(docs, text, keep))
-    none = F.lit(0).cast("long")
-    seen = own.select("pair", F.col("here").alias("b"), none.alias("t")).unionAll(bigrams(target, target_text, ()).select("pair", none, "here"))
-    counted = cut(
-        seen.groupBy("pair").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-        .withColumn("v", F.substring_index("pair", " ", 1)).withColumn("w", F.substring_index("pair", " ", -1))
-    )
-    before = cut(counted.groupBy("v").agg(F.sum("b").alias("b_before"), F.sum("t").alias("t_before")))
-    single = cut(counted.groupBy("w").agg(F.sum("b").alias("b_single"), F.sum("t").alias("t_single")))
-    words, b_total, t_total = single.agg(F.count_if(F.col("w") != ""), F.coalesce(F.sum("b_single"), none), F.coalesce(F.sum("t_single"), none)).first()
-    outcomes = words + 2
 
-    def loss(side: str, total: int):
-        one = (F.col(f"{side}_single") + 1) / F.lit(float(total + outcomes))
-        return -F.log((F.col(side) + alpha * one) / (F.col(f"{side}_before") + alpha))
+def _parted(own: np.ndarray, bits: int) -> np.ndarray:
+    """Where each part of the hash space begins in sorted hashes, and where the last one ends."""
+    cuts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate(([0], np.searchsorted(own, cuts), [len(own)]))
 
-    losses = cut(counted.where("b > 0").join(before, "v").join(single, "w").select("pair", loss("t", t_total).alias("t"), loss("b", b_total).alias("b")))
-    sums = own.select("row", "pair", "here").join(losses, "pair").groupBy("row").agg(
-        F.sum("here").alias("n_tokens"), (F.sum(F.col("here") * F.col("t")) / F.sum("here")).alias("ce_target"), (F.sum(F.col("here") * F.col("b")) / F.sum("here")).alias("ce_background"))
-    scored = own.where(F.col("kept").isNotNull()).select("row", "kept").join(sums, "row")
-    return scored.select(*[F.col(f"kept.__k{i}").alias(k) for i, k in enumerate(keep)], "n_tokens", "ce_target", "ce_background")
 
+_ENTRY = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: int | None = VOCABULARY, alpha: float = ALPHA) -> DataFrame:
+
+def _entries(blocks: Iterator[tuple[int | None, list[str | None]]], bits: int) -> Iterator[pa.RecordBatch]:
+    """For each part that a block has hashes in: the hashes (differences) and their counts. A target has no block."""
+    for block, texts in blocks:
+        words, pairs, _ = _keys(texts)
+        rows: list[tuple] = []
+        for kind, keys in ((WORDS, words), (PAIRS, pairs)):
+            own, counts = np.unique(keys, return_counts=True)
+            cuts = _parted(own, bits).tolist()
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    steps = np.diff(own[a:b], prepend=np.uint64(0))
+                    rows.append((part * 2 + kind, block, _planes(steps), _planes(counts[a:b].astype(np.uint32))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+
+
+def _with_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block: runs of about `limit` bytes of the last column, the text.
+
+    The numbers hang on the partition and the order of its rows alone, so every scan of the same files gives the same.
+    """
+    from pyspark import TaskContext
+
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        numbers = []
+        for length in pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist():
+            length = (length or 0) + 1
+            if size and size + length > limit:
+                block, size = block + 1, 0
+            size += length
+            numbers.append(block)
+        if numbers:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "__block"])
+
+
+def _block_entries(batches: Iterator[pa.RecordBatch], bits: int, limit: int) -> Iterator[pa.RecordBatch]:
+    def blocks() -> Iterator[tuple[int, list[str | None]]]:
+        now, texts = None, []
+        for batch in _with_blocks(batches, limit):
+            for text, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != now and texts:
+                    yield now, texts
+                    texts = []
+                now = block
+                texts.append(text)
+        if texts:
+            yield now, texts
+
+    return _entries(blocks(), bits)
+
+
+def _target_entries(batches: Iterator[pa.RecordBatch], bits: int, limit: int) -> Iterator[pa.RecordBatch]:
+    def blocks() -> Iterator[tuple[None, list[str | None]]]:
+        texts: list[str | None] = []
+        size = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                texts.append(text)
+                size += len(text or "") + 1
+                if size > limit:
+                    yield None, texts
+                    texts, size = [], 0
+        if texts:
+            yield None, texts
+
+    return _entries(blocks(), bits)
+
+
+_ANSWER = "block long, part long, background binary, target binary, words long, background_tokens long, target_tokens long"
+_ANSWER_ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (x.split() for x in _ANSWER.split(", "))])
+
+
+def _answered(part: int, rows: Sequence[tuple[int | None, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """What one part answers to the (block, keys, counts) that it was asked."""
+    keys = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
+    counts = np.concatenate([_numbers(c, np.uint32) for _, _, c in rows]).astype(np.float64)
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    asks = np.repeat([block is not None for block, _, _ in rows], [len(k) for k in keys])
+    background = np.bincount(place, counts * asks, len(distinct)).astype(np.uint64)
+    target = np.bincount(place, counts * ~asks, len(distinct)).astype(np.uint64)
+    out: list[tuple] = []
+    if part % 2 == WORDS:
+        out.append((None, part, None, None, len(distinct) - int((distinct == _MARK).any()), int(background.sum()), int(target.sum())))
+    at = held = 0
+    for (block, _, _), own in zip(rows, keys):
+        here = place[at : at + len(own)]
+        at += len(own)
+        if block is not None:
+            out.append((block, part, _planes(background[here]), _planes(target[here]), None, None, None))
+            held += len(own)
+        if held > ANSWER_ENTRIES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ANSWER_ARROW)], schema=_ANSWER_ARROW)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ANSWER_ARROW)], schema=_ANSWER_ARROW)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of all blocks for what each block of a part asked about; and, without a block, a part's sums of words.
+
+    A partition holds whole parts, each in a run of rows.
+    """
+    now, rows = None, []
+    for batch in batches:
+        for part, block, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now and rows:
+                yield from _answered(now, rows)
+                rows = []
+            now = part
+            rows.append((block, keys, counts))
+    if rows:
+        yield from _answered(now, rows)
+
+
+def _scored(docs: pa.Table, answers: pa.Table, kept: Sequence[str], bits: int, outcomes: int, totals: tuple[int, int], alpha: float) -> pa.Table:
+    """The scores of one block's texts."""
+    words, pairs, bounds = _keys(docs["text"].to_pylist())
+    order = np.argsort(answers["part"].to_numpy(), kind="stable")
+    parts = answers["part"].to_numpy()
+    losses = {}
+    places = {kind: np.unique(keys, return_inverse=True)[1] for kind, keys in ((WORDS, words), (PAIRS, pairs))}
+    for side, total in zip(("background", "target"), totals):
+        blobs = answers[side].to_pylist()
+        counts = {
+            kind: np.concatenate([_numbers(blobs[i], np.uint64) for i in order if parts[i] % 2 == kind]).astype(np.float64)[places[kind]]
+            for kind in (WORDS, PAIRS)
+        }
+        before = np.concatenate(([0.0], counts[WORDS][:-1]))
+        first = bounds[:-1]
+        before[first] = counts[WORDS][bounds[1:] - 1]  # the mark before a text is that after it
+        one = (counts[WORDS] + 1) / (total + outcomes)
+        loss = np.log(before + alpha) - np.log(counts[PAIRS] + alpha * one)
+        losses[side] = np.add.reduceat(loss, first) / np.diff(bounds)
+    made = {"n_tokens": np.diff(bounds), "ce_target": losses["target"], "ce_background": losses["background"]}
+    return pa.table({**{k: docs[k] for k in kept}, **made})
+
+
+def cross_entropy_difference(
+    docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", keep: Sequence[str] = ("doc_id",),
+    alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, part_bits: int = PART_BITS,
+) -> DataFrame:
     """`keep`, n_tokens, ce_target, ce_background and score (their difference) of each whole text of the background.
 
-    With `vocabulary` None every word of both corpora is told apart.
+    The hash space has 2 ** part_bits parts or, with more text, as many as keep a part at about PART_ENTRIES hashes.
     """
     small_batches(docs.sparkSession)
-    if vocabulary is None:
-        scored = _scored_by_joins(docs, target, text, target_text, keep, alpha)
-        return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
-    context = docs.sparkSession.sparkContext
-    corpora = [target.select(F.col(target_text).alias("text")), docs.select(F.col(text).alias("text"))]
-    words = shared_vocabulary(corpora, vocabulary)
-    numbers = context.broadcast(words)
-    models = [context.broadcast(losses(c, numbers, len(words) + 2, alpha)) for c in corpora]
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ce_target", T.DoubleType()), T.StructField("ce_background", T.DoubleType())]
-    scored = map_texts(docs, text, partial(_scores, numbers=numbers, models=models), fields, keep)
-    return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
+    names = [f"__k{i}" for i in range(len(keep))]
+    plain = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col(f"`{text}`").alias("text"))
+    slim = written(plain, "texts")
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(part_bits, (size // 8 // PART_ENTRIES).bit_length())
+    entry = "part long, block long, keys binary, counts binary"
+    asked = slim.select("text").mapInArrow(partial(_block_entries, bits=bits, limit=block_bytes), entry)
+    given = target.select(F.col(f"`{target_text}`").alias("text")).mapInArrow(partial(_target_entries, bits=bits, limit=block_bytes), entry)
+    dealt = asked.unionAll(given).repartition(F.col("part")).sortWithinPartitions("part")
+    answers = written(dealt.mapInArrow(_answers, _ANSWER), "answers")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "background_tokens", "target_tokens")]
+    words, *totals = answers.where("block is null").agg(*sums).first()
+    fields = [*plain.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background"))]
+    blocks = slim.mapInArrow(partial(_with_blocks, limit=block_bytes), T.StructType([*plain.schema.fields, T.StructField("__block", T.LongType())]))
+    scored = (
+        blocks.groupBy("__block").cogroup(answers.where("block is not null").select(F.col("block").alias("__block"), "part", "background", "target").groupBy("__block"))
+        .applyInArrow(partial(_scored, kept=names, bits=bits, outcomes=words + 2, totals=tuple(totals), alpha=alpha), T.StructType(fields))
+    )
+    kept = [F.col(n).alias(k) for k, n in zip(keep, names)]
+    return scored.select(*kept, "n_tokens", "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,38 +260,30 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \\t\\n\\x0b\\f\\r]+')"
+_TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \\t\\n\\x0b\\f\\r]+')"
 
 ORACLE_SQL = f"""
 WITH texts AS MATERIALIZED (
-  SELECT 'b' AS side, doc_id AS id, row_number() OVER () AS r, {_WORDS} AS words FROM documents
-  UNION ALL SELECT 't', NULL, row_number() OVER (), {_WORDS} FROM conversations WHERE role = 'assistant'),
-vocabulary AS MATERIALIZED (
-  SELECT word, row_number() OVER (ORDER BY n DESC, word) AS k
-  FROM (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM texts) GROUP BY word)
-  ORDER BY n DESC, word LIMIT {VOCABULARY}),
-size AS (SELECT count(*) + 2 AS outcomes FROM vocabulary),
+  SELECT 'b' AS side, doc_id AS id, row_number() OVER () AS r, {_TOKENS} AS words FROM documents
+  UNION ALL SELECT 't', NULL, row_number() OVER (), {_TOKENS} FROM conversations WHERE role = 'assistant'),
 tokens AS (
-  SELECT side, r, unnest(generate_series(1, len(words) + 1)) AS i, unnest(list_append(words, NULL)) AS word FROM texts),
-numbered AS (
-  SELECT side, r, i, CASE WHEN tokens.word IS NULL THEN -1 ELSE coalesce(k, 0) END AS w
-  FROM tokens LEFT JOIN vocabulary ON tokens.word = vocabulary.word),
+  SELECT side, r, unnest(generate_series(1, len(words) + 1)) AS i, unnest(list_append(words, '')) AS w FROM texts),
 pairs AS MATERIALIZED (
-  SELECT side, r, coalesce(lag(w) OVER (PARTITION BY side, r ORDER BY i), -1) AS v, w FROM numbered),
+  SELECT side, r, coalesce(lag(w) OVER (PARTITION BY side, r ORDER BY i), '') AS v, w FROM tokens),
+size AS (SELECT count(DISTINCT w) FILTER (w <> '') + 2 AS outcomes FROM pairs),
 counted AS MATERIALIZED (SELECT side, v, w, count(*) AS n FROM pairs GROUP BY ALL),
 before AS (SELECT side, v, sum(n) AS n FROM counted GROUP BY ALL),
 single AS (SELECT side, w, sum(n) AS n FROM counted GROUP BY ALL),
-total AS (SELECT side, sum(n) AS n FROM counted GROUP BY ALL),
+total AS (SELECT s.side, coalesce(sum(n), 0) AS n FROM (VALUES ('b'), ('t')) s(side) LEFT JOIN counted USING (side) GROUP BY ALL),
 own AS (SELECT v, w, count(*) AS here, r FROM pairs WHERE side = 'b' GROUP BY ALL),
 kinds AS (SELECT DISTINCT v, w FROM own),
 losses AS MATERIALIZED (
-  SELECT s.side, kinds.v, kinds.w,
-    -ln((coalesce(c.n, 0) + {ALPHA} * (coalesce(x.n, 0) + 1) / (coalesce(t.n, 0) + outcomes)) / (coalesce(b.n, 0) + {ALPHA})) AS loss
-  FROM kinds CROSS JOIN (VALUES ('b'), ('t')) s(side) CROSS JOIN size
-  LEFT JOIN counted c ON c.side = s.side AND c.v = kinds.v AND c.w = kinds.w
-  LEFT JOIN before b ON b.side = s.side AND b.v = kinds.v
-  LEFT JOIN single x ON x.side = s.side AND x.w = kinds.w
-  LEFT JOIN total t ON t.side = s.side),
+  SELECT total.side, kinds.v, kinds.w,
+    ln(coalesce(b.n, 0) + {ALPHA}) - ln(coalesce(c.n, 0) + {ALPHA} * (coalesce(x.n, 0) + 1) / (total.n + outcomes)) AS loss
+  FROM kinds CROSS JOIN total CROSS JOIN size
+  LEFT JOIN counted c ON c.side = total.side AND c.v = kinds.v AND c.w = kinds.w
+  LEFT JOIN before b ON b.side = total.side AND b.v = kinds.v
+  LEFT JOIN single x ON x.side = total.side AND x.w = kinds.w),
 scored AS (
   SELECT r, CAST(sum(here) AS BIGINT) AS n_tokens, sum(here * t.loss) / sum(here) AS ce_target, sum(here * b.loss) / sum(here) AS ce_background
   FROM own JOIN losses t ON t.side = 't' AND t.v = own.v AND t.w = own.w
