@@ -7,13 +7,14 @@ significant slice of that sum downward, the k-th largest approximate score is fo
 out is bounded for each query and block, so all rows that can be among the first k are at most twice the bound below;
 these boundary rows get their exact integer scores.
 
-Queries and rows meet in a grid: row blocks (by a hash of the id) x query blocks. Every query sees every row once, a cell
-holds at most about BLOCK_ROWS rows and BLOCK_QUERIES queries, and gives k rows a query.
+Queries and rows meet in a grid: row blocks (by a hash of the row's number) x query blocks. Every query sees every row once,
+a cell holds about BLOCK_ROWS rows and BLOCK_QUERIES queries, and gives k rows a query.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows with a null id, take no part;
-vectors of different lengths do not meet; a query's own row (all rows of its id) is no candidate; rows that repeat an id are
-candidates each, in the order of score and id; fewer candidates than k are all returned; an empty table gives an empty
-result; further columns are not read. Components must be below 2**27 times their unit, so that scores fit a long.
+vectors of different lengths do not meet; a query's own rows (all rows of its id) are no candidates; each row of a repeated
+query id is a query of its own, with k rows of its own; rows that repeat an id are candidates each, in the order of score
+and id; fewer candidates than k are all returned; an empty table gives an empty result; further columns are not read.
+Components must be below 2**27 times their unit, so that scores fit a long.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SCALE = 1024
 TOP = 10
 EVERY = 100
 BITS = 8
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 1024
+BLOCK_ROWS = 8192
+BLOCK_QUERIES = 4096
 QUERY_STEP = 64
 EXACT_STEP = 1 << 16
 
@@ -57,7 +58,6 @@ class BitSlicedIndex:
         self.shift = max(0, span.bit_length() - bits)
         units = (rows - self.low) >> self.shift
         self.slices = np.stack([_bitmap(((units >> b) & 1).astype(bool).T) for b in range(bits)], axis=1)  # component, bit, word
-        self.valid = _bitmap(np.ones((1, len(rows)), bool))[0]
         self.rest = ((1 << self.shift) - 1) / 2
         self.middle = (((1 << bits) - 1) << self.shift) / 2
         kept = units << self.shift
@@ -65,7 +65,7 @@ class BitSlicedIndex:
         self.kept_norm = float(np.sqrt(((kept - self.middle) ** 2).sum(axis=1).max()))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in query_ids, ids and scores of each query's first k rows."""
+        """Places in query_ids, ids and scores of each query's first k rows of other ids."""
         found = [self._search(query_ids[at : at + QUERY_STEP], queries[at : at + QUERY_STEP], k, at) for at in range(0, len(queries), QUERY_STEP)]
         return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -105,12 +105,11 @@ class BitSlicedIndex:
         bound = np.sqrt((queries.astype(float) ** 2).sum(axis=1)) * self.rest_norm + np.sqrt((lost.astype(float) ** 2).sum(axis=1)) * self.kept_norm
         unit = float(1 << (cut_bits + self.shift))
         margin = np.ceil(2 * bound * (1 + 1e-9) / unit).astype(np.int64) + 1
-        least = np.maximum(0, self._kth(total, k + 1) - margin)
-        rows = self._at_least(total, least)
+        others = _bitmap(self.ids[None, :] != query_ids[:, None])
+        least = np.maximum(0, self._kth(total, k, others) - margin)
+        rows = self._at_least(total, least, others)
         at = np.flatnonzero(np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")[:, : len(self.rows)].ravel())
         q, r = at // len(self.rows), at % len(self.rows)
-        other = self.ids[r] != query_ids[q]
-        q, r = q[other], r[other]
         score = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", queries[q[i : i + EXACT_STEP]], self.rows[r[i : i + EXACT_STEP]]) for i in range(0, len(q), EXACT_STEP))])
         order = np.lexsort((self.ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
@@ -118,9 +117,9 @@ class BitSlicedIndex:
         keep = rank < k
         return q[keep] + base, self.ids[r[keep]], score[keep]
 
-    def _kth(self, total: np.ndarray, k: int) -> np.ndarray:
-        """The k-th largest sum of each query, 0 if there are fewer rows."""
-        open_ = np.broadcast_to(self.valid, total.shape[1:]).copy()
+    def _kth(self, total: np.ndarray, k: int, rows: np.ndarray) -> np.ndarray:
+        """The k-th largest sum of each query among its rows (bitmaps), 0 if there are fewer."""
+        open_ = rows
         above = np.zeros(total.shape[1], np.int64)
         value = np.zeros(total.shape[1], np.int64)
         for p in range(total.shape[0] - 1, -1, -1):
@@ -132,9 +131,9 @@ class BitSlicedIndex:
             open_ = np.where(enough[:, None], ones, open_ & ~total[p])
         return value
 
-    def _at_least(self, total: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Bitmaps of the rows whose sum is `least` or more."""
-        equal = np.broadcast_to(self.valid, total.shape[1:]).copy()
+    def _at_least(self, total: np.ndarray, least: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Bitmaps of those of each query's rows whose sum is `least` or more."""
+        equal = rows.copy()
         more = np.zeros_like(equal)
         for p in range(total.shape[0] - 1, -1, -1):
             on = (np.uint64(0) - ((least >> p) & 1).astype(np.uint64))[:, None]
@@ -151,11 +150,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _cell(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if not rows.num_rows or not queries.num_rows:
         empty = pa.array([], pa.int64())
-        return pa.table({"query_id": empty, "vec_id": empty, "score": empty})
+        return pa.table({"query": empty, "query_id": empty, "vec_id": empty, "score": empty})
     index = BitSlicedIndex(rows["id"].to_numpy(), _matrix(rows["v"]))
     query_ids = queries["id"].to_numpy()
     at, ids, scores = index.search(query_ids, _matrix(queries["v"]), k)
-    return pa.table({"query_id": query_ids[at], "vec_id": ids, "score": scores})
+    return pa.table({"query": queries["n"].to_numpy()[at], "query_id": query_ids[at], "vec_id": ids, "score": scores})
 
 
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = TOP, scale: int = SCALE) -> DataFrame:
@@ -168,18 +167,21 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
         .where(whole).where(finite)
         .withColumn("v", F.transform("v", lambda x: F.floor(x * scale)))
         .withColumn("d", F.size("v"))
+        .withColumn("n", F.monotonically_increasing_id())
     )
     counts = slim.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
     row_blocks, query_blocks = max(1, -(-counts[0] // BLOCK_ROWS)), max(1, -(-counts[1] // BLOCK_QUERIES))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        """Each row with the block of its id, once for every block of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>"))).select("d", "rb", "qb", "id", "v")
+        """Each row with its block, once for every block of the other side."""
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>"))
+        return df.withColumn(own, F.pmod(F.xxhash64("n"), F.lit(blocks))).withColumn(other, each).select("d", "rb", "qb", "n", "id", "v")
 
     rows = dealt(slim, "rb", row_blocks, "qb", query_blocks)
     queries = dealt(slim.where("is_query"), "qb", query_blocks, "rb", row_blocks)
-    near = rows.groupBy("d", "rb", "qb").cogroup(queries.groupBy("d", "rb", "qb")).applyInArrow(partial(_cell, k=k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cells = rows.groupBy("d", "rb", "qb").cogroup(queries.groupBy("d", "rb", "qb"))
+    near = cells.applyInArrow(partial(_cell, k=k), "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -189,15 +191,15 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH whole AS (
-  SELECT vec_id, embedding, len(embedding) AS d FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, embedding, len(embedding) AS d FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 flat AS MATERIALIZED (
-  SELECT vec_id, d, unnest(generate_series(1, d)) AS i, CAST(floor({SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM whole),
+  SELECT r, vec_id, d, unnest(generate_series(1, d)) AS i, CAST(floor({SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM whole),
 scored AS (
-  SELECT q.vec_id AS query_id, e.vec_id, CAST(sum(q.x * e.x) AS BIGINT) AS score
+  SELECT q.r AS query, q.vec_id AS query_id, e.r, e.vec_id, CAST(sum(q.x * e.x) AS BIGINT) AS score
   FROM flat q JOIN flat e ON q.i = e.i AND q.d = e.d AND q.vec_id <> e.vec_id
   WHERE q.vec_id % {EVERY} = 0 GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {TOP}
 """
