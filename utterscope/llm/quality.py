@@ -8,7 +8,7 @@ The fit uses a bounded sample: at most `max_labels` labelled rows in the order o
 `max_chars`. Every document is scored over its whole text.
 
 Defined results: a null or empty text gets the score of the learned bias; null ids are not held out; labels that are null
-are not learned, and of several labels of one id the smallest counts; without any label every score is 0.5; repeated rows
+are not learned, of several labels of one id the smallest counts, and of several texts the first; without any label every score is 0.5; repeated rows
 are scored each; an empty table gives an empty result; other columns are never inputs.
 """
 
@@ -91,10 +91,10 @@ def _doc_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         own = [b for (_, b), f in zip(groups, FIELD_OF) if f == field and len(b)]
         if own:
             found, counts = np.unique(np.concatenate(own), return_counts=True)
-            buckets.append(found)
-            weights.append(counts / counts.sum())
+            buckets.append(found.astype(np.int32))
+            weights.append((counts / counts.sum()).astype(np.float32))
     if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     return np.concatenate(buckets), np.concatenate(weights)
 
 
@@ -142,9 +142,8 @@ def fit(texts: Sequence[str], labels: Sequence[int], epochs: int = 6, rate: floa
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
         for i in rng.permutation(len(docs)):
-            buckets, weights = docs[i]
+            buckets, w = docs[i]
             own = vectors[buckets]
-            w = weights.astype(np.float32)
             hidden = w @ own
             z = hidden @ output + bias
             p = np.exp(z - z.max())
@@ -182,12 +181,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
         docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
         .where(F.char_length("__text") <= max_chars)
         .join(F.broadcast(chosen), "__key")
-        .select("__key", "__text", "__label")
-        .toPandas()
-        .drop_duplicates("__key")
-        .sort_values("__key")
+        .groupBy("__key", "__label").agg(F.min("__text").alias("__text"))  # one row an id, however often it repeats
+        .orderBy("__key").select("__text", "__label").toArrow()
     )
-    return fit(rows["__text"].tolist(), rows["__label"].tolist())
+    return fit(rows["__text"].to_pylist(), rows["__label"].to_pylist())
 
 
 def _scored(texts: Sequence[str | None], model) -> dict[str, np.ndarray]:
