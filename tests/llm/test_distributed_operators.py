@@ -36,7 +36,7 @@ def table_dir(tmp_path, **tables):
 def test_slots_are_gapless(spark):
     rng = random.Random(1)
     df = cut(spark.createDataFrame([(rng.choice("aab"), i) for i in range(500)], "k string, i int"))
-    rows = with_slots(df, ["k"], F.xxhash64("i"), ["i"], "slot", 8).collect()
+    rows = with_slots(df, ["k"], F.pmod(F.xxhash64("i"), F.lit(8)), ["i"], "slot").collect()
     for k in "ab":
         own = sorted(r["slot"] for r in rows if r["k"] == k)
         assert own == list(range(len(own))) and len(rows) == 500
@@ -272,7 +272,35 @@ def brute_topk(rows, k=10, every=100):
     return sorted(out)
 
 
-def test_topk(spark, tmp_path):
+def topk_rows(spark, path):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op6_topk(spark, path).collect())
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
+
+
+@pytest.mark.parametrize("blocks", ["small", "large"])
+def test_topk_with_repeated_ids(spark, tmp_path, blocks, request):
+    if blocks == "small":
+        request.getfixturevalue("small_blocks")
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 60)]
+    rows += [(0, rng.normal(size=8).tolist()) for _ in range(20)]  # own rows that are no candidates
+    rows += [(100, rng.normal(size=8).tolist())] * 2 + [(7, rows[6][1])] * 3  # a repeated query, a repeated candidate
+    rows += [(200, [9.0, 9.0])]  # a query without candidates
+    path = table_dir(tmp_path, embeddings=spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    assert topk_rows(spark, path) == brute_topk(spark.read.parquet(f"{path}/embeddings.parquet").collect())
+
+
+def test_topk_of_nothing(spark, tmp_path):
+    path = table_dir(tmp_path, embeddings=spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
+    assert topk_rows(spark, path) == []
+
+
+def test_topk(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(0, 900)]
     rows += [(i, rows[100][1]) for i in range(900, 960)]  # one common vector
@@ -280,10 +308,9 @@ def test_topk(spark, tmp_path):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
     path = table_dir(tmp_path, embeddings=df)
     for blocks in ((topk.BLOCK_ROWS, topk.BLOCK_QUERIES), (100, 4)):
-        topk.BLOCK_ROWS, topk.BLOCK_QUERIES = blocks
-        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op6_topk(spark, path).collect())
-        assert got == brute_topk(rows)
-    topk.BLOCK_ROWS, topk.BLOCK_QUERIES = 4096, 1024
+        monkeypatch.setattr(topk, "BLOCK_ROWS", blocks[0])
+        monkeypatch.setattr(topk, "BLOCK_QUERIES", blocks[1])
+        assert topk_rows(spark, path) == brute_topk(rows)
 
 
 def test_index_is_exact_at_any_width():
@@ -299,7 +326,7 @@ def test_index_is_exact_at_any_width():
         want = []
         for a, i in enumerate(at):
             s = rows @ rows[i]
-            want += [(a, v, -n_) for n_, v in sorted((-int(s[b]), int(ids[b])) for b in range(n) if b != i)[:k]]
+            want += [(a, v, -n_) for n_, v in sorted((-int(s[b]), int(ids[b])) for b in range(n) if ids[b] != ids[i])[:k]]
         assert list(zip(q.tolist(), found.tolist(), score.tolist())) == want
 
 
@@ -323,6 +350,24 @@ def test_boundaries_are_optimal():
         assert padded(bins, ends) == best and len(ends) <= k and ends == sorted(set(ends))
 
 
+def test_boundaries_of_many_lengths_are_those_of_the_plain_programme():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        longest = np.unique(rng.integers(1, 5000, size=int(rng.integers(1, 400))))
+        counts = rng.integers(1, 50, size=len(longest))
+        upto, n, k = np.concatenate(([0], np.cumsum(counts))), len(longest), int(rng.integers(1, 9))
+        best, choices = [0] + [10**18] * n, []
+        for _ in range(min(k, n)):
+            cost = [[best[i] + int(longest[j - 1] * (upto[j] - upto[i])) for i in range(j)] for j in range(1, n + 1)]
+            choices.append([0] + [c.index(min(c)) for c in cost])
+            best = [10**18] + [min(c) for c in cost]
+        want, j = [], n
+        for choice in reversed(choices):
+            want.append(int(longest[j - 1]))
+            j = choice[j]
+        assert packing.boundaries(np.stack([longest, counts], axis=1), k) == want[::-1]
+
+
 def test_pack(spark):
     rng = random.Random(6)
     lengths = [rng.choice([1, 5, 9, 40, 300]) for _ in range(400)] + [10**6]

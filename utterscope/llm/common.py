@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is set only where none is (as in tests)."""
+    """The cluster's shared checkpoint folder. In local mode (as in tests) one is made where none is set; elsewhere that fails."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -101,22 +104,27 @@ def map_texts(
     return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
-def with_slots(df: DataFrame, keys: Sequence[str], salt: Column, order: Sequence[str], slot: str, buckets: int = 64) -> DataFrame:
-    """Gapless 0-based numbers within each key, without bringing a whole key to one task.
+def hash_part(columns: Sequence[str], digits: int) -> Column:
+    """The first hexadecimal digits of a hash of the row's columns, to deal the rows of a key to parts."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, digits)
 
-    Rows of a key are dealt to `buckets` salted parts; parts are numbered on their own and shifted by the summed
-    counts of the parts before them. The counts are (keys x buckets) rows, made with map-side sums. `df` is used
-    twice, so pass something materialised or cheap.
+
+def with_slots(df: DataFrame, keys: Sequence[str], part: Column, order: Sequence[str], slot: str) -> DataFrame:
+    """Gapless 0-based numbers within each key, by part and then by `order`, without bringing a whole key to one task.
+
+    Parts are numbered on their own and shifted by the summed counts of the parts before them. The counts are (keys x
+    parts) rows, made with map-side sums. `df` is used twice, so pass something materialised or cheap.
     """
-    part = df.withColumn("__part", F.pmod(salt, F.lit(buckets)).cast("int"))
+    parted = df.withColumn("__part", part)
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        part.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+        parted.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
         .select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     )
     within = Window.partitionBy(*keys, "__part").orderBy(*order)
     return (
-        part.join(shift, [*keys, "__part"])
+        parted.join(shift, [*keys, "__part"])
         .withColumn(slot, F.col("__shift") + F.row_number().over(within) - 1)
         .drop("__part", "__shift")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from utterscope.llm import decontaminate, lm_score, packing, topk
+from utterscope.llm import decontaminate, lm_score, packing, sharding, topk
 from utterscope.llm.decontaminate import op5_decontamination
 from utterscope.llm.html_text import op1_html_text
 from utterscope.llm.lm_score import op10_lm_score
@@ -38,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_sharding": sharding.ORACLE_SQL,
         "op5_decontamination": decontaminate.ORACLE_SQL,
         "op6_topk": topk.ORACLE_SQL,
         "op9_packing": packing.ORACLE_SQL,
