@@ -35,7 +35,7 @@ from utterscope.llm.arrays import mixed, run_hashes, runs
 from utterscope.llm.common import small_batches, table, written
 
 ALPHA = 20.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART_ENTRIES = 1 << 21
 PART_BITS = 8
 ANSWER_ENTRIES = 1 << 19
