@@ -36,19 +36,35 @@ def test_tokens_equal_the_library(spark):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
 
 
-def test_token_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(K, "CACHE_PIECES", 50)
+@pytest.mark.parametrize("long_bytes, batch_bytes", [(1, 40), (7, 1), (40, 200)])
+def test_split_texts_have_the_library_s_counts(long_bytes, batch_bytes):
+    rng = random.Random(long_bytes)
+    parts = ["a", "B", " ", "  ", "\n", "\x1c", "\x85", chr(0x3000), "'s", "'", "é", "1", "22", "!", "<|endoftext|>", "<|endo", "漢", "😀", "don't5", "x9y"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(2000)] + ["", "a1" * 3000, "<|endoftext|>" * 40]
     path = K.default_vocabulary()
-    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(600)]
     want = [len(e) for e in K.encoder(path).encode_batch(texts, add_special_tokens=False)]
-    K._caches.clear()
-    assert K.count_tokens(texts, path) == want
+    assert K.count_tokens(texts, path, long_bytes, batch_bytes) == ([len(t.encode()) for t in texts], want)
+
+
+def test_long_texts_are_split_at_boundaries():
+    added = K.added_tokens(K.default_vocabulary())
+    assert K.split_long("aaaa bbbb cccc", 6, added) == ["aaaa bbbb", " cccc"]
+    assert K.split_long("aaaa1111", 2, added) == ["aaaa", "1111"]
+    assert K.split_long("a" * 50, 2, added) == ["a" * 50]
+    assert "".join(K.split_long("x <|endoftext|> y " * 9, 4, added)) == "x <|endoftext|> y " * 9
+    assert all(p.count("<|endoftext|>") * 2 == p.count("|") for p in K.split_long("x <|endoftext|> y " * 9, 4, added))
 
 
 def test_batches_are_balanced_by_bytes():
-    batches = list(K.byte_batches(["a" * n for n in range(1, 200)], 1000))
-    assert sorted(len(p) for b in batches for p in b) == list(range(1, 200))
-    assert all(sum(map(len, b)) <= 1000 for b in batches)
+    pieces = [(i, "é" * n, 2 * n) for i, n in enumerate([5, 50, 500, 1, 100, 3, 300])]
+    batches = list(K.byte_batches(pieces, 400))
+    assert [p for b in batches for p in b] == pieces and len(batches) > 2
+    assert max(sum(n for _, _, n in b) for b in batches) <= 400 + 1000
+    assert list(K.byte_batches([], 10)) == []
+
+
+def test_tokens_of_nothing(spark):
+    assert K.token_counts(docs(spark, [])).count() == 0
 
 
 # --- secrets
