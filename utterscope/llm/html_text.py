@@ -4,17 +4,22 @@ Markup is stripped into lines, one per block element. A line has the length of i
 menu, header, footer, sidebar, notice, advert, form or reader comments, outside the page's article (where it marks one),
 or, on pages that mark none, where links make up most of it. Lengths are summed over a sliding window of lines; a surge
 point is where the sum comes up to the threshold, a dive point where it falls below it. The lines of non-zero length
-between a surge and its dive are the text. On pages that mark an article, any length is a surge; on others a window needs
-`surge` characters, and if none has them the highest window counts.
+between a surge and its dive are the text. On pages that mark an article, any length is a surge, as nothing of it is to be
+dropped; on others a window needs `surge` characters, and if none has them the highest window counts.
+
+Markup is read as the HTML standard has it: tags, attributes, comments, raw text and the end tags that may be left out. What
+is hidden inside a line is left out of it. Names of classes, ids and roles never hide html, body or what holds the first
+article. Each character is looked at once.
 
 Defined results: null or empty html gives an empty text of length 0; unclosed or cut-off markup ends at the end of the
-page; repeated rows are extracted each; an empty table gives an empty result; further columns are not read.
+page; very long pages are read whole; repeated rows are extracted each; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial
 from html import unescape
 
@@ -29,16 +34,22 @@ SURGE = 80
 LINK_SHARE = 0.5
 
 #: Element names. Fixed values of the HTML standard.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|audio|video"
-BOILERPLATE = frozenset("nav header footer aside form dialog menu button fieldset datalist".split())
+RAW = frozenset("script style title textarea iframe noscript noembed noframes".split())
+BOILERPLATE = frozenset(
+    "nav header footer aside form dialog menu button fieldset datalist select template svg math object canvas audio video".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that an opening block tag, or the end of what holds them, closes.
-SLOPPY = frozenset("p li dd dt tr td th option thead tbody tfoot".split())
+#: Open elements that a start tag closes if they are the innermost block.
+_CELLS, _HEADS = ("td", "th"), ("h1", "h2", "h3", "h4", "h5", "h6")
+CLOSES = {
+    "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "td": _CELLS, "th": _CELLS, "tr": (*_CELLS, "tr"),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (*_CELLS, "tr", "tbody", "thead", "tfoot")), **dict.fromkeys(_HEADS, _HEADS),
+}
 ARTICLE = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
@@ -47,127 +58,254 @@ MARKS = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment "
     "comments disqus replies complementary contentinfo search pagination pager widget".split()
 )
-
+#: Those that mark it even if it holds an article: other texts, and what readers wrote.
+OTHERS = frozenset("related recommended comment comments disqus replies complementary".split())
 #: Words that may stand beside those in a hyphenated name of the same meaning.
 BESIDE = frozenset(
     "site global top bottom left right primary secondary main mobile desktop container wrapper wrap box bar list links "
     "block area section slot unit buttons button form posts articles item items x".split()
 )
 
-_RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.I | re.S)
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)|[!?/][^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SPACE = "\t\n\f\r "
+_NAME = re.compile(rf"[a-zA-Z][^{_SPACE}/>]*")
+_SKIP = re.compile(rf"[{_SPACE}/]*")
+_KEY = re.compile(rf"[^{_SPACE}/>][^{_SPACE}/>=]*")
+_EQUALS = re.compile(rf"[{_SPACE}]*=[{_SPACE}]*")
+_BARE = re.compile(rf"[^{_SPACE}>]*")
+_RAW_END = {name: re.compile(rf"</{name}(?=[{_SPACE}/>])", re.I) for name in RAW}
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 
 
-def _is_mark(token: str) -> bool:
-    """Whether a name is one of MARKS, or made of those and words beside them."""
+def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes from `at` on, the first of a name, and the place after the tag; -1 if the page ends in it."""
+    found: dict[str, str] = {}
+    while True:
+        at = _SKIP.match(html, at).end()
+        if at == len(html):
+            return found, -1
+        if html[at] == ">":
+            return found, at + 1
+        key = _KEY.match(html, at)
+        at, value = key.end(), ""
+        equals = _EQUALS.match(html, at)
+        if equals:
+            at = equals.end()
+            quote = html[at : at + 1]
+            if quote in ("'", '"'):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(key[0].lower(), value)
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("text", text, {}), ("open", name, attributes) and ("close", name, {}); raw text and comments are skipped."""
+    at, start = 0, 0
+    while True:
+        less = html.find("<", at)
+        if less < 0:
+            break
+        mark = html[less + 1 : less + 2]
+        close = mark == "/"
+        name = _NAME.match(html, less + 1 + close)
+        if not name and mark not in ("!", "?", "/"):
+            at = less + 1  # a plain character
+            continue
+        if less > start:
+            yield "text", html[start:less], {}
+        if name:
+            attributes, at = _attributes(html, name.end())
+            if at < 0:
+                return
+            tag = name[0].lower()
+            if close:
+                yield "close", tag, {}
+            elif tag in RAW:
+                if tag in BLOCKS:
+                    yield "close", tag, {}
+                end = _RAW_END[tag].search(html, at)
+                if not end:
+                    return
+                at = _attributes(html, end.end())[1]
+                if at < 0:
+                    return
+            else:
+                if html[at - 2] == "/":
+                    attributes["/"] = ""
+                yield "open", tag, attributes
+        elif html.startswith("<!--", less):
+            short = next((n for n in (5, 6) if html[less + 4 : less + n] in (">", "->")), 0)  # <!--> and <!--->
+            end = html.find("-->", less + 4)
+            at = less + short if short else (end + 3 if end >= 0 else len(html))
+        else:
+            end = html.find(">", less)
+            at = end + 1 if end >= 0 else len(html)
+        start = at
+    if start < len(html):
+        yield "text", html[start:], {}
+
+
+def _marks(token: str) -> set[str]:
+    """The words of MARKS in a name that is made of those and words beside them."""
     if token in MARKS:
-        return True
+        return {token}
     parts = {p for p in _PARTS.split(token) if p}
-    return not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE
+    return parts & MARKS if parts <= MARKS | BESIDE else set()
 
 
-def _marked(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is not part of the article, and whether only its names say so."""
+def _hides(name: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is not part of the article, and whether it would be if it held the first article."""
     if name in BOILERPLATE:
-        return not (name == "header" and inside_article), False
+        return not (name == "header" and inside_article), name in ("form", "fieldset")
     if not attributes:
         return False, False
-    named = False
-    for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NONE.search(value)):
-            return True, False
-        if key in ("class", "id", "role") and name not in ("html", "body") and any(map(_is_mark, value.split())):
-            named |= not (name in ARTICLE and "comment" not in value)
-    return named, named
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or _NONE.search(attributes.get("style", "")):
+        return True, False
+    if name in ("html", "body"):
+        return False, False
+    found = set()
+    for key in ("class", "id", "role"):
+        for token in unescape(attributes.get(key, "")).lower().split():
+            found |= _marks(token)
+    if name in ARTICLE and not found & OTHERS:
+        return False, False
+    return bool(found), not found & OTHERS
 
 
-def lines(html: str) -> tuple[list[str], list[float], bool]:
-    """Text and length of each line, and whether the page marks its article."""
-    html = _RAW.sub(lambda m: " " if m[1] else "", html)
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, not the article, opens the article, only names say so
-    hidden = depth = links = 0
-    texts: list[str] = []
-    state: list[tuple[bool, bool]] = []  # hidden, in the article
-    linked: list[int] = []
-    parts: list[str] = []
-    link_chars = 0
-    found = False
-
-    def end_line() -> None:
-        nonlocal link_chars
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                texts.append(text)
-                state.append((hidden > 0, depth > 0))
-                linked.append(link_chars)
-        link_chars = 0
-
-    def pop() -> None:
-        nonlocal hidden, depth
-        _, bad, opens, _ = stack.pop()
-        hidden -= bad
-        depth -= opens
-
-    at = 0
-    for m in _TAG.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
-            parts.append(piece)
-            if links:
-                link_chars += len(piece.strip())
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
+class _Open:
+    """An open element: whether it hides what it holds, whether that is undone by an article in it, whether it is one."""
+
+    __slots__ = ("name", "hides", "undone", "article", "block")
+
+    def __init__(self, name: str, hides: bool, undone: bool, article: bool, block: bool):
+        self.name, self.hides, self.undone, self.article, self.block = name, hides, undone, article, block
+
+
+class _Lines:
+    """Lines of a page, from its tokens."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements of a name
+        self.blocks: list[int] = []  # places of the open blocks
+        self.hidden = self.depth = self.undone = 0
+        self.found = False
+        self.texts: list[str] = []
+        self.good: list[tuple[bool, bool]] = []  # not hidden, in the article
+        self.linked: list[int] = []
+        self.parts: list[str] = []
+        self.hidden_lines, self.concealed = 0, False
+        self.link_chars = 0
+
+    def text(self, piece: str) -> None:
+        if self.hidden:
+            self.concealed |= not piece.isspace()
+            return
+        piece = unescape(piece) if "&" in piece else piece
+        self.parts.append(piece)
+        if self.places.get("a"):
+            self.link_chars += len(piece.strip())
+
+    def end_line(self) -> None:
+        """At the edge of a block. Those of hidden blocks only part hidden lines from each other."""
+        if self.hidden:
+            self.hidden_lines += self.concealed
+            self.concealed = False
+            return
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
+        for line in ([text] if text else []) + [""] * (self.hidden_lines + self.concealed):
+            self.texts.append(line)
+            self.good.append((bool(line), self.depth > 0))
+            self.linked.append(self.link_chars)
+        self.parts.clear()
+        self.hidden_lines, self.concealed, self.link_chars = 0, False, 0
+
+    def pop(self) -> None:
+        last = self.stack.pop()
+        self.places[last.name].pop()
+        if last.block:
+            self.blocks.pop()
+        self.hidden -= last.hides
+        self.undone -= last.hides and last.undone
+        self.depth -= last.article
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
+
+    def close(self, name: str) -> None:
         block = name in BLOCKS
         if block:
-            end_line()
-        if m[1]:
-            if name == "a":
-                links = 0
-            elif any(x[0] == name for x in stack):
-                while True:
-                    last = stack[-1][0]
-                    pop()
-                    if last == name:
-                        break
-            continue
-        if name == "a":
-            links = 1
-            if not _marked(name, m[3], depth > 0)[0]:
-                continue
-        if name in VOID or m[3].endswith("/"):
-            continue
+            self.end_line()
+        own = self.places.get(name)
+        if not own or name in ("html", "body"):
+            return
+        if block or name in BOILERPLATE or not self.blocks or own[-1] > self.blocks[-1]:
+            hidden = self.hidden
+            self.pop_to(own[-1])
+            if block and hidden:
+                self.end_line()
+        elif name == "a":  # a link ends where it is closed, blocks that it holds stay open
+            link = self.stack[own[-1]]
+            self.hidden -= link.hides
+            self.undone -= link.hides and link.undone
+            link.hides = False
+            link.name = "#a"
+            self.places.setdefault("#a", []).append(own.pop())
+
+    def open(self, name: str, attributes: dict[str, str]) -> None:
+        block = name in BLOCKS
         if block:
-            while stack and stack[-1][0] in SLOPPY and (stack[-1][0] == "p" or stack[-1][0] == name):
-                pop()
-        bad, named = _marked(name, m[3], depth > 0)
-        opens = name in ARTICLE or ('"main"' in m[3] and "role" in m[3])
-        if opens and not found and not bad:  # what holds the article is no boilerplate, whatever its name
-            hidden -= sum(x[1] and x[3] for x in stack)
-            stack = [(x[0], x[1] and not x[3], x[2], x[3]) for x in stack]
-        if block or bad:
-            stack.append((name, bad, opens, named))
-            hidden += bad
-            depth += opens
-            found |= opens and not hidden
-    rest = html[at:]
-    if rest:
-        parts.append(rest)
-    end_line()
+            self.end_line()
+            closes = CLOSES.get(name, ())
+            while self.blocks and name != "br" and self.stack[self.blocks[-1]].name in ("p", *closes):
+                self.pop_to(self.blocks[-1])
+            self.end_line()
+        elif name == "a" and self.places.get("a"):
+            self.close("a")
+        if name in VOID or (name in ("svg", "math") and "/" in attributes):
+            return
+        attributes.pop("/", None)
+        hides, undone = _hides(name, attributes, self.depth > 0)
+        article = (name in ARTICLE or attributes.get("role", "").strip().lower() == "main") and not hides
+        if article and not self.found and self.undone:
+            for element in self.stack:
+                self.hidden -= element.hides and element.undone
+                element.hides = element.hides and not element.undone
+            self.undone = 0
+        self.places.setdefault(name, []).append(len(self.stack))
+        if block:
+            self.blocks.append(len(self.stack))
+        self.stack.append(_Open(name, hides, undone, article, block))
+        self.hidden += hides
+        self.undone += hides and undone
+        self.depth += article
+        self.found |= article and not self.hidden
+
+
+def lines(html: str) -> tuple[list[str], list[float], bool]:
+    """Text and length of each line, and whether the page marks its article."""
+    page = _Lines()
+    for kind, value, attributes in tokens(html):
+        if kind == "text":
+            page.text(value)
+        elif kind == "open":
+            page.open(value, attributes)
+        else:
+            page.close(value)
+    page.end_line()
     lengths = []
-    for text, (bad, inside), link in zip(texts, state, linked):
-        if bad or (found and not inside) or (not found and link > LINK_SHARE * len(text)):
+    for text, (shown, inside), link in zip(page.texts, page.good, page.linked):
+        if not shown or (page.found and not inside) or (not page.found and link > LINK_SHARE * len(text)):
             lengths.append(0.0)
         else:
             lengths.append(float(len(text)))
-    return texts, lengths, found
+    return page.texts, lengths, page.found
 
 
 def between_surge_and_dive(lengths: Sequence[float], threshold: float, window: int = WINDOW) -> np.ndarray:
