@@ -117,8 +117,58 @@ def test_secrets_joined_to_ordinary_characters():
 
 def test_models_separate_held_out_samples():
     model = S.default_model()
-    right = [(model.ratio(t) >= S.MIN_RATIO) == random_ for t, random_ in S.labelled_samples(1000, seed=99) if len(t) >= 20]
-    assert sum(right) / len(right) > 0.98
+    held_out = [x for x in S.labelled_samples(True) if len(x[0]) >= S.MIN_RUN]
+    assert not {t for t, _ in held_out} & {t for t, _ in S.labelled_samples(False)} and len(held_out) > 800
+    found = [bool(S.random_parts(t, model, S.MIN_RATIO)) for t, _ in held_out]
+    caught = [f for f, (_, random_) in zip(found, held_out) if random_]
+    wrong = [f for f, (_, random_) in zip(found, held_out) if not random_]
+    assert sum(caught) / len(caught) > 0.99 and sum(wrong) / len(wrong) < 0.01
+
+
+def test_keys_planted_in_documents_are_found_whole():
+    """Precision and recall over the documents with keys of several alphabets between words, and behind ordinary names."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    rng, model = random.Random(3), S.default_model()
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower + upper + digits, lower + upper, lower + upper + digits + "+/", lower + digits, upper + digits]
+    ordinary = ["", "", "services/production/user/", "CLIENT_HANDLER_NAME=", "production_handler_"]
+    hit = found = planted = 0
+    for i, text in enumerate(texts):
+        key = "".join(rng.choice(alphabets[i % 5]) for _ in range(rng.randint(20, 48)))
+        at = text.find(" ", len(text) // 2) + 1
+        before = f"{text[:at]}{ordinary[i // 5 % 5]}"
+        own = [(s, e) for s, k, e in S.scan(f"{before}{key} {text[at:]}", model)[1] if k == 3]
+        planted += 1
+        found += len(own)
+        hit += any(s <= len(before) + 1 and e >= len(before) + len(key) - 1 for s, e in own)
+    assert hit / planted > 0.97 and hit / found > 0.97
+
+
+def test_parts_of_runs_between_base_spans():
+    taken = [(0, 0, 5), (2, 1, 30), (60, 2, 84), (60, 0, 70)]
+    assert list(S.free_runs("x" * 120, sorted(taken))) == [(30, 60), (84, 120)]
+    assert list(S.free_runs(f"{'x' * 25} {'y' * 25}", [(3, 0, 28)])) == [(28, 51)]
+
+
+def test_scan_time_grows_with_the_text():
+    import time
+
+    model = S.default_model()
+    for make in (lambda n: " ".join(f"token=abcdef12345.{'x' * 30}" for _ in range(n)), lambda n: "ab/Zk9" * n, lambda n: "AKIA" * n):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            S.scan(make(n), model)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_scan_of_nothing_and_of_repeated_rows(spark):
+    assert S.scan_secrets(docs(spark, [])).count() == 0
+    rows = S.scan_secrets(docs(spark, ["token = 'abcdef0123456789abcdef0123456789'"] * 2, spans=["x", "y"])).collect()
+    assert len({tuple(r)[1:] for r in rows}) == 1 and rows[0]["spans"] == "assign:0:41,hex:9:41"
 
 
 def test_redact_keeps_rows_and_columns(spark):
@@ -173,6 +223,7 @@ def test_wrappers_hide_nothing():
         ("<article>a<svg/>b<svg><text>no</text></svg>c<select><option>no</select>d<script>'</article>'</script>e</article>", "abcde"),
         ("<article>a<template><p>no<div>no</template>b<object><div>no</object>c</article>", "abc"),
         ("<article>a</article><p>out</p><article>b</article>", "a b"),
+        ("<article><p>a <span hidden>b", "a"),
         ("<article>a<a href='unclosed>rest of the page", "a"),
         ("<article>a\u00a0\u3000b\tc</article>", "a b c"),
         ("<div class='comments'><article>reader</article></div><article>own</article>", "own"),

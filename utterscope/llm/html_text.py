@@ -298,6 +298,7 @@ def lines(html: str) -> tuple[list[str], list[float], bool]:
             page.open(value, attributes)
         else:
             page.close(value)
+    page.hidden = 0  # what is left open hides nothing that came before
     page.end_line()
     lengths = []
     for text, (shown, inside), link in zip(page.texts, page.good, page.linked):

@@ -1,31 +1,33 @@
 """Secret scans: character Markov models of random strings and of ordinary identifiers, compared by log-likelihood ratio.
 
-Two first-order character models, trained from labelled samples (text, is_random), score every long run of key-like
-characters; a run whose mean log-likelihood ratio favours the random model is a secret. Where the whole run's does not, its
-pieces between separators and then the stretch that exceeds the least ratio most are scored on their own, so that ordinary
-characters joined to a secret don't water it down. Patterns for assignments, access keys and long hexadecimal runs give
-the base spans; the models add spans ("markov") in what those leave of a run.
-
-Defined results: a null text is empty and has no spans; positions are code points, ends exclusive; repeated rows are
-scanned each; an empty table gives an empty result; further columns of the input are not read by the scan and are kept by
-`redact`.
+Two first-order character models are trained from a file of labelled samples (key_samples.tsv: 1 or 0 for random or not, and
+the text; a fifth of them is held out for tests). They score every long run of key-like characters. A run whose mean ratio
+favours the random model is a secret; of another, the stretches are that windows of MIN_RUN characters with such a mean
+cover, from where the sum of ratios rises to where it falls, and out to the ends of their words. So ordinary characters
+joined to a secret don't water it down. Patterns for assignments, access keys and long hexadecimal runs give the base
+spans; the models add spans ("markov") in what those leave of a run. Each character is scored once.
+
+Defined results: a null text is empty and has no spans; positions are code points, ends exclusive; spans of one start are in
+the order of their kinds; very long texts are scanned whole; repeated rows are scanned each; an empty table gives an empty
+result; further columns of the input are not read by the scan and are kept by `redact`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
 import re
 import string
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
+from importlib.resources import files
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from utterscope.llm.arrays import runs
 from utterscope.llm.common import map_texts, safe_names, table
 
 #: Patterns of the base kinds, in their order. Fixed values.
@@ -38,7 +40,6 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: Runs that the models look at: key-like characters, with a letter among them.
 MIN_RUN = 20
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}", re.ASCII)
-PIECE = re.compile(rf"[^/=]{{{MIN_RUN},}}")
 LETTER = re.compile(r"[A-Za-z]")
 MIN_RATIO = 0.35
 
@@ -47,41 +48,14 @@ _CODE = np.full(128, len(_ALPHABET), dtype=np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 _STATES = len(_ALPHABET) + 1
 
-#: Parts of ordinary identifiers for the default labelled samples.
-PARTS = (
-    "get set is has to from user name value index count list map node file path data item key type list size time date "
-    "http server client request response handler config option parse build make create delete update insert select table "
-    "column row page token session cache buffer stream reader writer thread worker queue stack tree graph image audio video "
-    "test main error message event state model view controller service manager factory provider helper util common base "
-    "first last next prev min max sum total average start end begin stop open close read write load save send receive"
-).split()
-
-
-def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
-    """(text, is_random): strings drawn at random from key alphabets, and identifiers joined from ordinary parts."""
-    rng = random.Random(seed)
-    alphabets = (string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "-_")
-    found: list[tuple[str, bool]] = []
-    for i in range(n):
-        found.append(("".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randint(20, 64))), True))
-        words = [rng.choice(PARTS) for _ in range(rng.randint(2, 7))]
-        style = i % 6
-        if style == 0:
-            text = "_".join(words)
-        elif style == 1:
-            text = words[0] + "".join(w.title() for w in words[1:])
-        elif style == 2:
-            text = "-".join(words)
-        elif style == 3:
-            text = "_".join(words).upper()
-        elif style == 4:
-            text = "/" + "/".join(words)
-        else:
-            text = "".join(words)
-        if i % 3 == 0:
-            text += f"{'_' if i % 2 else ''}{rng.randint(0, 2030)}"
-        found.append((text, False))
-    return found
+HELD_OUT = 5
+
+
+def labelled_samples(held_out: bool | None = False) -> list[tuple[str, bool]]:
+    """(text, is_random) of the sample file: every fifth line if held out, the others if not, all for None."""
+    lines = files("utterscope.llm").joinpath("key_samples.tsv").read_text("utf-8").splitlines()
+    split = (line.split("\t", 1) for i, line in enumerate(lines) if held_out is None or (i % HELD_OUT == 0) == held_out)
+    return [(text, label == "1") for label, text in split]
 
 
 @dataclass(frozen=True)
@@ -103,27 +77,14 @@ class MarkovRatio:
         logs = [np.log(x / x.sum(axis=-1, keepdims=True)) for x in (first, step)]
         return cls(logs[0][1] - logs[0][0], logs[1][1] - logs[1][0])
 
-    def ratio(self, text: str) -> float:
-        """Mean log-likelihood ratio a character, above 0 if the random model explains the text better."""
+    def ratios(self, text: str) -> np.ndarray:
+        """The log-likelihood ratio of each character, above 0 where the random model explains it better."""
         codes = encode(text)
-        if not len(codes):
-            return 0.0
-        return float(self.first[codes[0]] + self.step[codes[:-1], codes[1:]].sum()) / len(codes)
+        return np.append(self.first[codes[:1]], self.step[codes[:-1], codes[1:]])
 
-    def best(self, text: str, least: float) -> tuple[int, int] | None:
-        """The stretch of MIN_RUN characters or more that exceeds a mean ratio of `least` most, to the ends of its words."""
-        codes = encode(text)
-        total = np.concatenate(([0.0], np.cumsum(np.append(self.first[codes[0]], self.step[codes[:-1], codes[1:]]) - least)))
-        low = np.minimum.accumulate(total[:-MIN_RUN])
-        end = int(np.argmax(total[MIN_RUN:] - low))
-        if total[end + MIN_RUN] < low[end]:
-            return None
-        start, end = int(np.argmin(total[: end + 1])), end + MIN_RUN
-        while start and text[start - 1].isalnum():
-            start -= 1
-        while end < len(text) and text[end].isalnum():
-            end += 1
-        return start, end
+    def ratio(self, text: str) -> float:
+        """Mean ratio a character."""
+        return float(self.ratios(text).mean()) if text else 0.0
 
 
 def encode(text: str) -> np.ndarray:
@@ -140,33 +101,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def model_spans(text: str, model: MarkovRatio, taken: Sequence[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
-    found = []
+def free_runs(text: str, taken: Sequence[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the taken spans (in order of their starts) leave of the runs of key-like characters, where that is long enough."""
+    k, reach = 0, 0
     for m in CANDIDATE.finditer(text):
-        at = m.start()
-        for s, _, e in [x for x in taken if x[0] < m.end() and m.start() < x[2]] + [(m.end(), 3, m.end())]:
-            if s - at >= MIN_RUN:
-                found += [(at + a, 3, at + b) for a, b in random_parts(text[at:s], model, least)]
-            at = max(at, e)
-    return found
+        at = max(m.start(), reach)
+        while k < len(taken) and taken[k][0] < m.end():
+            start, _, end = taken[k]
+            if start - at >= MIN_RUN:
+                yield at, start
+            reach = max(reach, end)
+            at = max(at, reach)
+            k += 1
+        if m.end() - at >= MIN_RUN:
+            yield at, m.end()
+
+
+def model_spans(text: str, model: MarkovRatio, taken: Sequence[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    return [(s + a, 3, s + b) for s, e in free_runs(text, taken) for a, b in random_parts(text[s:e], model, least)]
 
 
 def random_parts(run: str, model: MarkovRatio, least: float) -> list[tuple[int, int]]:
-    """The run if the random model explains it better, or else those of its parts."""
-    if len(run) < MIN_RUN or not LETTER.search(run):
+    """The run, if the random model explains it better, or else those of its stretches."""
+    if not LETTER.search(run):
         return []
-    if model.ratio(run) >= least:
+    ratios = model.ratios(run)
+    if ratios.mean() >= least:
         return [(0, len(run))]
-    pieces = [m.span() for m in PIECE.finditer(run)]
-    if pieces != [(0, len(run))]:
-        found = [(s + a, s + b) for s, e in pieces for a, b in random_parts(run[s:e], model, least)]
-        if found:
-            return found
-    best = model.best(run, least)
-    if not best or not LETTER.search(run, *best):
-        return []
-    s, e = best
-    return [*random_parts(run[:s], model, least), best, *((e + a, e + b) for a, b in random_parts(run[e:], model, least))]
+    total = np.concatenate(([0.0], np.cumsum(ratios - least)))
+    high = total[MIN_RUN:] >= total[:-MIN_RUN]
+    found: list[tuple[int, int]] = []
+    for s, e in zip(*runs(high)):
+        s, e = int(s), int(e) + MIN_RUN - 1
+        start = s + int(np.argmin(total[s : s + MIN_RUN]))
+        end = e - MIN_RUN + 1 + int(np.argmax(total[e - MIN_RUN + 1 : e + 1]))
+        while start > 0 and run[start - 1].isalnum() and (not found or start > found[-1][1]):
+            start -= 1
+        while end < len(run) and run[end].isalnum():
+            end += 1
+        start = max(start, found[-1][1]) if found else start
+        if end - start >= MIN_RUN // 2 and LETTER.search(run, start, end):
+            found.append((start, end))
+    return found
 
 
 def scan(text: str | None, model: MarkovRatio, least: float = MIN_RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -189,6 +165,7 @@ def _digest(texts: Sequence[str | None], model: MarkovRatio, least: float) -> di
     return columns
 
 
+@cache
 def default_model() -> MarkovRatio:
     return MarkovRatio.train(labelled_samples())
 
