@@ -14,17 +14,18 @@ are scored each; an empty table gives an empty result; other columns are never i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import run_hashes, runs, sums_between
-from utterscope.llm.common import map_texts, safe_names, table
+from utterscope.llm.common import map_texts, safe_names, small_batches, table
 
 BITS = 17
 DIM = 8
@@ -168,8 +169,8 @@ def fold_of(doc_id: Column) -> Column:
 def fit_on_labels(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", held_out: int = 2, max_labels: int = 6000, max_chars: int = 30_000) -> Classifier:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
-    The ids are chosen from the labels alone (at most max_labels of them, so they can be broadcast); only the chosen texts
-    go to the driver, at most max_labels * max_chars characters.
+    The ids are chosen from the labels alone (at most max_labels of them, so they can be broadcast); the chosen texts, at
+    most max_labels * max_chars characters, meet in one task, and only the weights come to the driver.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold_of(F.col(key)) != held_out))
@@ -182,9 +183,22 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
         .where(F.char_length("__text") <= max_chars)
         .join(F.broadcast(chosen), "__key")
         .groupBy("__key", "__label").agg(F.min("__text").alias("__text"))  # one row an id, however often it repeats
-        .orderBy("__key").select("__text", "__label").toArrow()
     )
-    return fit(rows["__text"].to_pylist(), rows["__label"].to_pylist())
+    small_batches(docs.sparkSession)
+    fitted = rows.repartition(1).sortWithinPartitions("__key").select("__text", "__label").mapInArrow(_fitted, "weight binary, bias double").first()
+    if fitted is None:  # no labelled text: no task
+        return fit([], [])
+    return Classifier(np.frombuffer(bytes(fitted["weight"]), np.float32), fitted["bias"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts: list[str] = []
+    labels: list[int] = []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    model = fit(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
 
 
 def _scored(texts: Sequence[str | None], model) -> dict[str, np.ndarray]:
