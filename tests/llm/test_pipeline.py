@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from utterscope.llm import secrets as S
-from utterscope.llm.simhash import fingerprints
+from utterscope.llm.token_count import default_vocabulary, encoder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -57,11 +57,15 @@ def test_quality(spark, sf_dir):
 def test_near_duplicates(spark, sf_dir):
     got, docs = stage(spark, sf_dir, "near_duplicates")
     assert not any(200 <= i <= 212 for i in got) and 221 not in got and {220, *range(80)} <= set(got)
-    prints = {i: fingerprints(r["text"], P.SHINGLE, 2) for i, r in docs.items()}
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + P.SHINGLE]) for k in range(max(1, len(words) - P.SHINGLE + 1))} if words else {()}
+
+    sets = {i: shingles(r["text"]) for i, r in docs.items()}
 
     def linked(i, j):
-        bits = [((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(prints[i], prints[j])]
-        return min(bits) <= P.NEAR_BITS and sum(bits) <= P.BOTH_BITS
+        return len(sets[i] & sets[j]) >= P.SIMILAR * len(sets[i] | sets[j])
 
     links = {i: {j for j in docs if linked(i, j)} for i in docs}
     reach = {}
@@ -92,7 +96,8 @@ def test_secrets(spark, sf_dir):
 def test_packing(spark, sf_dir):
     got, docs = stage(spark, sf_dir, "packing")
     assert set(got) == set(docs)
-    assert all(r["n_tokens"] == len((docs[i]["text"] or "").encode()) + 1 for i, r in got.items())
+    encode = encoder(default_vocabulary()).encode
+    assert all(r["n_tokens"] == len(encode(docs[i]["text"] or "")) <= r["bucket_len"] for i, r in got.items())
 
 
 def test_whole_run(spark, sf_dir):

@@ -7,10 +7,6 @@ Gray rank and grouped into a hierarchy; an upper node keeps the bits that its fi
 of nodes are descended together: the differences in commonly masked bits only add up on the way down, so a pair of groups
 whose differences exceed d is pruned whole. A bucket gives a spanning forest of its links, not all pairs.
 
-A second fingerprint (the same hashes, mixed) can take part: buckets are then made of either one, and a link also needs
-the differences in both together to stay within `total`. As unrelated texts differ in half of all bits, a wide distance
-in one fingerprint then links no strangers, however many texts there are.
-
 Buckets of more than `TILE` fingerprints are split into salted parts, and each pair of parts is a bucket of its own, so no
 link is lost and none is too large for a task. Components come from checkpointed star steps on the links.
 
@@ -34,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utterscope.llm.arrays import mixed
 from utterscope.llm.common import cut, map_texts, table
 from utterscope.llm.components import components
 from utterscope.llm.similar import bands, digest, shingle_set, similar_duplicates
@@ -48,7 +43,6 @@ PAIR_STEP = 1 << 13
 BIT_STEP = 1 << 16
 #: Comparisons that shuffling a row is worth.
 ROW_COST = 1000
-NAMES = ("fp", "fp2")
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,24 +57,6 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.frombuffer(b"".join([digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)]), ">u8")
 
 
-def fingerprints(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
-    """Signed 64-bit SimHashes of the word shingles.
-
-    The first is of the shingles' XXH64 hashes, the second of these hashes mixed.
-    """
-    hashes = shingle_hashes(text, shingle)
-    if not len(hashes):
-        return [0] * count
-    return _prints(hashes, count)
-
-
-def _prints(hashes: np.ndarray, count: int) -> list[int]:
-    found = [_majority(hashes)]
-    if count > 1:
-        found.append(_majority(mixed(hashes.astype(np.uint64)).astype(">u8")))
-    return found
-
-
 def _majority(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the big-endian hashes."""
     counts = np.zeros(64, np.int64)
@@ -90,21 +66,22 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return fingerprints(text, shingle)[0]
+    """Signed 64-bit SimHash of the word shingles."""
+    hashes = shingle_hashes(text, shingle)
+    return _majority(hashes) if len(hashes) else 0
 
 
-def _columns(texts: Sequence[str | None], shingle: int, count: int) -> dict[str, list]:
-    found = [fingerprints(t, shingle, count) for t in texts]
-    return {name: [f[k] for f in found] for k, name in enumerate(NAMES[:count])}
+def _columns(texts: Sequence[str | None], shingle: int) -> dict[str, list]:
+    return {"fp": [fingerprint(t, shingle) for t in texts]}
 
 
 def sketches(texts: Sequence[str | None], shingle: int) -> dict[str, list]:
-    """Two fingerprints, the shingle set's digest and its MinHash bands."""
-    out: dict[str, list] = {name: [] for name in (*NAMES, "sig", "bands")}
+    """The fingerprint, the shingle set's digest and its MinHash bands."""
+    out: dict[str, list] = {"fp": [], "sig": [], "bands": []}
     for text in texts:
         hashes = shingle_hashes(text, shingle)
         own = shingle_set(hashes)
-        for name, got in zip(out, (*(_prints(hashes, 2) if len(hashes) else (0, 0)), digest(own), bands(own))):
+        for name, got in zip(out, (_majority(hashes) if len(hashes) else 0, digest(own), bands(own))):
             out[name].append(got)
     return out
 
@@ -167,7 +144,7 @@ def _children(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return i[keep], j[keep]
 
 
-def forest(bucket: np.ndarray, fp: np.ndarray, distance: int, other: np.ndarray | None = None, total: int = 128) -> np.ndarray:
+def forest(bucket: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
     """For each fingerprint (sorted by bucket, Gray rank) the first one of its bucket that links reach."""
     levels = _hierarchy(bucket, fp)
     root = np.arange(len(fp))
@@ -187,10 +164,7 @@ def forest(bucket: np.ndarray, fp: np.ndarray, distance: int, other: np.ndarray
             near = np.bitwise_count(fp[left][:, :, None] ^ fp[right][:, None, :]) <= distance
             pair, i, j = np.nonzero(near)
             i, j = left[pair, i], right[pair, j]
-            linked = i != j
-            if other is not None:
-                linked &= np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(other[i] ^ other[j]) <= total
-            _join(root, i[linked], j[linked])
+            _join(root, i[i != j], j[i != j])
             continue
         i, j = _children(levels[level].first, a, b)
         below = levels[level - 1]
@@ -216,7 +190,7 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = up
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int, total: int | None) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of the buckets of one partition that is sorted by bucket; the last bucket waits for its rest."""
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
@@ -224,8 +198,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, total: int | None)
         rows = rows[:, np.append(same, False) | np.append(False, same)]
         rows = rows[:, np.lexsort((gray_rank(rows[2].view(np.uint64)), rows[0]))]
         bucket, node, fp = rows[0], rows[1], rows[2].view(np.uint64)
-        other = rows[3].view(np.uint64) if total is not None else None
-        root = forest(bucket, fp, distance, other, total or 0) if len(fp) else np.zeros(0, np.int64)
+        root = forest(bucket, fp, distance) if len(fp) else np.zeros(0, np.int64)
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 
@@ -243,21 +216,15 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, total: int | None)
         yield solve(held)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, total: int | None = None, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """Links (u, v) that connect the same nodes as all pairs of fingerprints at most `distance` bits apart do.
 
-    `fps` is materialised and has distinct long fingerprints `fp` with their ids `node`. With `total` it has `fp2` too, and
-    pairs are those at most `distance` apart in either fingerprint and at most `total` in both together.
+    `fps` is materialised and has distinct long fingerprints `fp` with their ids `node`.
     """
     count = fps.count()
     masks = bit_masks(count, distance)
-    names = NAMES if total is not None else NAMES[:1]
-    rows = None
-    for k, name in enumerate(names):
-        keys = F.explode(F.array(*[F.struct(F.lit(t + k * len(masks)).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]))
-        own = [F.col(name).alias("near"), *[F.col(n).alias("far") for n in names if n != name]]
-        more = fps.select("node", *own, keys.alias("k")).select(F.xxhash64("k.t", "k.key").alias("bucket"), "node", "near", *(["far"] if len(names) > 1 else []))
-        rows = more if rows is None else rows.unionAll(more)
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
+    rows = fps.select("node", F.col("fp").alias("near"), F.explode(tables).alias("k")).select(F.xxhash64("k.t", "k.key").alias("bucket"), "node", "near")
     columns = rows.columns
     large = cut(rows.groupBy("bucket").count().where(F.col("count") > tile))
     if large.count():
@@ -269,31 +236,29 @@ def links(fps: DataFrame, distance: int = DISTANCE, total: int | None = None, ti
         )
         tiles = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
         rows = split.withColumn("bucket", F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(tiles)).select(columns)
-    partitions = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(masks) * len(names) // 4_000_000)
+    partitions = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // 4_000_000)
     dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(partial(_links, distance=distance, total=total), "u long, v long")
+    return dealt.mapInArrow(partial(_links, distance=distance), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, total: int | None = None) -> DataFrame:
-    """key, fp (signed long) and component_id (smallest key that links reach) of every row; fp2 as well with `total`."""
-    names = list(NAMES if total is not None else NAMES[:1])
-    fields = [T.StructField(n, T.LongType()) for n in names]
-    prints = cut(map_texts(docs, text, partial(_columns, shingle=shingle, count=len(names)), fields, [key]))
-    fps = cut(prints.where(F.col(key).isNotNull()).groupBy(*names).agg(F.min(key).alias("node")))
-    found = components(links(fps, distance, total))
-    labelled = cut(fps.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
-    return prints.join(labelled, names, "left").select(key, *names, "component_id")
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """key, fp (signed long) and component_id (smallest key that links reach) of every row."""
+    prints = cut(map_texts(docs, text, partial(_columns, shingle=shingle), [T.StructField("fp", T.LongType())], [key]))
+    fps = cut(prints.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("node")))
+    found = components(links(fps, distance))
+    labelled = cut(fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    return prints.join(labelled, "fp", "left").select(key, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, total: int | None = None, similar: float | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, similar: float | None = None) -> DataFrame:
     """One row of each component: that of its smallest key (of rows that repeat this key, one). Rows with a null key stay.
 
-    With `similar` (and `total`), fingerprints only give candidates, and links are shingle similarities of at least that.
+    With `similar`, fingerprints only give candidates, and links are shingle similarities of at least that.
     """
     if similar is not None:
-        found = similar_duplicates(docs, text, key, shingle, distance, total, similar)
+        found = similar_duplicates(docs, text, key, shingle, distance, similar)
     else:
-        found = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance, total)
+        found = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance)
     kept = found.where(F.col(key) == F.col("component_id"))
     ids = kept.select(F.col(key).alias("__kept")).distinct()
     once = docs.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])

@@ -1,10 +1,11 @@
 """Near-duplicates by exact shingle similarity, over candidates of SimHash and MinHash.
 
 Texts are linked if the sets of their shingles' hashes have a Jaccard similarity of at least `least`. Candidates are the
-links of two SimHash fingerprints, and texts that agree in all ROWS least hashes of one of BANDS bands (a pair of
-similarity 0.8 meets in one with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.999). They only decide which texts are
-compared: the sets of each candidate component come together, and its texts are linked anew by their exact similarity,
-pairs that were no candidates among them, so no connection hangs on which candidate links a forest kept.
+links of SimHash fingerprints, and, as texts of similarity 0.8 differ in some 10 of 64 bits, too many for an index alone,
+texts that agree in all ROWS least hashes of one of BANDS bands (a pair of similarity 0.8 meets in one with probability
+1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.999). They only decide which texts are compared: the sets of each candidate component
+come together, and its texts are linked anew by their exact similarity, pairs that were no candidates among them, so no
+connection hangs on which candidate links a forest kept.
 
 A candidate component of over TILE texts is dealt to parts. Texts are linked within each part, then the smallest texts of
 what is linked; if that leaves a component apart, the texts outside its largest group are compared with all its texts,
@@ -152,7 +153,7 @@ def confirmed_links(rows: DataFrame, least: float, tile: int = TILE) -> DataFram
     counts = cut(now.groupBy("component", "label").count())
     largest = counts.groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
     apart = cut(largest.where(F.col("all") > F.col("most")).withColumn("chunks", F.ceil((F.col("all") - F.col("most")) / F.lit(tile)).cast("int")))
-    open_ = now.join(apart, "component")
+    open_ = cut(now.select("component", "node", "label", "own", "parts", "part").join(apart.select("component", "largest", "chunks"), "component"))
     every = open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rest = (
         open_.where("label <> largest").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int"))
@@ -162,18 +163,18 @@ def confirmed_links(rows: DataFrame, least: float, tile: int = TILE) -> DataFram
     return links.unionAll(_linked(tiles, least))
 
 
-def similar_duplicates(docs: DataFrame, text: str, key: str, shingle: int, distance: int, total: int, least: float) -> DataFrame:
+def similar_duplicates(docs: DataFrame, text: str, key: str, shingle: int, distance: int, least: float) -> DataFrame:
     """key and component_id (smallest key that links reach) of every row with a key."""
     from utterscope.llm.simhash import links, shingle_hashes, sketches
 
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("node"), F.col(text).alias("text"))
-    fields = [T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     prints = cut(map_texts(slim, "text", partial(sketches, shingle=shingle), fields, ["node"]))
-    nodes = cut(prints.groupBy("sig").agg(F.min("node").alias("first"), *[F.min_by(c, "node").alias(c) for c in ("fp", "fp2", "bands")]).withColumnRenamed("first", "node"))
+    nodes = cut(prints.groupBy("sig").agg(F.min("node").alias("first"), *[F.min_by(c, "node").alias(c) for c in ("fp", "bands")]).withColumnRenamed("first", "node"))
     dealt = nodes.select("node", F.explode("bands").alias("band"))
     meets = cut(dealt.groupBy("band").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     stars = dealt.join(meets, "band").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
-    candidates = cut(components(links(nodes.select("node", "fp", "fp2"), distance, total).unionAll(stars)))
+    candidates = cut(components(links(nodes.select("node", "fp"), distance).unionAll(stars)))
     fields = [T.StructField("sig", T.BinaryType()), T.StructField("own", T.BinaryType())]
     sets = map_texts(slim.join(candidates, "node"), "text", partial(_sets, shingle=shingle, hashes=shingle_hashes), fields, ["component", "node"])
     once = cut(sets.groupBy("component", "node", "sig").agg(F.first("own").alias("own")))
