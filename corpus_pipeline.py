@@ -11,18 +11,17 @@ from pyspark.sql import functions as F
 
 from utterscope.llm.common import cut, table, written
 from utterscope.llm.decontaminate import decontaminate
-from utterscope.llm.packing import byte_lengths, pack
+from utterscope.llm.packing import pack
 from utterscope.llm.quality import keep_good
 from utterscope.llm.secrets import redact
 from utterscope.llm.simhash import deduplicate
+from utterscope.llm.token_count import token_counts
 
 #: Near-duplicates: shingles of five words, of a similarity of SIMILAR or more. Candidates have at most NEAR_BITS differing
-#: bits in one of two fingerprints and BOTH_BITS of 128 in both together (about 19 are expected at 0.8), or share a band of
-#: least hashes.
+#: bits in their fingerprints, or share a band of least hashes.
 SHINGLE = 5
 SIMILAR = 0.8
-NEAR_BITS = 8
-BOTH_BITS = 22
+NEAR_BITS = 4
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id."""
-    return deduplicate(docs, shingle=SHINGLE, distance=NEAR_BITS, total=BOTH_BITS, similar=SIMILAR)
+    return deduplicate(docs, shingle=SHINGLE, distance=NEAR_BITS, similar=SIMILAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +50,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket, batch and slot."""
-    return pack(cut(byte_lengths(docs)))
+    """Every document's bucket, batch and slot, by its token count."""
+    return pack(cut(token_counts(docs).select("doc_id", "n_tokens")), length="n_tokens")
 
 
 STAGES = [
