@@ -26,3 +26,38 @@ def test_random_groups_with_nulls_and_ties(spark):
 
 def test_empty(spark):
     assert distribution(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0
+
+
+def test_nan_and_zeros_and_infinities_have_their_place(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from utterscope.functions.stats import cell, distribution
+
+    inf, nan = float("inf"), float("nan")
+    row = distribution(spark.createDataFrame([("a", x) for x in (3.0, nan, 1.0, 2.0)], "k string, v double"), ["k"], "v").first()
+    assert row["median"] == 2.5 and math.isnan(row["percentile_95"]) and math.isnan(row["maximum"]) and row["minimum"] == 1.0
+    rng = random.Random(1)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e300), rng.gauss(0, 5e-324), float(rng.randint(-9, 9)), 2.0 ** rng.randint(-1074, 1023), math.nextafter(2.0 ** rng.randint(-900, 900), 0)]) for _ in range(4000)]
+    values += [0.0, -0.0, inf, -inf, nan, 5e-324, -5e-324, 1.7976931348623157e308]
+    cells = [r["c"] for r in spark.createDataFrame([(x,) for x in values], "v double").select("v", cell(F.col("v")).alias("c")).orderBy("v").collect()]
+    assert cells == sorted(cells)
+    for own in (values, [x for x in values if x == x], [-0.0, 0.0, 0.0], [inf, -inf], [7.0]):
+        got = distribution(spark.createDataFrame([(x,) for x in own], "v double").withColumn("k", F.lit(1)), ["k"], "v").first()
+        ordered = sorted(own, key=lambda x: (x != x, x))
+        n = len(ordered)
+        same = lambda a, b: a == b or (a != a and b != b)
+        assert same(got["median"], (ordered[(n - 1) // 2] + ordered[n // 2]) / 2) and same(got["percentile_95"], ordered[math.ceil(0.95 * n) - 1])
+
+
+def test_a_group_of_many_values_in_one_unit(spark):
+    from pyspark.sql import functions as F
+
+    from utterscope.functions.stats import distribution
+
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), ((F.col("id") * 7919) % 1_000_003 / 1_000_003).alias("v"))
+    values = sorted(i * 7919 % 1_000_003 / 1_000_003 for i in range(1_000_000))
+    row = distribution(df, ["k"], "v").first()
+    assert row["median"] == (values[499_999] + values[500_000]) / 2 and row["percentile_95"] == values[949_999] and row["count"] == 1_000_000
