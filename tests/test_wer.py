@@ -39,3 +39,39 @@ def test_random_pairs(spark):
 def test_rate(spark):
     row = spark.range(1).select(rate(F.lit(1), F.lit(4)).alias("a"), rate(F.lit(1), F.lit(0)).alias("b")).first()
     assert row["a"] == 0.25 and row["b"] is None
+
+
+def plain_errors(ref, hyp):
+    """The same by the table, cell by cell."""
+    table = {}
+    for x in range(len(ref) + 1):
+        for y in range(len(hyp) + 1):
+            if not x or not y:
+                table[x, y] = (x + y, 0, x, y)
+                continue
+            diagonal, up, left = table[x - 1, y - 1], table[x - 1, y], table[x, y - 1]
+            if ref[x - 1] == hyp[y - 1]:
+                table[x, y] = diagonal
+            elif diagonal[0] <= up[0] and diagonal[0] <= left[0]:
+                table[x, y] = (diagonal[0] + 1, diagonal[1] + 1, diagonal[2], diagonal[3])
+            elif up[0] <= left[0]:
+                table[x, y] = (up[0] + 1, up[1], up[2] + 1, up[3])
+            else:
+                table[x, y] = (left[0] + 1, left[1], left[2], left[3] + 1)
+    return table[len(ref), len(hyp)]
+
+
+def test_errors_are_those_of_the_table():
+    import random
+    import time
+
+    from utterscope.functions.wer import errors
+
+    rng = random.Random(5)
+    for _ in range(800):
+        ref, hyp = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        assert errors(ref, hyp) == plain_errors(ref, hyp)
+    long = [rng.choice("abcdefgh") for _ in range(800)]
+    began = time.process_time()
+    errors(long, long[5:] + ["z"] * 9)
+    assert time.process_time() - began < 0.5

@@ -2,50 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+ERRORS = T.StructType([T.StructField(c, T.IntegerType()) for c in "csdi"])
 
-def _cell(cost: Column, s: Column, d: Column, i: Column) -> Column:
-    return F.struct(cost.alias("c"), s.alias("s"), d.alias("d"), i.alias("i"))
 
+def errors(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, int, int, int]:
+    """Total edits and their kinds.
 
-def _step(cell: Column, s: int = 0, d: int = 0, i: int = 0) -> Column:
-    return _cell(cell["c"] + 1, cell["s"] + s, cell["d"] + d, cell["i"] + i)
+    Equal words cost nothing; of equally good ways a substitution goes before a deletion, and that before an insertion. The
+    programme runs over anti-diagonals, each one step in numpy. It keeps edits and substitutions only: the deletions less the
+    insertions on the way to a cell are its row less its column.
+    """
+    n, m = len(reference), len(hypothesis)
+    numbers: dict[str, int] = {}
+    ref, hyp = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (reference, hypothesis))
+    edits, subs = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # of the last diagonal, by row
+    before = edits.copy(), subs.copy()
+    for k in range(1, n + m + 1):
+        new, new_subs = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        if k <= m:
+            new[0] = k
+        if k <= n:
+            new[k] = k
+        low, high = max(1, k - m), min(n, k - 1)
+        if low <= high:
+            at = slice(low, high + 1)
+            up, left, diagonal = edits[low - 1 : high], edits[at], before[0][low - 1 : high]
+            same = ref[low - 1 : high] == hyp[k - high - 1 : k - low][::-1]
+            swap = ~same & (diagonal <= up) & (diagonal <= left)
+            drop = ~same & ~swap & (up <= left)
+            new[at] = np.where(same | swap, diagonal, np.where(drop, up, left)) + ~same
+            new_subs[at] = np.where(same | swap, before[1][low - 1 : high] + swap, np.where(drop, subs[low - 1 : high], subs[at]))
+        before, edits, subs = (edits, subs), new, new_subs
+    c, s = int(edits[n]), int(subs[n])
+    return c, s, (c - s + n - m) // 2, (c - s - n + m) // 2
 
 
-def word_errors(reference: Column, hypothesis: Column) -> Column:
-    """STRUCT<c, s, d, i> over two word arrays: total edits and their kinds.
+@F.pandas_udf(ERRORS)
+def _errors(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    found = [(None,) * 4 if r is None or h is None else errors(list(r), list(h)) for r, h in zip(reference, hypothesis)]
+    return pd.DataFrame(found, columns=list("csdi")).astype("Int32")
 
-    A forward dynamic programme that carries the kinds along the best path. Equal words cost nothing; of equally good
-    ways a substitution goes before a deletion, and that before an insertion. Equal arrays take no programme.
-    """
-    zero = F.lit(0)
-    n, m = F.size(reference), F.size(hypothesis)
-    columns = F.sequence(F.lit(1), m)
-    first_row = F.transform(F.sequence(zero, m), lambda j: _cell(j, zero, zero, j))
-
-    def row(above: Column, word: Column) -> Column:
-        def cell(new: Column, j: Column) -> Column:
-            diagonal, up, left = F.get(above, j - 1), F.get(above, j), F.get(new, j - 1)
-            chosen = (
-                F.when(F.get(hypothesis, j - 1) == word, diagonal)
-                .when((diagonal["c"] <= up["c"]) & (diagonal["c"] <= left["c"]), _step(diagonal, s=1))
-                .when(up["c"] <= left["c"], _step(up, d=1))
-                .otherwise(_step(left, i=1))
-            )
-            return F.concat(new, F.array(chosen))
-
-        start = _step(F.get(above, zero), d=1)
-        return F.aggregate(columns, F.array(start), cell)
-
-    full = F.element_at(F.aggregate(reference, first_row, row), -1)
-    return (
-        F.when(reference == hypothesis, _cell(zero, zero, zero, zero))
-        .when(m == 0, _cell(n, zero, n, zero))
-        .when(n == 0, _cell(m, zero, zero, m))
-        .otherwise(full)
-    )
+
+def word_errors(reference: Column, hypothesis: Column) -> Column:
+    """STRUCT<c, s, d, i> over two word arrays, of `errors`; null if either is. Equal arrays need no alignment."""
+    none = F.array().cast("array<string>")
+    equal = reference == hypothesis
+    found = _errors(F.when(equal, none).otherwise(reference), F.when(equal, none).otherwise(hypothesis))
+    return F.when(reference.isNotNull() & hypothesis.isNotNull(), found)
 
 
 def rate(edits: Column, reference_words: Column) -> Column:
