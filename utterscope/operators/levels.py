@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from utterscope.functions.audio import WINDOW_SECONDS, dbfs, frame_level, frames_for
+from utterscope.functions.audio import WINDOW_SECONDS, dbfs, frames_for
 
 
 def levels_of_frames(frames: DataFrame, keys: Sequence[str], frame: str, value: str, size: int) -> DataFrame:
@@ -18,17 +21,40 @@ def levels_of_frames(frames: DataFrame, keys: Sequence[str], frame: str, value:
     return summed.where(F.col("__n") == size).select(*keys, "window_idx", rms.alias("rms"), dbfs(rms.cast("double")).cast("float").alias("dbfs"), ((F.col("window_idx") + 1) * size).alias("end_frame"))
 
 
+def window_levels(samples: np.ndarray, channels: int, size: int) -> np.ndarray:
+    """RMS of each whole window of `size` frames of interleaved 16-bit samples."""
+    width = size * channels
+    whole = len(samples) // width
+    frames = np.asarray(samples[: whole * width], np.float64).reshape(whole, size, channels).sum(axis=2) / (32768.0 * channels)
+    return np.sqrt((frames * frames).sum(axis=1) / size).astype(np.float32)
+
+
 def levels_of_recordings(recordings: DataFrame, keys: Sequence[str] = ("id",), seconds: float = WINDOW_SECONDS) -> DataFrame:
     """The same from one row a recording: samples (interleaved 16-bit), sample_rate_hz and channels."""
-    size = frames_for(F.col("sample_rate_hz"), seconds).cast("int")
-    sized = recordings.withColumn("__size", size).withColumn("__windows", F.floor(F.size("samples") / (F.col("channels") * F.col("__size"))).cast("int"))
-    each = sized.where("__windows > 0").withColumn("window_idx", F.explode(F.sequence(F.lit(0), F.col("__windows") - 1)))
-    width = F.col("__size") * F.col("channels")
-    part = F.slice("samples", F.col("window_idx") * width + 1, width)
-    cut = each.select(*keys, "window_idx", "channels", "__size", part.alias("__part"))
-    squares = F.aggregate(
-        F.sequence(F.lit(0), F.col("__size") - 1), F.lit(0.0),
-        lambda a, f: a + F.pow(frame_level(F.slice("__part", f * F.col("channels") + 1, F.col("channels"))), F.lit(2)),
+    names = [f"__k{i}" for i in range(len(keys))]
+    sized = recordings.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], "samples", F.col("channels").cast("int").alias("__channels"),
+        frames_for(F.col("sample_rate_hz"), seconds).cast("int").alias("__size"),
+    ).where("samples is not null and __channels > 0 and __size > 0")
+    fields = [sized.schema[n] for n in names]
+    out = T.StructType([*fields, T.StructField("window_idx", T.LongType()), T.StructField("rms", T.FloatType()), T.StructField("end_frame", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, count = batch.num_columns - 3, batch.num_rows
+            each = [
+                window_levels(batch.column(kept)[r].values.to_numpy(zero_copy_only=False), batch.column(kept + 1)[r].as_py(), batch.column(kept + 2)[r].as_py())
+                for r in range(count)
+            ]
+            row = np.repeat(np.arange(count), [len(x) for x in each])
+            window = np.concatenate([np.arange(len(x)) for x in each]) if each else np.zeros(0, np.int64)
+            sizes = batch.column(kept + 2).to_numpy(zero_copy_only=False).astype(np.int64)
+            levels = np.concatenate(each) if each else np.zeros(0, np.float32)
+            columns = [batch.column(k).take(pa.array(row)) for k in range(kept)]
+            columns += [pa.array(window.astype(np.int64)), pa.array(levels), pa.array((window + 1) * sizes[row])]
+            yield pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
+
+    found = sized.mapInArrow(run, out)
+    return found.select(
+        *[F.col(n).alias(k) for k, n in zip(keys, names)], "window_idx", "rms", dbfs(F.col("rms").cast("double")).cast("float").alias("dbfs"), "end_frame"
     )
-    rms = F.sqrt(squares / F.col("__size")).cast("float")
-    return cut.select(*keys, F.col("window_idx").cast("bigint").alias("window_idx"), rms.alias("rms"), dbfs(rms.cast("double")).cast("float").alias("dbfs"), ((F.col("window_idx") + 1) * F.col("__size")).cast("bigint").alias("end_frame"))
