@@ -123,16 +123,26 @@ def test_timers_and_model(spark):
 def test_report(spark, tmp_path):
     events = write(tmp_path / "events.jsonl", event(transcript="включи музыку", prediction={"intent": "unknown", "slots": {}}, audio_path="a.wav", vad={"speech_windows": 10, "duration_ms": 200, "noise_floor_dbfs": -50.25, "end_reason": "silence"}), event(id="b", transcript="[шум]", vad={"speech_windows": 2}), event(id="c", execution_result={"status": "rejected"}))
     labels = write(tmp_path / "labels.jsonl", json.dumps({**LABEL, "corrected_transcript": "включи эту музыку"}), json.dumps({**LABEL, "event_id": "b", "actual_speech": False, "correct_intent": "no_speech", "corrected_transcript": None}))
-    text = dataset_report(spark, events, labels)
+    text = "\n".join(dataset_report(spark, events, labels))
     for line in (
         "Events: 3", "Short rejections: 1", "Changed predictions: 1", "Labeled pipeline evaluation: 2 / 3", "  Negative samples (non-speech or unsupported speech): 1",
         "  Aggregate WER: 33.3%", "  Correct: 0 / 1 (0.0%)", "  Correct: 1 / 1 (100.0%)", "    play_music -> unknown: 1", "    a: play_music -> unknown | \"включи музыку\"", "  Candidates: 200 ms (configuration unchanged)",
         "  unknown -> play_music: 1", "  mic: 3", "  noise floor: -50.2 dBFS / -50.2 dBFS / -50.2 dBFS / -50.2 dBFS", "  end threshold: no data", "    (none)",
     ):
         assert line in text.split("\n"), line
-    empty = dataset_report(spark, write(tmp_path / "none.jsonl", ""), str(tmp_path / "no-labels"))
+    empty = "\n".join(dataset_report(spark, write(tmp_path / "none.jsonl", ""), str(tmp_path / "no-labels")))
     assert "Events: 0" in empty and "Candidates: no labeled VAD data" in empty and "  (no data)" in empty and "  Aggregate WER: n/a" in empty
 
 
 def test_rate_text():
     assert [rate_text(x) for x in (None, 0.0, 1.0, 1 / 3)] == ["n/a", "0.0%", "100.0%", "33.3%"]
+
+
+def test_report_shows_every_case_once(spark, tmp_path):
+    one = event(id="same", transcript="включи музыку", prediction={"intent": "unknown", "slots": {}})
+    events = write(tmp_path / "events.jsonl", *[one] * 3)
+    labels = write(tmp_path / "labels.jsonl", json.dumps({**LABEL, "event_id": "same", "corrected_transcript": "включи музыку"}))
+    case = "    same: play_music -> unknown | \"включи музыку\""
+    assert list(dataset_report(spark, events, labels)).count(case) == 3
+    short = list(dataset_report(spark, events, labels, max_cases=2))
+    assert short.count(case) == 2 and "    (and 1 more)" in short

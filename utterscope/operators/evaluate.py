@@ -131,10 +131,10 @@ def _both(samples: DataFrame, *columns: str) -> DataFrame:
     return samples.select(*columns, each.alias("x")).select(*columns, "x.*")
 
 
-def safety_mistakes(samples: DataFrame) -> DataFrame:
-    """parser, event_id, predicted and transcript of every false command."""
-    rows = _both(samples.where(negative()), "id", "transcript").where(actionable(F.col("predicted")))
-    return rows.select("parser", F.col("id").alias("event_id"), "predicted", F.coalesce("transcript", F.lit("")).alias("transcript"))
+def safety_mistakes(samples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """parser, event_id, predicted, transcript and `keep` of every false command."""
+    rows = _both(samples.where(negative()), "id", "transcript", *keep).where(actionable(F.col("predicted")))
+    return rows.select("parser", F.col("id").alias("event_id"), "predicted", F.coalesce("transcript", F.lit("")).alias("transcript"), *keep)
 
 
 def parser_accuracy(samples: DataFrame, parser: str) -> DataFrame:
@@ -147,10 +147,11 @@ def confusion(samples: DataFrame, parser: str) -> DataFrame:
     return samples.where(supported_command()).groupBy(F.col("label_intent").alias("expected"), F.col(parser).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def parser_mistakes(samples: DataFrame) -> DataFrame:
-    """parser, event_id, expected, predicted and transcript of every wrong prediction."""
-    rows = _both(samples.where(supported_command()), "id", "label_intent", "transcript").where("predicted <> label_intent")
-    return rows.select("parser", F.col("id").alias("event_id"), F.col("label_intent").alias("expected"), "predicted", F.coalesce("transcript", F.lit("")).alias("transcript"))
+def parser_mistakes(samples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """parser, event_id, expected, predicted, transcript and `keep` of every wrong prediction."""
+    rows = _both(samples.where(supported_command()), "id", "label_intent", "transcript", *keep).where("predicted <> label_intent")
+    text = F.coalesce("transcript", F.lit("")).alias("transcript")
+    return rows.select("parser", F.col("id").alias("event_id"), F.col("label_intent").alias("expected"), "predicted", text, *keep)
 
 
 def _with_errors(pairs: DataFrame, *keep: str) -> DataFrame:
@@ -166,9 +167,16 @@ def _with_errors(pairs: DataFrame, *keep: str) -> DataFrame:
 
 
 def sample_errors(samples: DataFrame) -> DataFrame:
-    """event_id, substitutions, deletions, insertions, reference_words and wer of the speech samples with a reference."""
-    referenced = samples.where(F.col("label_speech") & F.col("label_transcript").isNotNull()).withColumnRenamed("id", "event_id")
-    return _with_errors(referenced, "event_id").where("reference_words is not null")
+    """event_id, substitutions, deletions, insertions, reference_words and wer of the speech samples with a reference.
+
+    Equal pairs of texts are aligned once.
+    """
+    texts = ("label_transcript", "transcript")
+    referenced = samples.where(F.col("label_speech") & F.col("label_transcript").isNotNull())
+    aligned = _with_errors(referenced.select(*texts).distinct(), *texts).where("reference_words is not null")
+    same = F.col("label_transcript").eqNullSafe(F.col("__l")) & F.col("transcript").eqNullSafe(F.col("__t"))
+    pairs = aligned.select(F.col("label_transcript").alias("__l"), F.col("transcript").alias("__t"), *[c for c in aligned.columns if c not in texts])
+    return referenced.select(F.col("id").alias("event_id"), *texts).join(pairs, same).drop(*texts, "__l", "__t")
 
 
 def stt(samples: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
-"""The dataset report as text, from small result frames.
+"""The dataset report as lines of text, from result frames.
 
-All computing is in the frames; what comes to the driver are counts, statistics and, at most `max_cases` a list, mistakes
-(pass None for all of them, as the log of one device allows).
+All computing is in the frames; what comes to the driver are counts and statistics, and the mistakes, which are streamed in the
+order of their places. With `max_cases` a list of mistakes ends there, with a line that says how many are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -47,16 +47,25 @@ def _statistics(metric: str, row: Row | None, fields: Iterable[str], counted: bo
     return f"  {name}: {' / '.join(shown)}"
 
 
-def _cases(df: DataFrame, parser: str, place: DataFrame, limit: int | None) -> list[Row]:
-    rows = df.where(df["parser"] == parser).join(place, "event_id").orderBy(*PLACE)
-    return (rows.limit(limit) if limit is not None else rows).collect()
+def _cases(mistakes: DataFrame, parser: str, limit: int | None, line: Callable[[Row], str]) -> Iterator[str]:
+    rows = mistakes.where(mistakes["parser"] == parser)
+    ordered = rows.orderBy(*PLACE)
+    for row in (ordered if limit is None else ordered.limit(limit)).toLocalIterator():
+        yield line(row)
+    left = 0 if limit is None else rows.count() - limit
+    if left > 0:
+        yield f"    (and {left} more)"
 
 
-def _parser(heading: str, accuracy: Row, confusion: list[Row], mistakes: list[Row]) -> list[str]:
-    out = ["", f"{heading} (supported labeled commands only):", f"  Correct: {accuracy['correct']} / {accuracy['total']} ({rate_text(accuracy['accuracy'])})", "  Confusion (expected -> predicted):"]
-    out += [f"    {r['expected']} -> {r['predicted']}: {r['n']}" for r in confusion] or ["    (no data)"]
-    out.append("  Errors:")
-    return out + ([f"    {r['event_id']}: {r['expected']} -> {r['predicted']} | \"{r['transcript']}\"" for r in mistakes] or ["    (none)"])
+def _parser(heading: str, accuracy: Row, confusion: list[Row], mistakes: Iterator[str]) -> Iterator[str]:
+    yield from ("", f"{heading} (supported labeled commands only):")
+    yield f"  Correct: {accuracy['correct']} / {accuracy['total']} ({rate_text(accuracy['accuracy'])})"
+    yield "  Confusion (expected -> predicted):"
+    yield from [f"    {r['expected']} -> {r['predicted']}: {r['n']}" for r in confusion] or ["    (no data)"]
+    yield "  Errors:"
+    first = next(mistakes, None)
+    yield "    (none)" if first is None else first
+    yield from mistakes
 
 
 def _threshold(row: Row, candidates: set[int]) -> str:
@@ -66,32 +75,36 @@ def _threshold(row: Row, candidates: set[int]) -> str:
     return f"  {mark} {t:>3} ms      {kept}          {rate_text(row['speech_recall']):>6}  {rate_text(row['noise_rejection_rate']):>6}"
 
 
-def render(events: DataFrame, latest: DataFrame, max_cases: int | None = 1000) -> str:
+def report_lines(events: DataFrame, latest: DataFrame, max_cases: int | None = None) -> Iterator[str]:
     """The report of events (with their place) and latest labels."""
     replayed = evaluate.replayed(events).persist(StorageLevel.MEMORY_AND_DISK)
     samples = evaluate.labelled(replayed, latest).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return "\n".join(_lines(replayed, samples, max_cases))
+        yield from _lines(replayed, samples, max_cases)
     finally:
         samples.unpersist()
         replayed.unpersist()
 
 
-def _lines(replayed: DataFrame, samples: DataFrame, max_cases: int | None) -> list[str]:
+def render(events: DataFrame, latest: DataFrame, max_cases: int | None = None) -> str:
+    return "\n".join(report_lines(events, latest, max_cases))
+
+
+def _lines(replayed: DataFrame, samples: DataFrame, max_cases: int | None) -> Iterator[str]:
     head = evaluate.headline_counts(replayed).first()
     out = [f"{label}: {head[c]}" for label, c in HEADLINES]
     sources = evaluate.source_counts(samples).first()
     out += ["", f"Labeled pipeline evaluation: {sources['natural'] + sources['prompted']} / {head['events']}", f"  Natural samples: {sources['natural']}", f"  Prompted samples: {sources['prompted']}"]
 
-    place = samples.select(samples["id"].alias("event_id"), *PLACE)
-    safe, wrong = evaluate.safety(samples).first(), evaluate.safety_mistakes(samples)
+    safe, wrong = evaluate.safety(samples).first(), evaluate.safety_mistakes(samples, PLACE)
     out += ["", "False command safety:", f"  Negative samples (non-speech or unsupported speech): {safe['negative_samples']}"]
     for parser, label in (("historical", "Historical false commands"), ("current", "Current parser false commands")):
         out.append(f"  {label}: {safe[f'{parser}_false_commands']} / {safe['negative_samples']} ({rate_text(safe[f'{parser}_false_command_rate'])})")
-        found = _cases(wrong, parser, place, max_cases) if safe[f"{parser}_false_commands"] else []
-        if found:
+        if safe[f"{parser}_false_commands"]:
             out.append(f"  {parser.title()} false-command cases:")
-            out += [f"    {r['event_id']}: {r['predicted']} | \"{r['transcript']}\"" for r in found]
+            yield from out
+            out = []
+            yield from _cases(wrong, parser, max_cases, lambda r: f"    {r['event_id']}: {r['predicted']} | \"{r['transcript']}\"")
 
     detected = evaluate.detection(samples).first()
     out += ["", "Speech detection:", *[f"  {label}: {detected[c]}" for label, c in DETECTION]]
@@ -101,11 +114,14 @@ def _lines(replayed: DataFrame, samples: DataFrame, max_cases: int | None) -> li
         f"  Word errors (substitutions / deletions / insertions): {stt['substitutions']} / {stt['deletions']} / {stt['insertions']}",
         f"  Aggregate WER: {rate_text(stt['aggregate_wer'])}", f"  Mean per-sample WER: {rate_text(stt['mean_sample_wer'])}", f"  Median per-sample WER: {rate_text(stt['median_sample_wer'])}",
     ]
-    mistakes = evaluate.parser_mistakes(samples)
+    yield from out
+    mistakes = evaluate.parser_mistakes(samples, PLACE)
     for parser, heading in (("historical", "Historical parser"), ("current", "Current parser")):
         matrix = evaluate.confusion(samples, parser).orderBy("expected", "predicted").collect()
-        out += _parser(heading, evaluate.parser_accuracy(samples, parser).first(), matrix, _cases(mistakes, parser, place, max_cases))
+        cases = _cases(mistakes, parser, max_cases, lambda r: f"    {r['event_id']}: {r['expected']} -> {r['predicted']} | \"{r['transcript']}\"")
+        yield from _parser(heading, evaluate.parser_accuracy(samples, parser).first(), matrix, cases)
 
+    out = []
     spread = {(r["label_speech"], r["metric"]): r for r in evaluate.vad_statistics(samples).collect()}
     for speech, what in ((True, "actual speech"), (False, "actual non-speech")):
         out += ["", f"VAD telemetry — {what} (count / min / median / mean / max):"]
@@ -126,9 +142,12 @@ def _lines(replayed: DataFrame, samples: DataFrame, max_cases: int | None) -> li
         out += ["", f"{label}:", *([f"  {r['name']}: {r['n']}" for r in blocks.get(heading, [])] or ["  (no data)"])]
     whole = {r["metric"]: r for r in evaluate.event_distributions(replayed).collect()}
     out += ["", "VAD distributions (min / median / p95 / max):"]
-    return out + [_statistics(m, whole.get(m), ("minimum", "median", "percentile_95", "maximum"), False) for m in ("duration_ms", "speech_windows", "noise_floor_dbfs")]
+    yield from out + [_statistics(m, whole.get(m), ("minimum", "median", "percentile_95", "maximum"), False) for m in ("duration_ms", "speech_windows", "noise_floor_dbfs")]
 
 
-def dataset_report(spark: SparkSession, events_path: str, labels_path: str, producer_version: str = "app_version") -> str:
+def dataset_report(
+    spark: SparkSession, events_path: str, labels_path: str, producer_version: str = "app_version", max_cases: int | None = None
+) -> Iterator[str]:
     events = read_events(spark, events_path, producer_version)
-    return f"Dataset: {events_path}\n{render(events, latest_labels(read_labels(spark, labels_path)))}"
+    yield f"Dataset: {events_path}"
+    yield from report_lines(events, latest_labels(read_labels(spark, labels_path)), max_cases)
