@@ -6,8 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from utterscope.plans.oracles import ORACLES
-from utterscope.plans.queries import QUERIES
+from utterscope.plans import oracles, queries, roundtrips
+
+ORACLES = {**oracles.ORACLES, **roundtrips.ORACLES}
+QUERIES = {**queries.QUERIES, **roundtrips.QUERIES}
 
 DATA = Path("/root/testdata/sf0.001")
 

@@ -47,24 +47,26 @@ def wav_samples(content: pd.Series) -> pd.DataFrame:
 def write_wavs(recordings: DataFrame, root: str, name: str = "id") -> DataFrame:
     """Write <root>/audio/<name>.wav for each recording and return name and audio_path.
 
-    Tasks write through the file system of the root as they see it, so on a cluster the root must be a shared mount; a file
-    is written under a name of its own first and renamed, so a repeated task leaves whole files.
+    The root is a path or a URI of a file system that tasks reach (a shared mount, hdfs, s3, gs); a file is written under a
+    name of its own first and moved, so a repeated task leaves whole files.
     """
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import uuid
 
-        folder = os.path.join(root, "audio")
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        folder = f"{base.rstrip('/')}/audio"
+        files.create_dir(folder, recursive=True)
         for batch in batches:
             paths = []
             for key, samples, rate, channels in zip(batch["name"], batch["samples"], batch["rate"], batch["channels"]):
-                path = os.path.join(folder, f"{key}.wav")
+                path = f"{folder}/{key}.wav"
                 part = f"{path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                with files.open_output_stream(part) as f:
                     f.write(encode(samples, int(rate), int(channels)))
-                os.replace(part, path)
+                files.move(part, path)
                 paths.append(f"audio/{key}.wav")
             yield pd.DataFrame({"id": batch["name"], "audio_path": paths})
 
