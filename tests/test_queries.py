@@ -51,3 +51,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_frames_are_numbered_over_ranges(spark, duck, monkeypatch):
+    monkeypatch.setattr(queries, "RANGE", 64)
+    got = QUERIES["level_windows"](spark, str(DATA))
+    want = duck.sql(ORACLES["level_windows"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())

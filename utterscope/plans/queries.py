@@ -139,12 +139,24 @@ def _built_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("id", "audio_path", "transcript", F.col("prediction.intent").alias("intent"), F.col("prediction.slots")["duration_seconds"].alias("seconds"), F.col("execution_result.status").alias("status"), F.col("execution_result.response").alias("response"), "processing_error")
 
 
+#: Ids that are numbered together.
+RANGE = 1 << 16
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of a user as mono frames: their values, in the order of their ids, scaled to full scale."""
+    """The events of a user as mono frames: their values, in the order of their ids, scaled to full scale.
+
+    A user's events are numbered by ranges of ids, each shifted by the counts of those before it, so that no task has a user.
+    """
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), (F.row_number().over(order) - 1).alias("frame"), (F.col("value") / 500).alias("x"))
+    span = F.floor(F.col("event_id") / RANGE).alias("span")
+    e = _table(spark, sf_dir, "events").select("user_id", span, "event_id", (F.col("value") / 500).alias("x"))
+    before = Window.partitionBy("user_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    shift = e.groupBy("user_id", "span").agg(F.count(F.lit(1)).alias("n")).select("user_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    within = Window.partitionBy("user_id", "span").orderBy("event_id")
+    placed = e.join(shift, (e["user_id"].eqNullSafe(shift["user_id"])) & (e["span"].eqNullSafe(shift["span"]))).drop(shift["user_id"], shift["span"])
+    return placed.select(F.col("user_id").cast("string").alias("session"), (F.col("shift") + F.row_number().over(within) - 1).alias("frame"), "x")
 
 
 def _level_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
