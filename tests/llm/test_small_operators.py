@@ -391,6 +391,51 @@ def test_scores_are_of_whole_texts_and_batch_free(monkeypatch):
     assert np.allclose(one_by_one, slow, atol=1e-4)
 
 
+def plain_features(text):
+    """Weighted buckets of a text by loops over its characters."""
+    big = 2**64 - 1
+
+    def mix(h):
+        h = ((h ^ (h >> 31)) * 0x7FB5D329728EA185) & big
+        h = ((h ^ (h >> 27)) * 0x81DADEF4BC2DD44D) & big
+        return h ^ (h >> 33)
+
+    points = [32 if ord(c) < 33 else ord(c) for c in f" {text} "]
+    words, at = [], 0
+    for word in "".join(map(chr, points)).split(" "):
+        if word:
+            words.append(mix(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15 | 1, k, 2**64) for k, c in enumerate(word)) & big))
+    fields = [[h >> (64 - Q.BITS) for h in words], [], []]
+    for n in Q.GRAMS:
+        for at in range(len(points) - n + 1):
+            if 32 in points[at + 1 : at + n - 1]:
+                continue
+            h = n
+            for c in points[at : at + n]:
+                h = (h * 0x01000193 + c * 0x9E3779B1) % 2**32
+            h = ((h ^ (h >> 15)) * 0x85EBCA6B) % 2**32
+            fields[1].append(Q.CHARS + (h >> (32 - Q.BITS)))
+    for k, h in enumerate(words):
+        fields[2].append(Q.REPEATS + next((lag for lag in Q.LAGS if k >= lag and words[k - lag] == h), 0))
+    return [(b, 1 / len(own)) for own in fields for b in own]
+
+
+def test_scores_are_those_of_plain_loops():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["good", "Word", "wörd", "spam", "a", "\t", "漢字", "x1"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    model = Q.fit(texts, [int("spam" not in t) for t in texts], epochs=2)
+    want = [1 / (1 + np.exp(-(model.bias + sum(float(model.weight[b]) * w for b, w in plain_features(t))))) for t in texts]
+    assert np.allclose(model.score(texts), want, atol=1e-5) and max(want) - min(want) > 0.05
+
+
+def test_repeated_labelled_ids_are_one_row(spark):
+    docs_ = spark.createDataFrame([(1, f"good {i}", "x") for i in range(50)] + [(4, "bad", "y")], "doc_id bigint, text string, __key string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (None, 1), (9, None)], "doc_id bigint, quality int")
+    model = Q.fit_on_labels(docs_, labels, held_out=9)
+    plain = Q.fit(["good 0", "bad"], [1, 0])
+    assert np.array_equal(model.weight, plain.weight) and model.bias == plain.bias
+
+
 def test_no_labels(spark):
     df = docs(spark, ["a", None])
     labels = spark.createDataFrame([(0, None), (None, 1)], "doc_id bigint, quality int")
