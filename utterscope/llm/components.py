@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from utterscope.llm.common import remove, stored
 
 
-def _least(edges: DataFrame) -> tuple[DataFrame, str]:
+#: Edges of a task, at most so many tasks being made as there are cores or these ask for.
+TASK_EDGES = 200_000
+
+
+def _least(edges: DataFrame, tasks: int) -> tuple[DataFrame, str]:
     """(u, m) with m the smallest neighbour of u, materialised: so a join with the edges can split a hot u."""
-    return stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
 
 
 def _stars(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -35,15 +39,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+        tasks = max(spark.sparkContext.defaultParallelism, state[0] // TASK_EDGES)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, used = _least(both)
-        large, more = stored(_stars(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least, last = _least(large)
+        least, used = _least(both, tasks)
+        large, more = stored(_stars(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "large")
+        least, last = _least(large, tasks)
         small = _stars(large, least)
         done = [path, used, more, last]
         now, path = stored(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v"))).distinct(), "edges"
+            .union(small.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges"
         )
         remove(spark, done)
     else:
