@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,13 @@ TIMER_WORDS = ("таймер", "таймера", "тайга")
 ON = "на"
 MUSIC_ACTIONS = ("включи", "включить", "запусти", "запустить", "открой", "открою", "открыть")
 MUSIC_WORDS = ("музыка", "музыку", "spotify", "спотифай", "спотик")
+#: A question for the time has a word of each group of one line.
+TIME_QUESTIONS = (
+    (("сколько",), ("времени", "время")),
+    (("который", "которые"), ("час",)),
+    (("текущее", "текущий"), ("время", "час")),
+    (("скажи",), ("время",)),
+)
 SOUND_WORDS = ("музыка", "шум", "тишина")
 WRAPPERS = (("[", "]"), ("(", ")"), ("*", "*"))
 UNIT_SECONDS = {
@@ -43,10 +53,6 @@ def _any(tokens: Column, wanted: tuple[str, ...]) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in wanted]))
 
 
-def _has(tokens: Column, word: str) -> Column:
-    return F.array_contains(tokens, word)
-
-
 def non_speech(text: Column, tokens: Column) -> Column:
     """A text wrapped in a pair of marks, or the name of a sound alone."""
     bare = trimmed(text)
@@ -57,12 +63,10 @@ def non_speech(text: Column, tokens: Column) -> Column:
 
 
 def asks_for_time(tokens: Column) -> Column:
-    return (
-        (_has(tokens, "сколько") & _any(tokens, ("времени", "время")))
-        | (_any(tokens, ("который", "которые")) & _has(tokens, "час"))
-        | (_any(tokens, ("текущее", "текущий")) & _any(tokens, ("время", "час")))
-        | (_has(tokens, "скажи") & _has(tokens, "время"))
-    )
+    asked = F.lit(False)
+    for groups in TIME_QUESTIONS:
+        asked = asked | reduce(and_, (_any(tokens, group) for group in groups))
+    return asked
 
 
 def asks_to_play_music(tokens: Column) -> Column:

@@ -1,7 +1,8 @@
 """The detector in Structured Streaming: state a session, rows of a batch in window order.
 
 Windows at or before the last one seen of a session are dropped, so a repeated batch changes nothing. The state is small:
-the detector's counters and the levels of its phase.
+the detector's counters and the levels of its phase. A session's windows of one micro-batch (32 bytes each) are sorted in
+memory; the source's limit a trigger (`maxFilesPerTrigger`) bounds them.
 """
 
 from __future__ import annotations
