@@ -269,6 +269,10 @@ def test_pages_table(spark):
     assert sorted((tuple(r) for r in H.extract_text(pages).collect()), key=str) == sorted([(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0), (None, "u", "", 0)], key=str)
 
 
+def test_pages_of_nothing(spark):
+    assert H.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 def test_pages_equal_plain_rules(spark):
     from html import unescape
 

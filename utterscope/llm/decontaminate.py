@@ -11,7 +11,7 @@ The benchmark is read in parts of at most `part_words` words, one automaton each
 time, and what was found is written to the shared checkpoint folder between parts, so what is broadcast and held by a
 task at once is bounded; a benchmark of up to `part_words` words takes one pass.
 
-Defined results: null texts have no words; an item of no words has no window; a null item_id is written as an empty
+Defined results: null texts have no words; very long texts are scanned whole; an item of no words has no window; a null item_id is written as an empty
 string, repeated item_ids count once; repeated documents are scanned each; an empty benchmark hits nothing; an empty table
 gives an empty result; further columns are not read by the scan and are kept by `decontaminate`.
 """

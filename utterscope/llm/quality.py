@@ -7,7 +7,7 @@ the output is linear in the averaged vectors, scoring folds each vector and the
 The fit uses a bounded sample: at most `max_labels` labelled rows in the order of a hash of their id, of texts up to
 `max_chars`. Every document is scored over its whole text.
 
-Defined results: a null or empty text gets the score of the learned bias; null ids are not held out; labels that are null
+Defined results: a null or empty text gets the score of the learned bias; very long texts are scored whole; null ids are not held out; labels that are null
 are not learned, of several labels of one id the smallest counts, and of several texts the first; without any label every score is 0.5; repeated rows
 are scored each; an empty table gives an empty result; other columns are never inputs.
 """

@@ -11,7 +11,7 @@ Buckets of more than `TILE` fingerprints are split into salted parts, and each p
 link is lost and none is too large for a task. Components come from checkpointed star steps on the links.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; texts of fewer words than
-a shingle are one shingle; repeated rows have one fingerprint and so one component; rows with a null id take part only
+a shingle are one shingle; very long texts are hashed whole; repeated rows have one fingerprint and so one component; rows with a null id take part only
 through others of their fingerprint (component null if there are none); an empty table gives an empty result; further
 columns are not read by the fingerprints and are kept by `deduplicate`.
 """
