@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from utterscope.llm import decontaminate, lm_score, packing, sharding, topk
+from utterscope.llm import decontaminate, lm_score, packing, sharding, spelling, topk, vector_codes
+from utterscope.llm.bpe import op13_bpe_codec
 from utterscope.llm.decontaminate import op5_decontamination
 from utterscope.llm.html_text import op1_html_text
 from utterscope.llm.lm_score import op10_lm_score
@@ -16,8 +17,10 @@ from utterscope.llm.quality import op7_quality
 from utterscope.llm.secrets import op2_secret_scan
 from utterscope.llm.sharding import op3_sharding
 from utterscope.llm.simhash import op8_simhash
+from utterscope.llm.spelling import op12_spelling
 from utterscope.llm.token_count import op4_token_counts
 from utterscope.llm.topk import op6_topk
+from utterscope.llm.vector_codes import op11_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_lm_score": op10_lm_score,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_spelling": op12_spelling,
+        "op13_bpe_codec": op13_bpe_codec,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -43,4 +49,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_topk": topk.ORACLE_SQL,
         "op9_packing": packing.ORACLE_SQL,
         "op10_lm_score": lm_score.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
     }
