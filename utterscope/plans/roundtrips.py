@@ -33,12 +33,13 @@ _EVENT_FIELDS = (
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events appended in two writes to a log of JSON lines and read back strictly."""
+    """Events appended in three writes to one log of JSON lines and read back strictly, with the append that each is of."""
     path = new_path(spark, "events")
     events = adapter.events(spark, sf_dir)
-    for part in ("line_no % 2 = 0", "line_no % 2 = 1"):
-        jsonl.append_events(events.where(part), path)
-    return jsonl.read_events(spark, path).select(*_EVENT_FIELDS)
+    for part in (2, 0, 1):
+        jsonl.append_events(events.where(F.col("line_no") % 3 == part), path)
+    append = F.regexp_extract("file", r"/(\d{10})/[^/]*$", 1).cast("int")
+    return jsonl.read_events(spark, path).select(*_EVENT_FIELDS, append.alias("append"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +61,12 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First labels and corrections written to two logs; the latest label of each event, later files going before."""
-    root = new_path(spark, "labels")
+    """First labels, corrections and some first labels again, appended to one log; the last label of each event."""
+    path = new_path(spark, "labels")
     labels = adapter.labels(spark, sf_dir)
-    for seq in (1, 2):
-        jsonl.append_labels(labels.where(F.col("label_seq") == seq), f"{root}/{seq}")
-    latest = jsonl.latest_labels(jsonl.read_labels(spark, [f"{root}/1", f"{root}/2"]))
-    return latest.select("event_id", "actual_speech", "corrected_transcript", "correct_intent")
+    for part in ("label_seq = 1", "label_seq = 2", "label_seq = 1 and substr(event_id, -1) = '0' and substr(event_id, -2, 1) < '5'"):
+        jsonl.append_labels(labels.where(part), path)
+    return jsonl.latest_labels(jsonl.read_labels(spark, path)).select("event_id", "actual_speech", "corrected_transcript", "correct_intent")
 
 
 def analytics_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,9 +215,12 @@ ORACLES: dict[str, str] = {
     "event_log": oracles._with("""SELECT CAST(1 + event_id % 3 AS SMALLINT) AS schema_version, id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(window_ms AS BIGINT) END AS level_window_ms,
   CASE WHEN prompted THEN 'p-' || phrase_id END AS prompt_id, CASE WHEN prompted THEN bank_intent END AS expected_intent, CASE WHEN windows >= 7 THEN 'audio/' || id || '.wav' END AS audio_path,
   CASE WHEN user_id % 2 = 0 THEN ' ' ELSE '' END || 'mic-' || (user_id % 4) AS device, CAST(48000 AS BIGINT) AS sample_rate_hz, transcript, stored AS intent, status,
-  CASE WHEN status = 'failed' THEN 'the action failed' END AS processing_error, speech_windows, end_reason FROM ev"""),
+  CASE WHEN status = 'failed' THEN 'the action failed' END AS processing_error, speech_windows, end_reason,
+  CAST((event_id + 1) % 3 + 1 AS INTEGER) AS append FROM ev"""),
     "event_lines": "SELECT event_id, event_id % 11 = 0 AS bad, TRUE AS placed FROM events",
-    "label_log": oracles._with("SELECT id AS event_id, speech AS actual_speech, label_text AS corrected_transcript, label_intent AS correct_intent FROM lab"),
+    "label_log": oracles._with("""SELECT id AS event_id, speech AS actual_speech, label_text AS corrected_transcript, label_intent AS correct_intent
+FROM (SELECT *, CASE WHEN seq = 1 AND right(id, 1) = '0' AND substr(right(id, 2), 1, 1) < '5' THEN 3 ELSE seq END AS append FROM log)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY append DESC) = 1"""),
     "analytics_copy": oracles._with("SELECT CAST(1 + event_id % 3 AS SMALLINT) AS schema_version, count(*) AS n, count(transcript) AS transcripts FROM ev GROUP BY 1"),
     "plan_scan": oracles._with(f"SELECT '{adapter.CAMPAIGN}' AS campaign, row_number() OVER (ORDER BY phrase_id) - 1 AS place, 'p-' || phrase_id AS prompt_id, corrected AS transcript, bank_intent AS intent FROM bank WHERE bank_intent <> 'no_speech'"),
     "wav_files": f"WITH {_SAMPLES} SELECT id, count(*) AS n_samples, CAST(sum(s) AS BIGINT) AS total, {RATE} AS sample_rate_hz, 2 AS channels FROM whole GROUP BY id",

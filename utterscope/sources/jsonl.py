@@ -2,7 +2,8 @@
 
 A row's place is (file, line_no): the line number within its file, counted over the file's splits, so the reader scales
 with the file. Blank lines are skipped but counted. Labels of later lines win over earlier ones, and later files (by path)
-over earlier ones.
+over earlier ones; what append_events and append_labels add comes after all that they added to the log before
+(utterscope.sources.log).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 
 from utterscope import schema as S
 from utterscope.functions.text import trimmed
+from utterscope.sources.log import append_lines
+from utterscope.sources.scratch import new_path
 
 PLACE = ("file", "line_no")
 
@@ -27,8 +30,9 @@ class InvalidLog(ValueError):
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """value, file and line_no (from 1) of every line."""
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
@@ -53,7 +57,17 @@ def _parsed(lines: DataFrame, schema: T.StructType, required: Sequence[str], wro
     return parsed.withColumn("invalid", F.col("record").isNull() | F.col("record.__corrupt").isNotNull() | _missing(required) | F.coalesce(wrong, F.lit(False)))
 
 
-def split_events(spark: SparkSession, path: str | Sequence[str], producer_version: str = "app_version") -> tuple[DataFrame, DataFrame]:
+def _split(parsed: DataFrame, names: Sequence[str], copy: str | None) -> tuple[DataFrame, DataFrame]:
+    """Valid records and invalid lines; with `copy`, of the parsed log as it is stored there, so that it is parsed once."""
+    if copy:
+        parsed.select("record", *PLACE, "invalid", F.when(F.col("invalid"), F.col("value")).alias("value")).write.parquet(copy)
+        parsed = parsed.sparkSession.read.parquet(copy)
+    return parsed.where("not invalid").select(*[f"record.{n}" for n in names], *PLACE), parsed.where("invalid").select(*PLACE, "value")
+
+
+def split_events(
+    spark: SparkSession, path: str | Sequence[str], producer_version: str = "app_version", copy: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Valid events with their place, and the place and value of invalid lines."""
     wrong = (
         ~F.col("record.execution_result.status").isin(*S.STATUSES)
@@ -64,11 +78,10 @@ def split_events(spark: SparkSession, path: str | Sequence[str], producer_versio
         | F.col("value").rlike(r'"ground_truth"\s*:\s*null')
     )
     schema = S.event_schema(producer_version)
-    parsed = _parsed(numbered_lines(spark, path), schema, S.EVENT_REQUIRED, wrong)
-    return parsed.where("not invalid").select(*[f"record.{f.name}" for f in schema], *PLACE), parsed.where("invalid").select(*PLACE, "value")
+    return _split(_parsed(numbered_lines(spark, path), schema, S.EVENT_REQUIRED, wrong), schema.fieldNames(), copy)
 
 
-def split_labels(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_labels(spark: SparkSession, path: str | Sequence[str], copy: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid labels with their place, and invalid lines; a log that is not there is empty."""
     try:
         lines = numbered_lines(spark, path)
@@ -77,8 +90,7 @@ def split_labels(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFr
             raise
         lines = spark.createDataFrame([], "value string, file string, line_no bigint")
     schema = S.label_schema()
-    parsed = _parsed(lines, schema, S.LABEL_REQUIRED, F.lit(False))
-    return parsed.where("not invalid").select(*[f"record.{f.name}" for f in schema], *PLACE), parsed.where("invalid").select(*PLACE, "value")
+    return _split(_parsed(lines, schema, S.LABEL_REQUIRED, F.lit(False)), schema.fieldNames(), copy)
 
 
 def _raise_first(bad: DataFrame, what: str) -> None:
@@ -88,14 +100,17 @@ def _raise_first(bad: DataFrame, what: str) -> None:
 
 
 def read_events(spark: SparkSession, path: str | Sequence[str], producer_version: str = "app_version") -> DataFrame:
-    """All events, or InvalidLog with the first bad line; this checks the whole log before it returns."""
-    good, bad = split_events(spark, path, producer_version)
+    """All events, or InvalidLog with the first bad line; the whole log is parsed and checked before this returns.
+
+    What was parsed is stored in the shared folder, and the events are read from there.
+    """
+    good, bad = split_events(spark, path, producer_version, new_path(spark, "checked-events"))
     _raise_first(bad, "dataset record")
     return good
 
 
 def read_labels(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    good, bad = split_labels(spark, path)
+    good, bad = split_labels(spark, path, new_path(spark, "checked-labels"))
     _raise_first(bad, "dataset label")
     return good
 
@@ -118,18 +133,19 @@ def _json_line(df: DataFrame, always: Sequence[str], optional: Sequence[str]) ->
     return F.concat(F.lit("{"), F.concat_ws(",", *[field(c) for c in df.columns if c in {*always, *optional}]), F.lit("}"))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append as JSON lines; provenance, collection and ground_truth are left out where null."""
+def append_events(events: DataFrame, path: str, token: str | None = None) -> int | None:
+    """Append as JSON lines in the order of the rows; provenance, collection and ground_truth are left out where null."""
     optional = ("provenance", "collection", "ground_truth")
     fields = S.event_schema().fields
     names = [f.name for f in fields]
     df = events.select(*[F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    df.select(_json_line(df, [n for n in names if n not in optional], optional).alias("value")).write.mode("append").text(path)
+    return append_lines(df.select(_json_line(df, [n for n in names if n not in optional], optional).alias("value")), path, token)
 
 
-def append_labels(labels: DataFrame, path: str) -> None:
+def append_labels(labels: DataFrame, path: str, token: str | None = None) -> int | None:
+    """Append as JSON lines in the order of the rows, after all that the log has."""
     df = labels.select(*S.label_schema().fieldNames())
-    df.select(_json_line(df, df.columns, ()).alias("value")).write.mode("append").text(path)
+    return append_lines(df.select(_json_line(df, df.columns, ()).alias("value")), path, token)
 
 
 def to_parquet(df: DataFrame, path: str, mode: str = "append") -> None:

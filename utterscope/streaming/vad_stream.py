@@ -1,52 +1,69 @@
-"""The detector in Structured Streaming: state a session, rows of a batch in window order.
+"""The detector in Structured Streaming: typed state a session, rows of a batch in window order.
 
-Windows at or before the last one seen of a session are dropped, so a repeated batch changes nothing. The state is small:
-the detector's counters and the levels of its phase. A session's windows of one micro-batch (32 bytes each) are sorted in
-memory; the source's limit a trigger (`maxFilesPerTrigger`) bounds them.
+Windows at or before the last one seen of a session are dropped, so a repeated batch changes nothing. The state is the noise
+floor and the windows of the open phase, of which there are at most as many as the longest wait or speech. A session's
+windows of one micro-batch (32 bytes each) are sorted in memory; the source's limit a trigger (`maxFilesPerTrigger`) bounds
+them.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict
-from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from utterscope.operators.vad import COLUMNS, EVENTS, Detector, VadConfig, frame_of
+from utterscope.operators.vad import COLUMNS, EVENTS, Detector, VadConfig, frame_of, level_columns
+from utterscope.streaming.state import ENDED, SessionProcessor, in_order, with_state
 
-_STATE = "detector string, last_window bigint"
 
+class VadProcessor(SessionProcessor):
+    HEAD = "utterance bigint, floor double, speaking boolean, last_window bigint"
+    ITEM = "window_idx bigint, dbfs float, end_frame bigint"
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, config: VadConfig) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        saved, last = state.get
-        detector = Detector(config, **json.loads(saved))
-    else:
-        detector, last = Detector(config), -1
-    rows = pd.concat(list(batches)).sort_values("window_idx", kind="stable").drop_duplicates("window_idx")
-    rows = rows[rows["window_idx"] > last]
-    found = [{"session": key[0], **e} for e in detector.run(zip(rows["window_idx"].tolist(), rows["dbfs"].tolist(), rows["end_frame"].tolist()))]
-    if len(rows):
-        last = int(rows["window_idx"].iloc[-1])
-    kept = {k: v for k, v in asdict(detector).items() if k != "config"}
-    state.update((json.dumps(kept), last))
-    yield frame_of(found, ["session", *COLUMNS])
+    def __init__(self, config: VadConfig, idle_ms: int | None = None) -> None:
+        super().__init__(idle_ms)
+        self.config = config
 
+    def _detector(self) -> tuple[Detector, int | None]:
+        head = self.head.get()
+        if head is None:
+            return Detector(self.config), None
+        utterance, floor, speaking, last = head
+        kept = list(self.items.get())
+        columns = [np.array([r[i] for r in kept], kind) for i, kind in enumerate((np.int64, np.float32, np.int64))]
+        return Detector(self.config, utterance, floor, speaking, *columns), last
 
-def detect_stream(levels: DataFrame, config: VadConfig | None = None) -> DataFrame:
-    """The batch detector's events from a stream of session (string), window_idx, dbfs and end_frame."""
-    slim = levels.select(F.col("session").cast("string").alias("session"), F.col("window_idx").cast("bigint").alias("window_idx"), F.col("dbfs").cast("float").alias("dbfs"), F.col("end_frame").cast("bigint").alias("end_frame"))
-    return slim.groupBy("session").applyInPandasWithState(
-        partial(_step, config=config or VadConfig()), f"session string, {EVENTS}", _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        detector, last = self._detector()
+        new = in_order(rows, "window_idx", last)
+        heard = new[new["dbfs"].notna()]
+        found = detector.feed(heard["window_idx"].to_numpy(), heard["dbfs"].to_numpy(), heard["end_frame"].to_numpy())
+        if new[ENDED].any():
+            self.forget()
+        elif len(new):
+            self.head.update((detector.utterance, detector.floor, detector.speaking, int(new["window_idx"].iloc[-1])))
+            kept = list(zip(detector.windows.tolist(), detector.levels.tolist(), detector.frames.tolist()))
+            self.items.put(kept) if kept else self.items.clear()
+        yield frame_of([{"session": key[0], **e} for e in found], ["session", *COLUMNS])
+
+
+def detect_stream(levels: DataFrame, config: VadConfig | None = None, idle_ms: int | None = None) -> DataFrame:
+    """The batch detector's events from a stream of session (string), window_idx, dbfs and end_frame.
+
+    A row whose boolean `session_ended`, if there is such a column, is true ends its session (its level may be null); so does
+    silence of `idle_ms` milliseconds of processing time. What comes later is a new session.
+    """
+    ended = F.coalesce(F.col(ENDED), F.lit(False)) if ENDED in levels.columns else F.lit(False)
+    slim = level_columns(levels.withColumn("session", F.col("session").cast("string")).withColumn(ENDED, ended), "session", ENDED)
+    return with_state(slim, "session", VadProcessor(config or VadConfig(), idle_ms), f"session string, {EVENTS}")
 
 
 def append_stream(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream to Parquet, each batch once."""
-    return events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    written = events.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return written.trigger(**(trigger or {"availableNow": True})).start()
