@@ -49,10 +49,12 @@ def largest_unit(dim: int) -> int:
 
 
 def _profile(rows: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means of the segments of each row, and the norms of what they leave."""
+    """Points whose squared distances are the bounds (segments' means, weighted, and norms of the rests), their squared norms."""
     cut = rows.reshape(len(rows), segments, -1).astype(np.float64)
     means = cut.mean(axis=2)
-    return means, np.sqrt(((cut - means[:, :, None]) ** 2).sum(axis=2))
+    rests = np.sqrt(((cut - means[:, :, None]) ** 2).sum(axis=2))
+    points = np.concatenate([means * np.sqrt(cut.shape[2]), rests], axis=1)
+    return points, (points * points).sum(axis=1)
 
 
 class Codebook:
@@ -66,6 +68,7 @@ class Codebook:
 
     @cached_property
     def levels(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Segments, points and their squared norms of each level."""
         return [(s, *_profile(self.entries, s)) for s in LEVELS if self.entries.shape[1] % s == 0]
 
     def _exact(self, rows: np.ndarray, at: np.ndarray, entry: np.ndarray) -> np.ndarray:
@@ -82,25 +85,18 @@ class Codebook:
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def _nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        dim = rows.shape[1]
+        dim, every = rows.shape[1], np.arange(len(rows))
         slack = 1e-11 * dim * float(np.abs(rows).max() + np.abs(self.entries).max() + 1) ** 2
-        every = np.arange(len(rows))
-        at = entry = least = None
-        for segments, means, norms in self.levels:
-            own_means, own_norms = _profile(rows, segments)
-            if least is None:
-                bound = dim * (own_means - means.T) ** 2 + (own_norms - norms.T) ** 2
-                first = bound.argmin(axis=1)
-                least = self._exact(rows, every, first)
-                at, entry = np.nonzero(bound <= least[:, None] + slack)
-                continue
-            bound = ((dim // segments) * (own_means[at] - means[entry]) ** 2 + (own_norms[at] - norms[entry]) ** 2).sum(axis=1)
-            starts = np.searchsorted(at, every)
-            best = np.flatnonzero(bound == np.minimum.reduceat(bound, starts)[at])
-            best = best[np.searchsorted(at[best], every)]
-            least = np.minimum(least, self._exact(rows, every, entry[best]))
-            keep = bound <= least[at] + slack
-            at, entry = at[keep], entry[keep]
+        open_, least = np.ones((len(rows), len(self.entries)), bool), np.full(len(rows), np.iinfo(np.int64).max)
+        for segments, points, norms in self.levels:
+            own, own_norms = _profile(rows, segments)
+            bound = own @ (-2 * points.T)
+            bound += norms
+            bound += own_norms[:, None]
+            bound[~open_] = np.inf
+            least = np.minimum(least, self._exact(rows, every, bound.argmin(axis=1)))
+            open_ = bound <= least[:, None] + slack
+        at, entry = np.nonzero(open_)
         exact = self._exact(rows, at, entry)
         least = np.minimum.reduceat(exact, np.searchsorted(at, every))
         best = np.flatnonzero(exact == least[at])  # entries ascend within a row
