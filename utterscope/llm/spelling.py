@@ -106,8 +106,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def with_forms(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     """The words with n_near, form and form_n."""
-    pairs = near_pairs(words)
-    both = pairs.select("word", "other", "other_n").union(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")))
+    there = F.struct(F.col("word"), F.col("other"), F.col("other_n"))
+    back = F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    both = near_pairs(words).select(F.inline(F.array(there, back)))
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best")
     )
