@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from utterscope.plans import oracles, queries, roundtrips
+from utterscope.plans import oracles, queries, roundtrips, streams
 
-ORACLES = {**oracles.ORACLES, **roundtrips.ORACLES}
-QUERIES = {**queries.QUERIES, **roundtrips.QUERIES}
+ORACLES = {**oracles.ORACLES, **roundtrips.ORACLES, **streams.ORACLES}
+QUERIES = {**queries.QUERIES, **roundtrips.QUERIES, **streams.QUERIES}
 
 DATA = Path("/root/testdata/sf0.001")
 

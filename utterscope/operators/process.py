@@ -66,12 +66,18 @@ def build_events(captured: DataFrame) -> DataFrame:
     )
 
 
-def timers(events: DataFrame) -> DataFrame:
-    """event_id, duration_seconds and fire_at of the timers that events have set."""
+def timers(events: DataFrame, clock: str | None = None) -> DataFrame:
+    """event_id, duration_seconds and fire_at of the timers that events have set.
+
+    With `clock`, a column of event time, it is kept, and events without a timer are left out by a test that names it: so a
+    stream's watermark sees the moments of all events.
+    """
     seconds = F.col("prediction.slots")["duration_seconds"].cast("bigint")
-    started = events.where((F.col("prediction.intent") == "set_timer") & (F.col("execution_result.status") == "succeeded"))
+    started = (F.col("prediction.intent") == "set_timer") & (F.col("execution_result.status") == "succeeded")
     at = F.to_timestamp("timestamp")
-    return started.select(F.col("id").alias("event_id"), seconds.alias("duration_seconds"), F.timestamp_seconds(F.unix_micros(at) / 1_000_000 + seconds).alias("fire_at"))
+    due = F.timestamp_seconds(F.unix_micros(at) / 1_000_000 + seconds).alias("fire_at")
+    kept = events.where(F.when(F.col(clock).isNotNull(), started) if clock else started)
+    return kept.select(F.col("id").alias("event_id"), seconds.alias("duration_seconds"), due, *([clock] if clock else []))
 
 
 def transcribe(recordings: DataFrame, model, columns: tuple[str, ...] = ("id",)) -> DataFrame:

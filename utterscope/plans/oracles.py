@@ -93,8 +93,12 @@ _SPOKEN = "CASE seconds WHEN 300 THEN '5 минут' WHEN 30 THEN '30 секун
 #: The detector as a recursion over a session's windows, with the small configuration of the query.
 _MEDIAN = "CASE WHEN len({0}) % 2 = 1 THEN list_sort({0})[len({0}) // 2 + 1] ELSE CAST((list_sort({0})[len({0}) // 2] + list_sort({0})[len({0}) // 2 + 1]) / 2::FLOAT AS FLOAT) END"
 
-_VAD_RUN = f"""WITH RECURSIVE
-frames AS (SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS f, value / 500 AS x FROM events),
+def vad_run(level: str = "x") -> str:
+    """The detector in SQL over levels of two frames each; `level` makes them of the frames' values x."""
+    return f"""WITH RECURSIVE
+frames AS (
+  SELECT session, f, {level} AS x FROM (
+    SELECT CAST(user_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS f, value / 500 AS x FROM events)),
 win AS MATERIALIZED (
   SELECT session, CAST(f // 2 AS BIGINT) AS w, CAST(20 * log10(CAST(CAST(sqrt(sum(x * x) / 2) AS FLOAT) AS DOUBLE)) AS FLOAT) AS db FROM frames GROUP BY 1, 2 HAVING count(*) = 2),
 run AS (
@@ -137,6 +141,9 @@ told AS (
     CASE WHEN over THEN len(said) + was_silent END AS detected_windows, CASE WHEN over THEN CAST(was_quiet AS BIGINT) END AS trailing_silence_windows,
     CASE WHEN over THEN len(said) END AS speech_windows, CASE WHEN over THEN CAST(was_silent AS BIGINT) END AS silence_windows FROM found)"""
 
+
+_VAD_RUN = vad_run()
+
 ORACLES: dict[str, str] = {
     "headline_counts": _with("""SELECT count(*) AS events, count(*) FILTER (windows >= 7) AS audio_samples, count(transcript) AS transcripts,
   count(*) FILTER (status = 'failed') AS processing_errors, count(*) FILTER (status = 'rejected' AND transcript IS NULL) AS short_rejections,

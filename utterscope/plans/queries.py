@@ -107,12 +107,16 @@ def _timer_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.where("seconds is not null").select("id", "seconds", duration_text(F.col("seconds")).alias("spoken"))
 
 
+def with_timer_slots(events: DataFrame) -> DataFrame:
+    """Events with the replayed command and its duration as their prediction."""
+    parsed = with_intent(events, "transcript", "intent", "seconds")
+    slots = F.create_map(F.lit("duration_seconds"), F.col("seconds").cast("string"))
+    return parsed.withColumn("prediction", F.struct("intent", slots.alias("slots")))
+
+
 def _timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timers that the replayed commands would set."""
-    parsed = with_intent(adapter.events(spark, sf_dir), "transcript", "intent", "seconds")
-    slots = F.create_map(F.lit("duration_seconds"), F.col("seconds").cast("string"))
-    acted = parsed.withColumn("prediction", F.struct("intent", slots.alias("slots"))).where("execution_result.status = 'succeeded'")
-    return process.timers(acted).select("event_id", "duration_seconds", F.unix_timestamp("fire_at").alias("fire_at"))
+    return process.timers(with_timer_slots(adapter.events(spark, sf_dir))).select("event_id", "duration_seconds", F.unix_timestamp("fire_at").alias("fire_at"))
 
 
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,12 +87,12 @@ def plan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events by the hundred as stereo recordings: their values, in the order of their ids, about the middle."""
+    """The events by the hundred as recordings, stereo if their number is even: their values, in the order of their ids."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     one = F.struct("event_id", audio.i16_from_float(F.col("value") / 500 - 0.5).alias("s"))
     chunks = e.groupBy(F.floor(F.col("event_id") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(one)).alias("x"))
-    whole = chunks.where(F.size("x") % 2 == 0)
-    return whole.select(F.concat(F.lit("rec-"), "chunk").alias("id"), F.transform("x", lambda x: x["s"]).alias("samples"), F.lit(RATE).alias("sample_rate_hz"), F.lit(2).alias("channels"))
+    channels = F.when(F.size("x") % 2 == 0, 2).otherwise(1).alias("channels")
+    return chunks.select(F.concat(F.lit("rec-"), "chunk").alias("id"), F.transform("x", lambda x: x["s"]).alias("samples"), F.lit(RATE).alias("sample_rate_hz"), channels)
 
 
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def recording_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mono_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of stereo recordings as means of their channels, cut to a slice."""
     r = _recordings(spark, sf_dir)
-    part = r.withColumn("part", audio.slice_frames(F.col("samples"), F.col("channels"), F.lit(1), F.floor(F.size("samples") / 2)))
+    part = r.withColumn("part", audio.slice_frames(F.col("samples"), F.col("channels"), F.lit(1), F.floor(F.size("samples") / F.col("channels"))))
     mixed = part.select("id", F.posexplode(audio.mono(F.col("part"), F.col("channels"))).alias("frame", "level"))
     return mixed.select("id", F.col("frame").cast("bigint").alias("frame"), F.round(F.col("level").cast("double"), 5).alias("level"))
 
@@ -209,7 +209,7 @@ _I16 = "CAST(round(greatest(least({0}, 1.0), -1.0) * 32767) AS INTEGER)"
 _SAMPLES = f"""samples AS (
   SELECT 'rec-' || (event_id // {CHUNK}) AS id, {_I16.format("(value / 500 - 0.5)")} AS s, row_number() OVER (PARTITION BY event_id // {CHUNK} ORDER BY event_id) - 1 AS k,
          count(*) OVER (PARTITION BY event_id // {CHUNK}) AS n FROM events),
-whole AS (SELECT * FROM samples WHERE n % 2 = 0)"""
+whole AS (SELECT *, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END AS channels FROM samples)"""
 
 ORACLES: dict[str, str] = {
     "event_log": oracles._with("""SELECT CAST(1 + event_id % 3 AS SMALLINT) AS schema_version, id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(window_ms AS BIGINT) END AS level_window_ms,
@@ -223,15 +223,15 @@ FROM (SELECT *, CASE WHEN seq = 1 AND right(id, 1) = '0' AND substr(right(id, 2)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY append DESC) = 1"""),
     "analytics_copy": oracles._with("SELECT CAST(1 + event_id % 3 AS SMALLINT) AS schema_version, count(*) AS n, count(transcript) AS transcripts FROM ev GROUP BY 1"),
     "plan_scan": oracles._with(f"SELECT '{adapter.CAMPAIGN}' AS campaign, row_number() OVER (ORDER BY phrase_id) - 1 AS place, 'p-' || phrase_id AS prompt_id, corrected AS transcript, bank_intent AS intent FROM bank WHERE bank_intent <> 'no_speech'"),
-    "wav_files": f"WITH {_SAMPLES} SELECT id, count(*) AS n_samples, CAST(sum(s) AS BIGINT) AS total, {RATE} AS sample_rate_hz, 2 AS channels FROM whole GROUP BY id",
+    "wav_files": f"WITH {_SAMPLES} SELECT id, count(*) AS n_samples, CAST(sum(s) AS BIGINT) AS total, {RATE} AS sample_rate_hz, max(channels) AS channels FROM whole GROUP BY id",
     "recording_levels": f"""WITH {_SAMPLES},
-mixed AS (SELECT id, k // 2 AS f, sum(s / 32768.0::DOUBLE) / 2 AS x FROM whole GROUP BY 1, 2),
+mixed AS (SELECT id, k // channels AS f, sum(s / 32768.0::DOUBLE) / max(channels) AS x FROM whole GROUP BY 1, 2),
 win AS (SELECT id, CAST(f // 10 AS BIGINT) AS window_idx, CAST(sqrt(sum(x * x) / 10) AS FLOAT) AS rms FROM mixed GROUP BY 1, 2 HAVING count(*) = 10),
 cells AS (SELECT *, CAST(round(20 * greatest(0.0, least(1.0, (round(CAST(CAST(20 * log10(greatest(CAST(rms AS DOUBLE), 1e-12)) AS FLOAT) AS DOUBLE)) + 60) / 60))) AS INTEGER) AS c FROM win)
 SELECT id, window_idx, round(CAST(rms AS DOUBLE), 4) AS rms, (window_idx + 1) * 10 AS end_frame, repeat('#', c) || repeat('-', 20 - c) AS meter FROM cells""",
-    "mono_recordings": f"WITH {_SAMPLES} SELECT id, k // 2 - 1 AS frame, round(CAST(CAST(sum(s / 32768.0::DOUBLE) / 2 AS FLOAT) AS DOUBLE), 5) AS level FROM whole WHERE k >= 2 GROUP BY id, k // 2",
+    "mono_recordings": f"WITH {_SAMPLES} SELECT id, k // channels - 1 AS frame, round(CAST(CAST(sum(s / 32768.0::DOUBLE) / max(channels) AS FLOAT) AS DOUBLE), 5) AS level FROM whole WHERE k >= channels GROUP BY id, k // channels",
     "pcm_samples": f"SELECT event_id, {_I16.format('(value / 200 - 1.2)')} AS from_float, CAST(floor(value * 133) AS INTEGER) % 65536 - 32768 AS from_u16 FROM events",
-    "stt_lengths": f"WITH {_SAMPLES} SELECT id, CAST(floor(count(*) // 2 * 16000 / {RATE}.0 + 0.5) AS BIGINT) AS n_samples FROM whole GROUP BY id",
+    "stt_lengths": f"WITH {_SAMPLES} SELECT id, CAST(floor(count(*) // max(channels) * 16000 / {RATE}.0 + 0.5) AS BIGINT) AS n_samples FROM whole GROUP BY id",
     "frame_counts": """SELECT event_id, CAST(round(rate * 0.02::DOUBLE) AS BIGINT) AS window_frames, CAST(ceil(floor(value) / 20) AS BIGINT) AS windows,
   greatest(0, event_id - CAST(round(rate * 0.3::DOUBLE) AS BIGINT)) AS start, strftime(ts, '%Y-%m-%dT%H-%M-%S-%gZ') AS stem, event_id % 12 >= 7 AS long_enough
 FROM (SELECT *, CAST(user_id * 331 % 48000 + 1 AS DOUBLE) AS rate FROM events)""",

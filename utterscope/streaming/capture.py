@@ -22,7 +22,7 @@ CAPTURES = "session string, finished_at bigint, began_at bigint, n_samples bigin
 
 class CaptureGate(SessionProcessor):
     HEAD = "last_place bigint, began_at bigint"
-    ITEM = "samples array<smallint>"
+    ITEM = "samples array<int>"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         head = self.head.get()

@@ -38,7 +38,7 @@ def _joined(chunks: pd.DataFrame, tail: np.ndarray, tail_frame: int, channels: i
 
 class LevelProcessor(SessionProcessor):
     HEAD = "last_chunk bigint, tail_frame bigint"
-    ITEM = "sample smallint"
+    ITEM = "sample int"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         head = self.head.get()
