@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import numpy as np
 import pytest
 import xxhash
@@ -438,6 +439,42 @@ def test_target_like_documents_score_lower(spark):
     assert max(r["score"] for r in rows if r["doc_id"] < 30) < min(r["score"] for r in rows if r["doc_id"] >= 30)
 
 
+@pytest.mark.parametrize("name, value", [("maxPartitionBytes", "2000"), ("minPartitionNum", "50"), ("openCostInBytes", "1"), ("maxPartitionNum", "1")])
+def test_files_planned_otherwise_give_the_same_scores(spark, name, value):
+    rng = random.Random(3)
+    docs = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    df, target = spark.createDataFrame(list(enumerate(docs)), DOCS).repartition(7), spark.createDataFrame([(docs[0],)], "text string")
+    scores = lambda made: sorted((r["doc_id"], r["score"]) for r in made.collect())
+    want = scores(lm_score.cross_entropy_difference(df, target, block_bytes=3000))
+    made = lm_score.cross_entropy_difference(df, target, block_bytes=3000)
+    spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        assert scores(made) == want == scores(lm_score.cross_entropy_difference(df, target, block_bytes=3000))
+    finally:
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_blocks_hold_runs_of_whole_texts():
+    texts = ["a" * 30, None, "", "b" * 200, "c" * 10, *["d" * 20] * 9]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["__k0", "text"])
+
+    class Here:
+        @staticmethod
+        def get():
+            return type("Task", (), {"partitionId": lambda self: 3})()
+
+    import pyspark
+
+    kept, pyspark.TaskContext = pyspark.TaskContext, Here
+    try:
+        found = list(lm_score._blocks(iter(made), 100))
+    finally:
+        pyspark.TaskContext = kept
+    assert [len(b) for b in found] == [1] * len(found) and len({b.column(0)[0].as_py() for b in found}) == len(found)
+    assert [r["text"] for b in found for r in b.column(1)[0].as_py()] == texts * 2
+    assert all(len(b.column(1)[0]) == 1 or sum(len(r["text"] or "") + 1 for r in b.column(1)[0].as_py()) <= 100 for b in found)
+
+
 def test_scores_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert lm_score.cross_entropy_difference(empty, empty).count() == 0
@@ -454,5 +491,5 @@ def test_query_equals_sql(spark, name):
     got, want = registry.queries()[name](spark, str(DATA)), duck.sql(registry.oracle_sql()[name])
     order = sorted(want.columns)
     assert sorted(got.columns) == order
-    rows = lambda names, found: sorted(tuple(dict(zip(names, r))[c] for c in order) for r in found)
+    rows = lambda names, found: sorted((tuple(dict(zip(names, r))[c] for c in order) for r in found), key=str)
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())

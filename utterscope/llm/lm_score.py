@@ -9,7 +9,9 @@ P(w | v) = (n(v w) + alpha * P(w)) / (n(v) + alpha), P(w) = (n(w) + 1) / (N + ou
 of both corpora, the end mark and an unknown word.
 
 The counts are sparse and grow with the input; none is broadcast or brought to the driver. Documents are dealt to blocks
-of about BLOCK_BYTES. A block's distinct words and bigrams go, as sorted hashes with their counts, to the parts of the hash
+of about BLOCK_BYTES and stored, a block a row, so that whoever reads them again, however files are split, has the same blocks.
+With the parts blocks grow (up to MOST_BLOCK_BYTES), so that a block has LEAST_ENTRIES or more for a part and rows grow as the
+text does. A block's distinct words and bigrams go, as sorted hashes with their counts, to the parts of the hash
 space; a part sums the counts of all blocks and answers each block with the counts of the hashes that it asked about, in
 the same order; a block then scores its own texts. So what is shuffled is a block's distinct bigrams, however hot one is,
 and a part holds about PART_ENTRIES of them whatever the input. Words and bigrams are told apart by 64-bit hashes.
@@ -36,6 +38,8 @@ from utterscope.llm.common import small_batches, table, written
 
 ALPHA = 20.0
 BLOCK_BYTES = 2 << 20
+MOST_BLOCK_BYTES = 32 << 20
+LEAST_ENTRIES = 64
 PART_ENTRIES = 1 << 21
 PART_BITS = 8
 ANSWER_ENTRIES = 1 << 19
@@ -99,40 +103,35 @@ def _entries(blocks: Iterator[tuple[int | None, list[str | None]]], bits: int) -
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
 
 
-def _with_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block: runs of about `limit` bytes of the last column, the text.
-
-    The numbers hang on the partition and the order of its rows alone, so every scan of the same files gives the same.
-    """
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """A row for each run of about `limit` bytes of the last column, the text: a number that no other has, and the rows."""
     from pyspark import TaskContext
 
     block, size = TaskContext.get().partitionId() << 32, 0
+    held: list[pa.Array] = []
+
+    def made() -> pa.RecordBatch:
+        rows = pa.concat_arrays(held)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(rows)], rows)], names=["block", "rows"])
+
     for batch in batches:
-        numbers = []
-        for length in pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist():
+        rows, first = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names), 0
+        for i, length in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
             length = (length or 0) + 1
             if size and size + length > limit:
-                block, size = block + 1, 0
+                if i > first:
+                    held.append(rows[first:i])
+                yield made()
+                block, size, held, first = block + 1, 0, [], i
             size += length
-            numbers.append(block)
-        if numbers:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "__block"])
-
-
-def _block_entries(batches: Iterator[pa.RecordBatch], bits: int, limit: int) -> Iterator[pa.RecordBatch]:
-    def blocks() -> Iterator[tuple[int, list[str | None]]]:
-        now, texts = None, []
-        for batch in _with_blocks(batches, limit):
-            for text, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if block != now and texts:
-                    yield now, texts
-                    texts = []
-                now = block
-                texts.append(text)
-        if texts:
-            yield now, texts
+        if first < len(rows):
+            held.append(rows[first:])
+    if held:
+        yield made()
 
-    return _entries(blocks(), bits)
+
+def _block_entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    return _entries(((number.as_py(), texts.values.to_pylist()) for batch in batches for number, texts in zip(*batch.columns)), bits)
 
 
 def _target_entries(batches: Iterator[pa.RecordBatch], bits: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -198,19 +197,25 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _answered(now, rows)
 
 
-def _scored(docs: pa.Table, answers: pa.Table, kept: Sequence[str], bits: int, outcomes: int, totals: tuple[int, int], alpha: float) -> pa.Table:
+def _scored(block: pa.Table, answers: pa.Table, kept: Sequence[str], outcomes: int, totals: tuple[int, int], alpha: float) -> pa.Table:
     """The scores of one block's texts."""
+    docs = pa.Table.from_struct_array(pa.concat_arrays([rows.values for rows in block["rows"]]))
     words, pairs, bounds = _keys(docs["text"].to_pylist())
     order = np.argsort(answers["part"].to_numpy(), kind="stable")
     parts = answers["part"].to_numpy()
     losses = {}
-    places = {kind: np.unique(keys, return_inverse=True)[1] for kind, keys in ((WORDS, words), (PAIRS, pairs))}
+    distinct, places = {}, {}
+    for kind, keys in ((WORDS, words), (PAIRS, pairs)):
+        own, places[kind] = np.unique(keys, return_inverse=True)
+        distinct[kind] = len(own)
     for side, total in zip(("background", "target"), totals):
         blobs = answers[side].to_pylist()
-        counts = {
-            kind: np.concatenate([_numbers(blobs[i], np.uint64) for i in order if parts[i] % 2 == kind]).astype(np.float64)[places[kind]]
-            for kind in (WORDS, PAIRS)
-        }
+        counts = {}
+        for kind in (WORDS, PAIRS):
+            answered = np.concatenate([_numbers(blobs[i], np.uint64) for i in order if parts[i] % 2 == kind])
+            if len(answered) != distinct[kind]:
+                raise RuntimeError(f"a block of {distinct[kind]} hashes was answered {len(answered)} counts")
+            counts[kind] = answered.astype(np.float64)[places[kind]]
         before = np.concatenate(([0.0], counts[WORDS][:-1]))
         first = bounds[:-1]
         before[first] = counts[WORDS][bounds[1:] - 1]  # the mark before a text is that after it
@@ -232,21 +237,23 @@ def cross_entropy_difference(
     small_batches(docs.sparkSession)
     names = [f"__k{i}" for i in range(len(keep))]
     plain = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col(f"`{text}`").alias("text"))
-    slim = written(plain, "texts")
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(part_bits, (size // 8 // PART_ENTRIES).bit_length())
+    limit = block_bytes if bits == part_bits else max(block_bytes, min((8 * LEAST_ENTRIES) << bits, MOST_BLOCK_BYTES))
+    rows = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(plain.schema))])
+    blocks = written(plain.mapInArrow(partial(_blocks, limit=limit), rows), "texts")
     entry = "part long, block long, keys binary, counts binary"
-    asked = slim.select("text").mapInArrow(partial(_block_entries, bits=bits, limit=block_bytes), entry)
-    given = target.select(F.col(f"`{target_text}`").alias("text")).mapInArrow(partial(_target_entries, bits=bits, limit=block_bytes), entry)
+    asked = blocks.select("block", F.col("rows.text").alias("texts")).mapInArrow(partial(_block_entries, bits=bits), entry)
+    given = target.select(F.col(f"`{target_text}`").alias("text")).mapInArrow(partial(_target_entries, bits=bits, limit=limit), entry)
     dealt = asked.unionAll(given).repartition(F.col("part")).sortWithinPartitions("part")
     answers = written(dealt.mapInArrow(_answers, _ANSWER), "answers")
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "background_tokens", "target_tokens")]
     words, *totals = answers.where("block is null").agg(*sums).first()
     fields = [*plain.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background"))]
-    blocks = slim.mapInArrow(partial(_with_blocks, limit=block_bytes), T.StructType([*plain.schema.fields, T.StructField("__block", T.LongType())]))
+    told = answers.where("block is not null").select("block", "part", "background", "target")
     scored = (
-        blocks.groupBy("__block").cogroup(answers.where("block is not null").select(F.col("block").alias("__block"), "part", "background", "target").groupBy("__block"))
-        .applyInArrow(partial(_scored, kept=names, bits=bits, outcomes=words + 2, totals=tuple(totals), alpha=alpha), T.StructType(fields))
+        blocks.groupBy("block").cogroup(told.groupBy("block"))
+        .applyInArrow(partial(_scored, kept=names, outcomes=words + 2, totals=tuple(totals), alpha=alpha), T.StructType(fields))
     )
     kept = [F.col(n).alias(k) for k, n in zip(keep, names)]
     return scored.select(*kept, "n_tokens", "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))
