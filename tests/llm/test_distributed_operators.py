@@ -454,22 +454,13 @@ def test_files_planned_otherwise_give_the_same_scores(spark, name, value):
         spark.conf.unset(f"spark.sql.files.{name}")
 
 
-def test_blocks_hold_runs_of_whole_texts():
+def test_blocks_hold_runs_of_whole_texts(monkeypatch):
     texts = ["a" * 30, None, "", "b" * 200, "c" * 10, *["d" * 20] * 9]
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["__k0", "text"])
 
-    class Here:
-        @staticmethod
-        def get():
-            return type("Task", (), {"partitionId": lambda self: 3})()
-
-    import pyspark
-
-    kept, pyspark.TaskContext = pyspark.TaskContext, Here
-    try:
-        found = list(lm_score._blocks(iter(made), 100))
-    finally:
-        pyspark.TaskContext = kept
+    task = type("Task", (), {"partitionId": lambda self: 3})
+    monkeypatch.setattr("pyspark.TaskContext", type("Context", (), {"get": staticmethod(task)}))
+    found = list(lm_score._blocks(iter((rows, rows.slice(0, 0), rows)), 100))
     assert [len(b) for b in found] == [1] * len(found) and len({b.column(0)[0].as_py() for b in found}) == len(found)
     assert [r["text"] for b in found for r in b.column(1)[0].as_py()] == texts * 2
     assert all(len(b.column(1)[0]) == 1 or sum(len(r["text"] or "") + 1 for r in b.column(1)[0].as_py()) <= 100 for b in found)
