@@ -66,11 +66,17 @@ def wav_piece_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wav_stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream of the files' frames, 17 of each recording a trigger (a window has 10)."""
+    """The same from a stream of the files' frames: three runs of a query, each of up to 43 frames of each recording (a window
+    has 10), that go on from one another; a file has fewer than 129 frames.
+    """
     path = _wavs(spark, sf_dir)
     if path is None:
         return spark.createDataFrame([], _NO_LEVELS)
-    return _rounded_levels(table_of(levels_stream(recordings.stream_pieces(spark, path, maxFrames=17, pieceWindows=1))))
+    sink = new_path(spark, "stream")
+    for _ in range(3):
+        found = levels_stream(recordings.stream_pieces(spark, path, maxFrames=43, pieceWindows=1, progress=f"{sink}/progress.json"))
+        append_stream(found, f"{sink}/table", f"{sink}/checkpoint").awaitTermination()
+    return _rounded_levels(spark.read.schema(found.schema).parquet(f"{sink}/table"))
 
 
 def wav_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

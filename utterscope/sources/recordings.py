@@ -3,8 +3,9 @@
 A Python data source that reads the header of a 16-bit PCM file (RIFF, and RF64 beyond 4 GB) and then only the byte range of a
 piece, so no task holds a recording. In a batch, files are split by bytes like other files, and a piece is read by the task in
 whose split it begins; pieces are whole windows long, so levels of pieces are the levels of the recording. In a stream, all
-recordings play side by side: an offset is a number of frames, and a trigger takes at most so many of each recording. With a
-`progress` file the bound holds for the first trigger after a restart, too.
+recordings play side by side: an offset is a number of frames, and a trigger takes at most so many of each recording. The
+engine doesn't tell a source where a restarted query stands; with a `progress` file, which the source writes as it plans a batch, the
+bound holds for the first trigger of a run, too (and a run that takes what is available takes one such step).
 
 Options: `path` (a folder or a file; a URI of a file system that driver and tasks reach, or a shared mount), `pieceWindows`
 (windows a piece), `windowSeconds`, `splitBytes` (batch), `maxFrames` (stream, a trigger) and `progress` (stream).
@@ -76,8 +77,12 @@ class Part(InputPartition):
     end: int
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> tuple[fs.FileSystem, list[tuple[str, int]]]:
-    system, base = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    system, base = _system(path)
     info = system.get_file_info(base)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
     return system, sorted((i.path, i.size) for i in found if i.type == fs.FileType.File and i.path.endswith(".wav"))
@@ -139,10 +144,11 @@ class PieceStream(DataSourceStreamReader, _Pieces):
 
     def _reached(self) -> int | None:
         if self.at is None and self.progress:
-            system, base = fs.FileSystem.from_uri(self.progress) if ":" in self.progress.split("/")[0] else (fs.LocalFileSystem(), self.progress)
-            if system.get_file_info(base).type == fs.FileType.File:
-                with system.open_input_stream(base) as f:
-                    return json.loads(f.read())["frame"]
+            system, base = _system(self.progress)
+            if system.get_file_info(base).type != fs.FileType.File:
+                return 0
+            with system.open_input_stream(base) as f:
+                return json.loads(f.read())["frame"]
         return self.at
 
     def latestOffset(self) -> dict:
@@ -152,6 +158,11 @@ class PieceStream(DataSourceStreamReader, _Pieces):
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         self.at = end["frame"]
+        if self.progress:  # the engine has noted the end by now: a restart plans the same batch again
+            system, base = _system(self.progress)
+            system.create_dir(base.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(base) as f:
+                f.write(json.dumps(end).encode())
         return [Part(p, start["frame"], end["frame"]) for p, size in _files(self.path)[1] if size // 2 > start["frame"]]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
@@ -162,13 +173,6 @@ class PieceStream(DataSourceStreamReader, _Pieces):
 
         return self.rows(part.path, ranges)
 
-    def commit(self, end: dict) -> None:
-        if self.progress:
-            system, base = fs.FileSystem.from_uri(self.progress) if ":" in self.progress.split("/")[0] else (fs.LocalFileSystem(), self.progress)
-            system.create_dir(base.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(base) as f:
-                f.write(json.dumps(end).encode())
-
 
 class WavPieces(DataSource):
     @classmethod

@@ -56,7 +56,8 @@ def detect_stream(levels: DataFrame, config: VadConfig | None = None, idle_ms: i
     """The batch detector's events from a stream of session (string), window_idx, dbfs and end_frame.
 
     A row whose boolean `session_ended`, if there is such a column, is true ends its session (its level may be null); so does
-    silence of `idle_ms` milliseconds of processing time. What comes later is a new session.
+    silence of `idle_ms` milliseconds of processing time. What comes later is a new session. With an idle time the engine looks
+    for what has expired in batches without rows, so such a query runs until it is stopped: it needs a processing-time trigger.
     """
     ended = F.coalesce(F.col(ENDED), F.lit(False)) if ENDED in levels.columns else F.lit(False)
     slim = level_columns(levels.withColumn("session", F.col("session").cast("string")).withColumn(ENDED, ended), "session", ENDED)
