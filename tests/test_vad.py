@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from utterscope.operators.vad import Detector, VadConfig, detect, segments
+from utterscope.operators.vad import Detector, VadConfig, detect, first_loud_run, followed, segments
 from utterscope.streaming.vad_stream import append_stream, detect_stream
 
 SMALL = dict(calibration_windows=3, speech_start_windows=2, speech_end_windows=2, max_wait_windows=4, max_speech_windows=5, start_margin_db=12, end_margin_db=6, minimum_start_level_dbfs=-100, minimum_end_level_dbfs=-110, noise_ema_alpha=0.0)
@@ -10,7 +10,8 @@ QUIET = [-51, -50, -49]
 
 def run(levels, **changes):
     """Events of levels; window i ends at frame i + 1."""
-    return list(Detector(VadConfig(**{**SMALL, **changes})).run((i, x, i + 1) for i, x in enumerate(levels)))
+    n = np.arange(len(levels))
+    return Detector(VadConfig(**{**SMALL, **changes})).feed(n, np.array(levels, np.float32), n + 1)
 
 
 def names(events):
@@ -57,10 +58,54 @@ def test_floor_stays_for_the_next_utterance():
 
 
 def test_floor_follows_quiet_levels():
-    d = Detector(VadConfig(**{**SMALL, "noise_ema_alpha": 0.5}))
-    for x in [*QUIET, -60, -240]:
-        d.observe(x)
-    assert d.floor == -55
+    assert followed(-50.0, np.array([-60, -240], np.float32), np.float32(0.5)) == -55
+    start, floor = first_loud_run(np.array([-60, -240, -30, -30], np.float32), -50.0, VadConfig(**{**SMALL, "noise_ema_alpha": 0.5}))
+    assert (start, floor) == (2, -55)
+
+
+def plain_events(levels, c):
+    """Every window on its own: what the windows of its phase and the noise floor say."""
+    floor, since, utterance, out = None, [], 0, []
+    for i, x in enumerate(np.array(levels, np.float32)):
+        since.append(x)
+        if floor is None:
+            if len(since) == c.calibration_windows:
+                heard = [v for v in since if v > -120]
+                floor, since = np.float32(np.median(heard) if heard else -90), []
+                out.append((utterance, "calibrated", i))
+                speaking = 0
+            continue
+        if not speaking:
+            loud = x >= c.start_limit(floor)
+            if not loud and x > -120:
+                alpha = np.float32(c.noise_ema_alpha)
+                floor = (np.float32(1) - alpha) * floor + alpha * x
+            run = run + 1 if loud and len(since) > 1 else int(loud)
+            if run == c.speech_start_windows:
+                speaking, since = 1, []
+                out.append((utterance, "speech_started", i))
+            elif len(since) == c.max_wait_windows:
+                out.append((utterance, "timed_out", i))
+                utterance, since = utterance + 1, []
+            continue
+        quiet = [v < c.end_limit(floor) for v in since[-c.speech_end_windows :]]
+        if len(quiet) == c.speech_end_windows and all(quiet) or len(since) == c.max_speech_windows:
+            out.append((utterance, "speech_ended", i))
+            utterance, since, speaking = utterance + 1, [], 0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_any_split_gives_the_events_of_single_windows(seed):
+    rng = np.random.default_rng(seed)
+    c = VadConfig(*(int(rng.integers(1, k)) for k in (8, 4, 6, 60, 40)), 12, 6, float(rng.choice([-35, -50, -100])), -110, float(rng.random() * 0.3))
+    n = 800
+    levels = (np.where(np.repeat(rng.random(n) < 0.4, 3)[:n], -30, -55) + rng.normal(0, 8, n)).astype(np.float32)
+    levels[rng.random(n) < 0.05] = -240
+    cuts, d, got = sorted(rng.integers(0, n + 1, 12).tolist()), Detector(c), []
+    for a, b in zip([0, *cuts], [*cuts, n]):
+        got += d.feed(np.arange(a, b), levels[a:b], np.arange(a, b))
+    assert [(e["utterance"], e["event"], e["window_idx"]) for e in got] == plain_events(levels, c) and len(d.levels) <= 100
 
 
 @pytest.mark.parametrize("bad", [{"calibration_windows": 0}, {"noise_ema_alpha": 2}, {"start_margin_db": 6}, {"minimum_start_level_dbfs": -110}])
@@ -82,7 +127,7 @@ def test_batch_and_stream_agree_with_the_fold(spark, tmp_path):
     batch = sorted((key(r) for r in detect(df, "session", config).collect()), key=str)
     want = []
     for s in {r[0] for r in rows}:
-        for e in Detector(config).run((i, x, f) for k, i, x, f in rows if k == s):
+        for e in Detector(config).feed(*(np.array(c) for c in zip(*(r[1:] for r in rows if r[0] == s)))):
             want.append((s, e["window_idx"], e["event"], e["at_frame"], e.get("end_reason"), None if e.get("mean_speech_dbfs") is None else float(np.float32(e["mean_speech_dbfs"]))))
     assert batch == sorted(want, key=str) and len(batch) > 50
 
