@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, gcd
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -69,18 +71,83 @@ def meter(level: Column, cells: int = 20, low: float = -60.0) -> Column:
     return F.concat(F.repeat(F.lit("#"), filled), F.repeat(F.lit("-"), F.lit(cells) - filled))
 
 
-def resampled(samples: np.ndarray, source: int, target: int = STT_RATE) -> np.ndarray:
-    """Band-limited resampling by the Fourier transform; round(n * target / source) samples."""
-    if source <= 0 or target <= 0:
-        raise ValueError("sample rate must be positive")
+#: Of the resampling filter, in shares of the lower of both band limits: what is below PASS is kept, what is above it falls
+#: until the limit, beyond which it is at least 70 dB down.
+PASS = 0.92
+#: Taps (at the higher rate, each side) of a filter that falls within 1 - PASS, by a Blackman window's width of 5.5 / taps.
+SIDE = 70
+#: Output samples that are made at once.
+STEP = 4096
+
+
+class Resampler:
+    """Band-limited resampling of a signal that comes in blocks; what is held is the filter's width, and any blocks give the same.
+
+    An output sample is the sum of the input samples about its place, weighted by a windowed sinc; the weights of a place add up
+    to one. Before and after the signal is silence.
+    """
+
+    def __init__(self, source: int, target: int) -> None:
+        if source <= 0 or target <= 0:
+            raise ValueError("sample rate must be positive")
+        common = gcd(source, target)
+        self.up, self.down = target // common, source // common
+        self.ratio = min(1.0, target / source)
+        self.half = ceil(SIDE / self.ratio)
+        self.held, self.first = np.zeros(self.half - 1), 1 - self.half
+        self.taken = self.made = 0
+        self.table = self._weights(np.arange(self.up)) if self.up <= STEP else None
+
+    def _weights(self, phases: np.ndarray) -> np.ndarray:
+        """For places of phase / up behind a sample: the weights of half - 1 samples before it, itself and half after it."""
+        x = phases[:, None] / self.up + (self.half - 1 - np.arange(2 * self.half))
+        along = np.pi * x / self.half
+        window = np.where(np.abs(x) < self.half, 0.42 + 0.5 * np.cos(along) + 0.08 * np.cos(2 * along), 0.0)
+        w = window * np.sinc(x * self.ratio * (1 + PASS) / 2)
+        return w / w.sum(axis=1, keepdims=True)
+
+    def _upto(self, end: int) -> np.ndarray:
+        out = [np.zeros(0)]
+        while self.made < end:
+            n = np.arange(self.made, min(end, self.made + STEP))
+            at, phase = np.divmod(n * self.down, self.up)
+            weights = self._weights(phase) if self.table is None else self.table[phase]
+            windows = np.lib.stride_tricks.sliding_window_view(self.held, 2 * self.half)[at - self.half + 1 - self.first]
+            out.append((windows * weights).sum(axis=1))
+            self.made = int(n[-1]) + 1
+        keep = self.made * self.down // self.up - self.half + 1
+        if keep > self.first:
+            self.held, self.first = self.held[keep - self.first :], keep
+        return np.concatenate(out)
+
+    def feed(self, samples: np.ndarray) -> np.ndarray:
+        """The output samples that can be made with another block of input."""
+        self.held = np.concatenate([self.held, np.asarray(samples, np.float64)])
+        self.taken += len(samples)
+        return self._upto(max(0, -(-(self.taken - self.half) * self.up // self.down)))
+
+    def end(self) -> np.ndarray:
+        """The rest: round(n * target / source) samples in all, one at least."""
+        if not self.taken:
+            return np.zeros(0)
+        total = max(1, (2 * self.taken * self.up + self.down) // (2 * self.down))
+        self.held = np.concatenate([self.held, np.zeros(2 * self.half)])
+        return self._upto(total)
+
+
+def resampled(samples: np.ndarray, source: int, target: int = STT_RATE, block: int = 1 << 16, kind: type = np.float32) -> np.ndarray:
+    """Band-limited resampling; round(n * target / source) samples."""
+    resampler = Resampler(source, target)
     if source == target or not len(samples):
-        return samples.astype(np.float32)
-    n = max(1, int(len(samples) * target / source + 0.5))
-    spectrum = np.fft.rfft(samples)
-    kept = np.zeros(n // 2 + 1, complex)
-    both = min(len(spectrum), len(kept))
-    kept[:both] = spectrum[:both]
-    return (np.fft.irfft(kept, n) * (n / len(samples))).astype(np.float32)
+        return np.asarray(samples).astype(kind)
+    blocks = [resampler.feed(samples[k : k + block]).astype(kind) for k in range(0, len(samples), block)]
+    return np.concatenate([*blocks, resampler.end().astype(kind)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def resample_to(samples: pd.Series, rate: pd.Series, target: pd.Series) -> pd.Series:
+    """Mono samples at another rate."""
+    return pd.Series([None if s is None else resampled(np.asarray(s, np.float64), int(r), int(t), kind=np.float64) for s, r, t in zip(samples, rate, target)])
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

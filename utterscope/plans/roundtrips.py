@@ -134,6 +134,17 @@ def stt_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recordings(spark, sf_dir).select("id", F.size(prepared).cast("bigint").alias("n_samples"))
 
 
+#: Rates to which recordings of RATE are resampled, up and down.
+RATES = (800, 300)
+
+
+def resampled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of recordings at a higher and a lower rate."""
+    mixed = _recordings(spark, sf_dir).select("id", audio.mono(F.col("samples"), F.col("channels")).cast("array<double>").alias("x"), F.explode(F.array(*map(F.lit, RATES))).alias("rate"))
+    made = mixed.select("id", "rate", F.posexplode(audio.resample_to("x", F.lit(RATE), "rate")).alias("n", "y"))
+    return made.select("id", "rate", F.col("n").cast("bigint").alias("n"), F.round("y", 4).alias("y"))
+
+
 def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of durations, windows of milliseconds, starts with their pre-roll and file stems."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -202,7 +213,7 @@ def nan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_log": event_log, "event_lines": event_lines, "label_log": label_log, "analytics_copy": analytics_copy, "plan_scan": plan_scan, "wav_files": wav_files,
     "recording_levels": recording_levels, "mono_recordings": mono_recordings, "pcm_samples": pcm_samples, "stt_lengths": stt_lengths, "frame_counts": frame_counts,
-    "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "nan_distribution": nan_distribution,
+    "resampled_values": resampled_values, "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "nan_distribution": nan_distribution,
 }
 
 _I16 = "CAST(round(greatest(least({0}, 1.0), -1.0) * 32767) AS INTEGER)"
@@ -232,6 +243,25 @@ SELECT id, window_idx, round(CAST(rms AS DOUBLE), 4) AS rms, (window_idx + 1) *
     "mono_recordings": f"WITH {_SAMPLES} SELECT id, k // channels - 1 AS frame, round(CAST(CAST(sum(s / 32768.0::DOUBLE) / max(channels) AS FLOAT) AS DOUBLE), 5) AS level FROM whole WHERE k >= channels GROUP BY id, k // channels",
     "pcm_samples": f"SELECT event_id, {_I16.format('(value / 200 - 1.2)')} AS from_float, CAST(floor(value * 133) AS INTEGER) % 65536 - 32768 AS from_u16 FROM events",
     "stt_lengths": f"WITH {_SAMPLES} SELECT id, CAST(floor(count(*) // max(channels) * 16000 / {RATE}.0 + 0.5) AS BIGINT) AS n_samples FROM whole GROUP BY id",
+    "resampled_values": f"""WITH {_SAMPLES},
+mixed AS (SELECT id, k // channels AS k, sum(s / 32768.0::DOUBLE) / max(channels) AS x FROM whole GROUP BY id, k // channels),
+size AS (SELECT id, count(*) AS len FROM mixed GROUP BY id),
+rates AS (SELECT rate, CAST(ceil({audio.SIDE} / least(1.0, rate / {RATE}.0)) AS BIGINT) AS half, least(1.0::DOUBLE, rate / {RATE}.0::DOUBLE) * {(1 + audio.PASS) / 2} AS band FROM (VALUES ({RATES[0]}), ({RATES[1]})) t(rate)),
+places AS (
+  SELECT id, rate, half, band, n, n * {RATE}.0::DOUBLE / rate AS place
+  FROM (SELECT *, unnest(range(CAST(floor(len * rate / {RATE}.0 + 0.5) AS BIGINT))) AS n FROM size CROSS JOIN rates)),
+phases AS (SELECT DISTINCT rate, half, band, n * {RATE} % rate AS phase FROM places),
+shapes AS (SELECT rate, half, phase, band, phase / rate::DOUBLE + unnest(range(-half, half + 1)) AS d FROM phases),
+weights AS (
+  SELECT rate, phase, d, (0.42 + 0.5 * cos(pi() * d / half) + 0.08 * cos(2 * pi() * d / half))
+    * CASE WHEN abs(d) >= half THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d * band) / (pi() * d * band) END AS w FROM shapes),
+whole_weights AS (SELECT rate, phase, sum(w) AS w FROM weights GROUP BY ALL),
+shaped AS (
+  SELECT p.id, p.rate, n, n * {RATE} % p.rate AS phase, x, place - k AS d, half, band
+  FROM places p JOIN mixed m ON m.id = p.id AND abs(place - k) < half)
+SELECT id, rate, n, round(sum(x * (0.42 + 0.5 * cos(pi() * d / half) + 0.08 * cos(2 * pi() * d / half))
+  * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d * band) / (pi() * d * band) END) / max(w), 4) AS y
+FROM shaped JOIN whole_weights USING (rate, phase) GROUP BY id, rate, n""",
     "frame_counts": """SELECT event_id, CAST(round(rate * 0.02::DOUBLE) AS BIGINT) AS window_frames, CAST(ceil(floor(value) / 20) AS BIGINT) AS windows,
   greatest(0, event_id - CAST(round(rate * 0.3::DOUBLE) AS BIGINT)) AS start, strftime(ts, '%Y-%m-%dT%H-%M-%S-%gZ') AS stem, event_id % 12 >= 7 AS long_enough
 FROM (SELECT *, CAST(user_id * 331 % 48000 + 1 AS DOUBLE) AS rate FROM events)""",
