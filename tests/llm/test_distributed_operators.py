@@ -439,6 +439,13 @@ def test_target_like_documents_score_lower(spark):
     assert max(r["score"] for r in rows if r["doc_id"] < 30) < min(r["score"] for r in rows if r["doc_id"] >= 30)
 
 
+@pytest.mark.parametrize("x", [1e300, -1e300, 2.0**17, 1e9])
+def test_components_that_scores_can_t_hold_are_an_error(spark, x):
+    df = spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="components must be within"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+
+
 @pytest.mark.parametrize("name, value", [("maxPartitionBytes", "2000"), ("minPartitionNum", "50"), ("openCostInBytes", "1"), ("maxPartitionNum", "1")])
 def test_files_planned_otherwise_give_the_same_scores(spark, name, value):
     rng = random.Random(3)

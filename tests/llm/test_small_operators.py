@@ -26,6 +26,38 @@ def docs(spark, texts, **more):
 # --- token counts
 
 
+LONG_LINE = "This is a sentence of the article, long enough to make a surge of its line by itself. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><h1>T</h1><p>Para A.</p><p>Para B.</p><p>Para C.</p><p>Para D.</p><p>{LONG_LINE}</p><p>End.</p></body>", f"T Para A. Para B. Para C. Para D. {LONG_LINE}End."),
+        (f"<body><h1>T</h1><ul class=menu><li>a</li></ul><div><p>A.</p><p>{LONG_LINE}</p></div><div>other</div></body>", f"T A. {LONG_LINE}"),
+        (f"<body><div><div><h1>T</h1></div><p><a href=x>a link to more</a></p><div><p>{LONG_LINE}</p><p>B</p></div></div><div><p>foot</p></div></body>", f"T {LONG_LINE}B"),
+        (f"<main></main><div><p>{LONG_LINE}</p></div>", LONG_LINE), (f"<article> <nav>a</nav> </article><p>{LONG_LINE}</p>", LONG_LINE),
+        ("<article><p>a<select><option>o1<option>o2</select>b</p></article>", "ab"), ("<article><p>a<object><p>x</p></object>b</p></article>", "ab"),
+        ("<article><p>a</p><label for=x>Name</label><input id=x><p>b</p></article>", "a b"),
+    ],
+)
+def test_pages_of_other_shapes(page, want):
+    assert H.main_text(page) == " ".join(want.split())
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["reader-comments", "user-comments", "commentList", "comments-thread", "discussion", "google-ads", "sponsored-content", "advertBox", "topAdvert", "page-footer", "privacy-notice", "cookiebanner", "sidebar-content", "promo-text", "adverts", "COMMENTS"],
+)
+def test_names_of_boilerplate(name):
+    for page in ("<article><p>a</p><div {}>no</div><p>b</p></article>", "<article><p>a</p><p>b</p></article><div {}><p>" + LONG_LINE + "</p></div>"):
+        assert H.main_text(page.format(f'class="{name}"')) == "a b" == H.main_text(page.format(f'id="{name}"'))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "layout-sidebar", "no-comments", "page-header", "entry-header", "commentary", "address", "loads", "non-promo"])
+def test_names_that_are_not(name):
+    assert H.main_text(f'<article><div class="{name}"><p>a</p></div><p>b</p></article>') == "a b"
+
+
 def test_tokens_equal_the_library(spark):
     rng = random.Random(1)
     parts = ["a", "B", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", chr(0x2003), chr(0x3000), "'s", "é", "1", "!", "<|endoftext|>", "<|endo", "x" * 70, "漢", "😀", "\x00"]

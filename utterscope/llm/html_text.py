@@ -5,7 +5,9 @@ menu, header, footer, sidebar, notice, advert, form or reader comments, outside
 or, on pages that mark none, where links make up most of it. Lengths are summed over a sliding window of lines; a surge
 point is where the sum comes up to the threshold, a dive point where it falls below it. The lines of non-zero length
 between a surge and its dive are the text. On pages that mark an article, any length is a surge, as nothing of it is to be
-dropped; on others a window needs `surge` characters, and if none has them the highest window counts.
+dropped (where the marked article has no text, it counts as not marked); on others a window needs `surge` characters, and if none
+has them the highest window counts. There the text then grows: lines of the same kind of block (headings go with any) under
+the same parent as a line of the text belong to it, however short they are, and so do the headings right before it.
 
 Markup is read as the HTML standard has it: tags, attributes, comments, raw text and the end tags that may be left out. What
 is hidden inside a line is left out of it. Names of classes, ids and roles never hide html, body or what holds the first
@@ -36,7 +38,7 @@ LINK_SHARE = 0.5
 #: Element names. Fixed values of the HTML standard.
 RAW = frozenset("script style title textarea iframe noscript noembed noframes".split())
 BOILERPLATE = frozenset(
-    "nav header footer aside form dialog menu button fieldset datalist select template svg math object canvas audio video".split()
+    "nav header footer aside form dialog menu button fieldset label datalist select template svg math object canvas audio video".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -50,6 +52,8 @@ CLOSES = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "td": _CELLS, "th": _CELLS, "tr": (*_CELLS, "tr"),
     **dict.fromkeys(("tbody", "thead", "tfoot"), (*_CELLS, "tr", "tbody", "thead", "tfoot")), **dict.fromkeys(_HEADS, _HEADS),
 }
+#: Elements out of which a start tag closes nothing.
+BORDERS = frozenset(("select", "object", "template", "svg", "math"))
 ARTICLE = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
@@ -59,12 +63,18 @@ MARKS = frozenset(
     "comments disqus replies complementary contentinfo search pagination pager widget".split()
 )
 #: Those that mark it even if it holds an article: other texts, and what readers wrote.
-OTHERS = frozenset("related recommended comment comments disqus replies complementary".split())
+OTHERS = frozenset("related recommended comment comments disqus discussion replies complementary".split())
 #: Words that may stand beside those in a hyphenated name of the same meaning.
 BESIDE = frozenset(
     "site global top bottom left right primary secondary main mobile desktop container wrapper wrap box bar list links "
     "block area section slot unit buttons button form posts articles item items x".split()
 )
+#: Words that mark it wherever they stand in a name, also as the beginning of a part; but not after those of NEGATES.
+STRONG = frozenset("comment comments advert adverts ads cookie cookies sidebar sponsored promo disqus newsletter gdpr discussion".split())
+BEGINS = ("cookie", "advert", "sidebar", "disqus", "newsletter")
+NEGATES = frozenset("has with without no non layout".split())
+#: Words that make a name of a part of the page of "header", "footer" or "notice".
+OF_PAGE = frozenset("page site privacy legal global".split())
 
 _SPACE = "\t\n\f\r "
 _NAME = re.compile(rf"[a-zA-Z][^{_SPACE}/>]*")
@@ -75,6 +85,7 @@ _BARE = re.compile(rf"[^{_SPACE}>]*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[{_SPACE}/>])", re.I) for name in RAW}
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PARTS = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
@@ -151,11 +162,17 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 def _marks(token: str) -> set[str]:
-    """The words of MARKS in a name that is made of those and words beside them."""
-    if token in MARKS:
-        return {token}
-    parts = {p for p in _PARTS.split(token) if p}
-    return parts & MARKS if parts <= MARKS | BESIDE else set()
+    """The words of MARKS and STRONG that make a name one of what is not the article."""
+    parts = [p for p in _PARTS.split(_CAMEL.sub(r"\1-\2", token).lower()) if p]
+    whole = "".join(parts)
+    if whole in MARKS or (len(parts) == 1 and whole in STRONG):
+        return {whole}
+    if NEGATES.isdisjoint(parts):
+        strong = {"advert" if p.startswith("advert") else p for p in parts if p in STRONG or p.startswith(BEGINS)}
+        if strong:
+            return strong
+    found = set(parts) & MARKS
+    return found if set(parts) <= MARKS | BESIDE | (OF_PAGE if found & {"header", "footer", "notice"} else set()) else set()
 
 
 def _hides(name: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
@@ -170,8 +187,10 @@ def _hides(name: str, attributes: dict[str, str], inside_article: bool) -> tuple
         return False, False
     found = set()
     for key in ("class", "id", "role"):
-        for token in unescape(attributes.get(key, "")).lower().split():
+        for token in unescape(attributes.get(key, "")).split():
             found |= _marks(token)
+    if inside_article:
+        found.discard("header")
     if name in ARTICLE and not found & OTHERS:
         return False, False
     return bool(found), not found & OTHERS
@@ -180,10 +199,10 @@ def _hides(name: str, attributes: dict[str, str], inside_article: bool) -> tuple
 class _Open:
     """An open element: whether it hides what it holds, whether that is undone by an article in it, whether it is one."""
 
-    __slots__ = ("name", "hides", "undone", "article", "block")
+    __slots__ = ("name", "hides", "undone", "article", "block", "number")
 
-    def __init__(self, name: str, hides: bool, undone: bool, article: bool, block: bool):
-        self.name, self.hides, self.undone, self.article, self.block = name, hides, undone, article, block
+    def __init__(self, name: str, hides: bool, undone: bool, article: bool, block: bool, number: int):
+        self.name, self.hides, self.undone, self.article, self.block, self.number = name, hides, undone, article, block, number
 
 
 class _Lines:
@@ -198,6 +217,9 @@ class _Lines:
         self.texts: list[str] = []
         self.good: list[tuple[bool, bool]] = []  # not hidden, in the article
         self.linked: list[int] = []
+        self.kinds: list[tuple[int, str]] = []  # of a line's block: its parent's number, its name
+        self.borders: list[int] = []  # places of the open elements of BORDERS
+        self.count = 0
         self.parts: list[str] = []
         self.hidden_lines, self.concealed = 0, False
         self.link_chars = 0
@@ -218,8 +240,11 @@ class _Lines:
             self.concealed = False
             return
         text = " ".join("".join(self.parts).split()) if self.parts else ""
+        own = self.stack[self.blocks[-1]].name if self.blocks else ""
+        parent = self.stack[self.blocks[-2]].number if len(self.blocks) > 1 else 0
         for line in ([text] if text else []) + [""] * (self.hidden_lines + self.concealed):
             self.texts.append(line)
+            self.kinds.append((parent, own))
             self.good.append((bool(line), self.depth > 0))
             self.linked.append(self.link_chars)
         self.parts.clear()
@@ -230,6 +255,8 @@ class _Lines:
         self.places[last.name].pop()
         if last.block:
             self.blocks.pop()
+        if self.borders and self.borders[-1] == len(self.stack):
+            self.borders.pop()
         self.hidden -= last.hides
         self.undone -= last.hides and last.undone
         self.depth -= last.article
@@ -264,6 +291,8 @@ class _Lines:
             self.end_line()
             closes = CLOSES.get(name, ())
             while self.blocks and name != "br" and self.stack[self.blocks[-1]].name in ("p", *closes):
+                if self.borders and self.borders[-1] > self.blocks[-1]:
+                    break
                 self.pop_to(self.blocks[-1])
             self.end_line()
         elif name == "a" and self.places.get("a"):
@@ -281,15 +310,18 @@ class _Lines:
         self.places.setdefault(name, []).append(len(self.stack))
         if block:
             self.blocks.append(len(self.stack))
-        self.stack.append(_Open(name, hides, undone, article, block))
+        if name in BORDERS:
+            self.borders.append(len(self.stack))
+        self.count += 1
+        self.stack.append(_Open(name, hides, undone, article, block, self.count))
         self.hidden += hides
         self.undone += hides and undone
         self.depth += article
         self.found |= article and not self.hidden
 
 
-def lines(html: str) -> tuple[list[str], list[float], bool]:
-    """Text and length of each line, and whether the page marks its article."""
+def lines(html: str) -> tuple[list[str], list[float], bool, list[tuple[int, str]]]:
+    """Text and length of each line, whether the page marks its article, and the kind of each line's block."""
     page = _Lines()
     for kind, value, attributes in tokens(html):
         if kind == "text":
@@ -300,13 +332,14 @@ def lines(html: str) -> tuple[list[str], list[float], bool]:
             page.close(value)
     page.hidden = 0  # what is left open hides nothing that came before
     page.end_line()
+    found = page.found and any(shown and inside for shown, inside in page.good)
     lengths = []
     for text, (shown, inside), link in zip(page.texts, page.good, page.linked):
-        if not shown or (page.found and not inside) or (not page.found and link > LINK_SHARE * len(text)):
+        if not shown or (found and not inside) or (not found and link > LINK_SHARE * len(text)):
             lengths.append(0.0)
         else:
             lengths.append(float(len(text)))
-    return page.texts, lengths, page.found
+    return page.texts, lengths, found, page.kinds
 
 
 def between_surge_and_dive(lengths: Sequence[float], threshold: float, window: int = WINDOW) -> np.ndarray:
@@ -325,11 +358,43 @@ def between_surge_and_dive(lengths: Sequence[float], threshold: float, window: i
     return np.cumsum(inside)[:n] > 0
 
 
+def grown(keep: np.ndarray, lengths: Sequence[float], kinds: Sequence[tuple[int, str]], enough: float) -> np.ndarray:
+    """The text of a page that marks no article, with what belongs to it.
+
+    Lines of `enough` characters between a surge and its dive are its core. What a window adds before the first and behind the
+    last of them belongs to it only if it is of their kinds.
+    """
+    size = np.asarray(lengths)
+    has = size > 0
+    inside = keep & has
+    if not inside.any():
+        return keep
+    core = inside & (size >= min(enough, size[inside].max()))
+    names = {kind for kind, c in zip(kinds, core) if c}
+    parents = {parent for parent, _ in names}
+    alike = np.array([(p, n) in names or (p in parents and n in _HEADS) for p, n in kinds], bool)
+    region = np.cumsum(np.diff(keep.astype(np.int8), prepend=0) == 1)
+    first, last = np.full(region[-1] + 1, len(size)), np.zeros(region[-1] + 1, int)
+    at = np.flatnonzero(core)
+    np.minimum.at(first, region[at], at)
+    np.maximum.at(last, region[at], at)
+    place = np.arange(len(size))
+    between = inside & (place >= first[region]) & (place <= last[region])
+    more = alike & has
+    for i in range(int(np.flatnonzero(between)[0]) - 1, -1, -1):
+        if has[i] and not more[i] and kinds[i][1] not in _HEADS:
+            break
+        more[i] |= has[i]
+    return between | more
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     if not html:
         return ""
-    texts, lengths, found = lines(html)
+    texts, lengths, found, kinds = lines(html)
     keep = between_surge_and_dive(lengths, 1 if found else surge, window)
+    if not found:
+        keep = grown(keep, lengths, kinds, surge / window)
     return " ".join(t for t, n, k in zip(texts, lengths, keep) if k and n)
 
 

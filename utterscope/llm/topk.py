@@ -14,7 +14,7 @@ Defined results: vectors that are null, empty or hold null or non-finite compone
 vectors of different lengths do not meet; a query's own rows (all rows of its id) are no candidates; each row of a repeated
 query id is a query of its own, with k rows of its own; rows that repeat an id are candidates each, in the order of score
 and id; fewer candidates than k are all returned; an empty table gives an empty result; further columns are not read.
-Components must be below 2**27 times their unit, so that scores fit a long.
+Components of LARGEST units or more, with which scores might not fit a long, are an error.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ SCALE = 1024
 TOP = 10
 EVERY = 100
 BITS = 8
+LARGEST = 1 << 27
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
 QUERY_STEP = 64
@@ -161,11 +162,12 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     """query_id, rank (from 1), vec_id and score of the k rows of highest integer inner product with each query row."""
     whole = F.col("v").isNotNull() & (F.size("v") > 0)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    too_large = F.raise_error(F.lit(f"components must be within {LARGEST} units")).cast("long")
     slim = cut(
         vectors.where(F.col(key).isNotNull())
         .select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
         .where(whole).where(finite)
-        .withColumn("v", F.transform("v", lambda x: F.floor(x * scale)))
+        .withColumn("v", F.transform("v", lambda x: F.when(F.abs(x * scale) < LARGEST, F.floor(x * scale)).otherwise(too_large)))
         .withColumn("d", F.size("v"))
         .withColumn("n", F.monotonically_increasing_id())
     )
