@@ -77,15 +77,32 @@ def analytics_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection plan written as JSON, checked and read back in the order of its prompts."""
+    """A collection plan of the phrases that were heard, written as JSON, checked and read back in the order of its prompts."""
     path = new_path(spark, "plan")
     prompt = F.struct(F.col("place"), F.col("prompt_id").alias("id"), "transcript", "intent")
-    one = adapter.plan(spark).agg(F.array_sort(F.collect_list(prompt)).alias("prompts"))
+    heard = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.get_json_object("props", "$.k").cast("int") % 24).alias("place"))
+    one = adapter.plan(spark).join(heard, "place", "left_semi").agg(F.array_sort(F.collect_list(prompt)).alias("prompts"))
     kept = F.transform("prompts", lambda p: F.struct(p["id"].alias("id"), p["transcript"].alias("transcript"), p["intent"].alias("intent")))
     one.select(F.lit(1).alias("schema_version"), F.lit(adapter.CAMPAIGN).alias("campaign"), kept.alias("prompts")).coalesce(1).write.json(path)
     return jsonl.read_plan(spark, path).select("campaign", F.col("place").cast("bigint").alias("place"), "prompt_id", "transcript", "intent")
 
 
+def plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of the users' events, of which most break a rule: the first that each breaks."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.col("user_id") % 7
+    bad = (kind == 3) & (F.col("event_id") % 5 == 0)
+    key = F.when(kind == 5, F.col("event_id") % 50).otherwise(F.col("event_id")).cast("string")
+    intent = F.when((kind == 4) & (F.col("event_type") == "error"), "no_speech").otherwise("unknown")
+    transcript = F.when(bad & (F.col("event_id") % 2 == 0), " ").when(bad, None).otherwise("a phrase")
+    prompt = F.struct("event_id", key.alias("id"), transcript.alias("transcript"), intent.alias("intent"))
+    plans = e.groupBy("user_id").agg(F.array_sort(F.collect_list(prompt)).alias("prompts")).select(
+        "user_id", F.when(kind == 0, 2).otherwise(1).alias("schema_version"), F.when(kind == 1, " \t").otherwise("a campaign").alias("campaign"),
+        F.when(kind != 2, F.col("prompts")).alias("prompts"),
+    )
+    return jsonl.plan_problems(plans).select("user_id", F.coalesce(F.size("prompts"), F.lit(0)).cast("bigint").alias("n"), "problem")
+
+
 def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events by the hundred as recordings, stereo if their number is even: their values, in the order of their ids."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -211,7 +228,7 @@ def nan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "event_log": event_log, "event_lines": event_lines, "label_log": label_log, "analytics_copy": analytics_copy, "plan_scan": plan_scan, "wav_files": wav_files,
+    "event_log": event_log, "event_lines": event_lines, "label_log": label_log, "analytics_copy": analytics_copy, "plan_scan": plan_scan, "plan_rules": plan_rules, "wav_files": wav_files,
     "recording_levels": recording_levels, "mono_recordings": mono_recordings, "pcm_samples": pcm_samples, "stt_lengths": stt_lengths, "frame_counts": frame_counts,
     "resampled_values": resampled_values, "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "nan_distribution": nan_distribution,
 }
@@ -233,7 +250,19 @@ ORACLES: dict[str, str] = {
 FROM (SELECT *, CASE WHEN seq = 1 AND right(id, 1) = '0' AND substr(right(id, 2), 1, 1) < '5' THEN 3 ELSE seq END AS append FROM log)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY append DESC) = 1"""),
     "analytics_copy": oracles._with("SELECT CAST(1 + event_id % 3 AS SMALLINT) AS schema_version, count(*) AS n, count(transcript) AS transcripts FROM ev GROUP BY 1"),
-    "plan_scan": oracles._with(f"SELECT '{adapter.CAMPAIGN}' AS campaign, row_number() OVER (ORDER BY phrase_id) - 1 AS place, 'p-' || phrase_id AS prompt_id, corrected AS transcript, bank_intent AS intent FROM bank WHERE bank_intent <> 'no_speech'"),
+    "plan_scan": oracles._with(f"SELECT '{adapter.CAMPAIGN}' AS campaign, row_number() OVER (ORDER BY phrase_id) - 1 AS place, 'p-' || phrase_id AS prompt_id, corrected AS transcript, bank_intent AS intent FROM bank WHERE bank_intent <> 'no_speech' AND phrase_id IN (SELECT phrase_id FROM raw)"),
+    "plan_rules": """SELECT user_id, n, CASE
+  WHEN user_id % 7 = 0 THEN 'unsupported collection plan schema 2; expected 1' WHEN user_id % 7 = 1 THEN 'collection campaign must not be empty'
+  WHEN n = 0 THEN 'collection plan must contain at least one prompt' ELSE problem END AS problem
+FROM (
+  SELECT user_id, CASE WHEN user_id % 7 = 2 THEN 0 ELSE count(*) END AS n, min(CASE
+      WHEN user_id % 7 = 3 AND event_id % 5 = 0 THEN {'k': k, 'w': 'collection prompt ID and transcript must not be empty'}
+      WHEN event_type = 'error' AND user_id % 7 = 4 THEN {'k': k, 'w': 'unsupported expected intent ''no_speech'''}
+      WHEN again AND user_id % 7 = 5 THEN {'k': k, 'w': 'duplicate collection prompt ID ''' || id || ''''} END).w AS problem
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, row_number() OVER (PARTITION BY user_id, id ORDER BY event_id) > 1 AS again
+    FROM (SELECT *, CASE WHEN user_id % 7 = 5 THEN CAST(event_id % 50 AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS id FROM events))
+  GROUP BY user_id)""",
     "wav_files": f"WITH {_SAMPLES} SELECT id, count(*) AS n_samples, CAST(sum(s) AS BIGINT) AS total, {RATE} AS sample_rate_hz, max(channels) AS channels FROM whole GROUP BY id",
     "recording_levels": f"""WITH {_SAMPLES},
 mixed AS (SELECT id, k // channels AS f, sum(s / 32768.0::DOUBLE) / max(channels) AS x FROM whole GROUP BY 1, 2),

@@ -166,29 +166,33 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def check_plan(plans: DataFrame) -> None:
-    """Raise InvalidPlan for the first broken rule, in the rules' order."""
-    prompt = F.col("prompt")
-    prompts = plans.select(F.posexplode("prompts").alias("place", "prompt"))
-    blank = (trimmed(F.coalesce(prompt["id"], F.lit(""))) == "") | (trimmed(F.coalesce(prompt["transcript"], F.lit(""))) == "")
-    first = Window.partitionBy(prompt["id"]).orderBy("place")
-    broken = (
-        prompts.withColumn("again", F.row_number().over(first) > 1)
-        .withColumn(
-            "why",
-            F.when(blank, "collection prompt ID and transcript must not be empty")
-            .when(~F.coalesce(prompt["intent"], F.lit("")).isin(*S.PROMPT_INTENTS), F.concat(F.lit("unsupported expected intent '"), F.coalesce(prompt["intent"], F.lit("")), F.lit("'")))
-            .when(F.col("again"), F.concat(F.lit("duplicate collection prompt ID '"), prompt["id"], F.lit("'"))),
+def plan_problems(plans: DataFrame) -> DataFrame:
+    """The plans with `problem`: the first rule that each breaks, in the rules' order and that of the prompts; null if none."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    ids = F.transform("prompts", lambda p: p["id"])
+
+    def wrong(prompt: Column, place: Column) -> Column:
+        blank = (trimmed(text(prompt["id"])) == "") | (trimmed(text(prompt["transcript"])) == "")
+        return (
+            F.when(blank, F.lit("collection prompt ID and transcript must not be empty"))
+            .when(~text(prompt["intent"]).isin(*S.PROMPT_INTENTS), F.concat(F.lit("unsupported expected intent '"), text(prompt["intent"]), F.lit("'")))
+            .when(F.array_position(ids, prompt["id"]) <= place, F.concat(F.lit("duplicate collection prompt ID '"), prompt["id"], F.lit("'")))
         )
-        .where("why is not null").orderBy("place").select("why")
+
+    version = F.col("schema_version")
+    unsupported = F.concat(F.lit("unsupported collection plan schema "), text(version.cast("string")), F.lit(f"; expected {S.PLAN_VERSION}"))
+    problem = (
+        F.when(~version.eqNullSafe(F.lit(S.PLAN_VERSION)), unsupported)
+        .when(trimmed(text(F.col("campaign"))) == "", F.lit("collection campaign must not be empty"))
+        .when(F.coalesce(F.size("prompts"), F.lit(0)) <= 0, F.lit("collection plan must contain at least one prompt"))
+        .otherwise(F.try_element_at(F.filter(F.transform("prompts", wrong), lambda w: w.isNotNull()), F.lit(1)))
     )
-    head = plans.select("schema_version", "campaign", F.coalesce(F.size("prompts"), F.lit(0)).alias("n")).first()
-    if head is None or head["schema_version"] != S.PLAN_VERSION:
-        raise InvalidPlan(f"unsupported collection plan schema {head and head['schema_version']}; expected {S.PLAN_VERSION}")
-    if not (head["campaign"] or "").strip():
-        raise InvalidPlan("collection campaign must not be empty")
-    if head["n"] <= 0:
-        raise InvalidPlan("collection plan must contain at least one prompt")
-    why = broken.first()
-    if why:
-        raise InvalidPlan(why["why"])
+    return plans.withColumn("problem", problem)
+
+
+def check_plan(plans: DataFrame) -> None:
+    """Raise InvalidPlan if there is no plan, or for what the plan breaks first."""
+    checked = plan_problems(plans)
+    first = checked.where("problem is not null").first() or (None if checked.head(1) else {"problem": "no collection plan"})
+    if first:
+        raise InvalidPlan(first["problem"])
