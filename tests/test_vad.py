@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from utterscope.operators.vad import Detector, VadConfig, detect, first_loud_run, followed, segments
+from utterscope.operators.vad_chunks import detect_long
 from utterscope.streaming.vad_stream import append_stream, detect_stream
 
 SMALL = dict(calibration_windows=3, speech_start_windows=2, speech_end_windows=2, max_wait_windows=4, max_speech_windows=5, start_margin_db=12, end_margin_db=6, minimum_start_level_dbfs=-100, minimum_end_level_dbfs=-110, noise_ema_alpha=0.0)
@@ -149,3 +150,14 @@ def test_segments_have_a_pre_roll(spark):
 def test_no_windows(spark):
     df = spark.createDataFrame([], "session string, window_idx bigint, dbfs float, end_frame bigint")
     assert detect(df).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [90, 5000])
+def test_chunks_in_parallel_give_the_events_of_the_fold(spark, chunk):
+    config = VadConfig(**{**SMALL, "noise_ema_alpha": 0.1, "minimum_start_level_dbfs": -70, "minimum_end_level_dbfs": -80})
+    rows = [r for r in _levels(400, 3) if not (r[0] == "s1" and 100 <= r[1] < 170)]  # whole chunks are missing
+    df = spark.createDataFrame(rows, "session string, window_idx bigint, dbfs float, end_frame bigint")
+    text = lambda found: sorted(map(str, found.select(sorted(found.columns)).collect()))
+    want = text(detect(df, "session", config))
+    assert text(detect_long(df, "session", config, chunk)) == want and len(want) > 50
+    assert detect_long(df.limit(0), "session", config, chunk).count() == 0

@@ -16,6 +16,7 @@ from utterscope.functions.stats import distribution
 from utterscope.functions.text import file_stem, words
 from utterscope.functions.wer import word_errors
 from utterscope.operators import collect, levels, process, review, vad
+from utterscope.operators.vad_chunks import detect_long
 from utterscope.plans import adapter, oracles
 from utterscope.plans.queries import SMALL, _frames, _vad_segments
 from utterscope.sources import jsonl, wav
@@ -218,6 +219,12 @@ def vad_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sink}/table")
 
 
+def vad_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector's events with every session cut into chunks of 20 windows that begin at once."""
+    found = levels.levels_of_frames(_frames(spark, sf_dir), ["session"], "frame", "x", 2)
+    return detect_long(found, "session", SMALL, 20)
+
+
 def nan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact order statistics of values of which some are no numbers, infinite or a negative zero."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -230,7 +237,7 @@ def nan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_log": event_log, "event_lines": event_lines, "label_log": label_log, "analytics_copy": analytics_copy, "plan_scan": plan_scan, "plan_rules": plan_rules, "wav_files": wav_files,
     "recording_levels": recording_levels, "mono_recordings": mono_recordings, "pcm_samples": pcm_samples, "stt_lengths": stt_lengths, "frame_counts": frame_counts,
-    "resampled_values": resampled_values, "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "nan_distribution": nan_distribution,
+    "resampled_values": resampled_values, "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "vad_chunks": vad_chunks, "nan_distribution": nan_distribution,
 }
 
 _I16 = "CAST(round(greatest(least({0}, 1.0), -1.0) * 32767) AS INTEGER)"
@@ -322,6 +329,7 @@ table_(a, b, x, cells) AS (
 ends AS (SELECT t.a, t.b, cells[len(cells)] AS e FROM table_ t JOIN said r ON r.phrase_id = t.a WHERE x = len(r.w))
 SELECT a, b, n, CAST(e.c AS INTEGER) AS edits, CAST(e.s AS INTEGER) AS substitutions, CAST(e.d AS INTEGER) AS deletions, CAST(e.i AS INTEGER) AS insertions FROM pairs JOIN ends USING (a, b)""",
     "vad_stream": oracles.ORACLES["vad_events"],
+    "vad_chunks": oracles.ORACLES["vad_events"],
     "nan_distribution": """SELECT event_type, count(*) AS count, min(v) AS minimum, (max(v) FILTER (k = (n - 1) // 2) + max(v) FILTER (k = n // 2)) / 2 AS median,
   max(v) FILTER (k = ceil(n * 0.95) - 1) AS percentile_95, isnan(max(v)) AS ends_in_nan
 FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS k
