@@ -67,7 +67,7 @@ def test_append_round_trip_and_null_rules(spark, tmp_path):
     want = events.selectExpr(*[c if c in events.columns else f"null as {c}" for c in back.columns])
     text = lambda df: sorted(str(r) for r in df.collect())
     assert text(back) == text(spark.createDataFrame(want.rdd, back.schema))
-    line = json.loads(spark.read.text(str(tmp_path / "log")).where("value like '%evt-00000000%'").first()[0])
+    line = json.loads(numbered_lines(spark, str(tmp_path / "log")).select("value").where("value like '%evt-00000000%'").first()[0])
     assert "provenance" not in line and "collection" not in line and line["processing_error"] is None
     labels = adapter.labels(spark, "/root/testdata/sf0.001").drop("label_seq")
     append_labels(labels, str(tmp_path / "labels"))
