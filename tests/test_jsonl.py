@@ -120,6 +120,31 @@ def test_timers_and_model(spark):
     assert heard.first()["transcript"] == "2 words"
 
 
+def load_noting():
+    import os
+    import tempfile
+
+    with open(f"{tempfile.gettempdir()}/loads-of-{os.environ['USER_OF_LOADS']}", "a") as f:
+        f.write(f"{os.getpid()}\n")
+    return lambda samples: "said"
+
+
+def test_a_model_is_loaded_once_by_a_process(tmp_path, monkeypatch):
+    import tempfile
+
+    monkeypatch.setenv("USER_OF_LOADS", "test")
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    assert {process.loaded(load_noting)(None) for _ in range(3)} == {"said"}
+    assert len((tmp_path / "loads-of-test").read_text().split()) == 1
+
+
+def test_transcripts_need_one_model_and_samples(spark):
+    rows = spark.sql("select 'a' as id, cast(null as array<float>) as samples")
+    assert process.transcribe(rows, lambda s: "x").first()["transcript"] is None
+    with pytest.raises(ValueError):
+        process.transcribe(rows)
+
+
 def test_report(spark, tmp_path):
     events = write(tmp_path / "events.jsonl", event(transcript="включи музыку", prediction={"intent": "unknown", "slots": {}}, audio_path="a.wav", vad={"speech_windows": 10, "duration_ms": 200, "noise_floor_dbfs": -50.25, "end_reason": "silence"}), event(id="b", transcript="[шум]", vad={"speech_windows": 2}), event(id="c", execution_result={"status": "rejected"}))
     labels = write(tmp_path / "labels.jsonl", json.dumps({**LABEL, "corrected_transcript": "включи эту музыку"}), json.dumps({**LABEL, "event_id": "b", "actual_speech": False, "correct_intent": "no_speech", "corrected_transcript": None}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,33 @@ def timers(events: DataFrame, clock: str | None = None) -> DataFrame:
     return kept.select(F.col("id").alias("event_id"), seconds.alias("duration_seconds"), due, *([clock] if clock else []))
 
 
-def transcribe(recordings: DataFrame, model, columns: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Add `transcript` by a speech model: a picklable function from (samples, 16 kHz mono floats) to text, run in batches."""
+_models: dict[tuple[str, str], Callable] = {}
+
+
+def loaded(load: Callable[[], Callable]) -> Callable:
+    """The model that `load` gives, loaded once a worker process."""
+    key = (load.__module__, load.__qualname__)
+    if key not in _models:
+        _models[key] = load()
+    return _models[key]
+
+
+def transcribe(recordings: DataFrame, model: Callable | None = None, columns: tuple[str, ...] = ("id",), load: Callable[[], Callable] | None = None) -> DataFrame:
+    """Add `transcript` by a speech model: a function from samples (mono floats at 16 kHz) to text, run in batches.
+
+    A small model is given as `model` and sent along; a large one by `load`, a named function that workers call once. Recordings
+    without samples have no transcript.
+    """
     import pandas as pd
 
+    if (model is None) == (load is None):
+        raise ValueError("either a model or a function that loads one")
     fields = ", ".join(f"`{c}` {recordings.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({**{c: batch[c] for c in columns}, "transcript": [model(s).strip() for s in batch["samples"]]})
+            said = model or loaded(load)
+            texts = [None if s is None else said(s).strip() for s in batch["samples"]]
+            yield pd.DataFrame({**{c: batch[c] for c in columns}, "transcript": texts})
 
     return recordings.select(*columns, "samples").mapInPandas(run, f"{fields}, transcript string")

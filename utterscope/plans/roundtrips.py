@@ -163,6 +163,17 @@ def resampled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "rate", F.col("n").cast("bigint").alias("n"), F.round("y", 4).alias("y"))
 
 
+def load_counter() -> Callable:
+    """A stand-in for a speech model: it says how many samples are loud, and how many there are."""
+    return lambda samples: f" {int((samples > 0.1).sum())} of {len(samples)}\n"
+
+
+def model_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model that workers load makes of the recordings."""
+    mono = _recordings(spark, sf_dir).select("id", audio.mono(F.col("samples"), F.col("channels")).alias("samples"))
+    return process.transcribe(mono, load=load_counter)
+
+
 def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of durations, windows of milliseconds, starts with their pre-roll and file stems."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -237,7 +248,7 @@ def nan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_log": event_log, "event_lines": event_lines, "label_log": label_log, "analytics_copy": analytics_copy, "plan_scan": plan_scan, "plan_rules": plan_rules, "wav_files": wav_files,
     "recording_levels": recording_levels, "mono_recordings": mono_recordings, "pcm_samples": pcm_samples, "stt_lengths": stt_lengths, "frame_counts": frame_counts,
-    "resampled_values": resampled_values, "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "vad_chunks": vad_chunks, "nan_distribution": nan_distribution,
+    "resampled_values": resampled_values, "model_transcripts": model_transcripts, "segment_telemetry": segment_telemetry, "prompted_events": prompted_events, "decided_labels": decided_labels, "phrase_errors": phrase_errors, "vad_stream": vad_stream, "vad_chunks": vad_chunks, "nan_distribution": nan_distribution,
 }
 
 _I16 = "CAST(round(greatest(least({0}, 1.0), -1.0) * 32767) AS INTEGER)"
@@ -298,6 +309,9 @@ shaped AS (
 SELECT id, rate, n, round(sum(x * (0.42 + 0.5 * cos(pi() * d / half) + 0.08 * cos(2 * pi() * d / half))
   * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d * band) / (pi() * d * band) END) / max(w), 4) AS y
 FROM shaped JOIN whole_weights USING (rate, phase) GROUP BY id, rate, n""",
+    "model_transcripts": f"""WITH {_SAMPLES},
+mixed AS (SELECT id, k // channels AS k, CAST(sum(s / 32768.0::DOUBLE) / max(channels) AS FLOAT) AS x FROM whole GROUP BY id, k // channels)
+SELECT id, count_if(x > 0.1) || ' of ' || count(*) AS transcript FROM mixed GROUP BY id""",
     "frame_counts": """SELECT event_id, CAST(round(rate * 0.02::DOUBLE) AS BIGINT) AS window_frames, CAST(ceil(floor(value) / 20) AS BIGINT) AS windows,
   greatest(0, event_id - CAST(round(rate * 0.3::DOUBLE) AS BIGINT)) AS start, strftime(ts, '%Y-%m-%dT%H-%M-%S-%gZ') AS stem, event_id % 12 >= 7 AS long_enough
 FROM (SELECT *, CAST(user_id * 331 % 48000 + 1 AS DOUBLE) AS rate FROM events)""",
