@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import small_batches, table
+from utterscope.llm.common import small_batches, spread, table
 from utterscope.llm.token_count import WHITE, default_vocabulary
 
 #: Words of a text that are looked up at once.
@@ -321,7 +321,7 @@ def decode(df: DataFrame, ids: str = "ids", keep: Sequence[str] = ("doc_id",), o
 
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents there and back, as counts and digests."""
-    ids = encode(table(spark, sf_dir, "documents"))
+    ids = encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
     kept = ["doc_id", "n_tokens", "ids_sha256"]
     decoded = decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), keep=kept, out="decoded")

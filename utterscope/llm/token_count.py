@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from utterscope.llm.common import map_texts, table
+from utterscope.llm.common import map_texts, spread, table
 
 #: Unicode White_Space, as the pre-tokenizer's \s has it. Fixed values.
 WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -119,4 +119,4 @@ def token_counts(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
