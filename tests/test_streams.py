@@ -283,3 +283,24 @@ def test_a_stream_of_frames_goes_on_after_a_restart(spark, tmp_path):
             break
     got = sorted((r["session"], r["window_idx"], r["rms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((k, i, float(x)) for k, s, *_ in rows for i, x in enumerate(window_levels(np.array(s, np.int16), 1, 20)))
+
+
+def test_short_files_share_tasks_and_are_listed_once(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"{k}.wav").write_bytes(riff([k] * 50))
+    tasks = recordings.PieceReader({"path": str(tmp_path), "splitBytes": "64"}).partitions()
+    assert len(tasks) <= 70
+    covered = sorted((path, a, b) for t in tasks for path, _, a, b in t.ranges)
+    assert [a for _, a, _ in covered] == [0 if k == 0 or covered[k - 1][0] != p else covered[k - 1][2] for k, (p, *_) in enumerate(covered)]
+    assert sum(b - a for _, a, b in covered) == 300 * 144
+    stream = recordings.PieceStream({"path": str(tmp_path)})
+    assert len(stream.partitions({"frame": 0}, {"frame": 40})) <= 70
+    monkeypatch.setattr(recordings, "_files", None)  # tasks don't list
+    reader = recordings.PieceReader({"path": str(tmp_path), "splitBytes": "64", "pieceWindows": "1"})
+    got = [r for t in tasks for batch in reader.read(t) for r in batch.to_pylist()]
+    assert sorted((r["session"], r["start_frame"]) for r in got) == sorted((str(k), a) for k in range(300) for a in (0, 20, 40))
+
+
+def test_a_long_file_is_dealt_by_its_splits():
+    got = recordings.dealt([("a", 1 << 30), ("b", 100)], 64 << 20, 64)
+    assert max(sum(b - a for _, _, a, b in own) for own in got) <= 65 << 20 and len(got) >= 16

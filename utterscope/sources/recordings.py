@@ -2,13 +2,15 @@
 
 A Python data source that reads the header of a 16-bit PCM file (RIFF, and RF64 beyond 4 GB) and then only the byte range of a
 piece, so no task holds a recording. In a batch, files are split by bytes like other files, and a piece is read by the task in
-whose split it begins; pieces are whole windows long, so levels of pieces are the levels of the recording. In a stream, all
+whose split it begins; pieces are whole windows long, so levels of pieces are the levels of the recording. A task takes a run of
+splits, of one file or many, as a short file costs a task more than its bytes; files are listed once, by the planner. In a stream, all
 recordings play side by side: an offset is a number of frames, and a trigger takes at most so many of each recording. The
 engine doesn't tell a source where a restarted query stands; with a `progress` file, which the source writes as it plans a batch, the
 bound holds for the first trigger of a run, too (and a run that takes what is available takes one such step).
 
 Options: `path` (a folder or a file; a URI of a file system that driver and tasks reach, or a shared mount), `pieceWindows`
-(windows a piece), `windowSeconds`, `splitBytes` (batch), `maxFrames` (stream, a trigger) and `progress` (stream).
+(windows a piece), `windowSeconds`, `splitBytes` (batch), `minTasks` (short files are dealt to so many), `maxFrames` (stream, a
+trigger) and `progress` (stream).
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ from utterscope.functions.audio import WINDOW_SECONDS, frames_for
 from utterscope.operators.levels import levels_of_recordings
 
 NAME = "wav_pieces"
+#: Bytes of a task, and bytes that opening a file is worth.
+TASK_BYTES = 64 << 20
+FILE_BYTES = 64 << 10
+#: Samples and pieces of an Arrow batch: with the piece that reaches a bound it ends.
+BATCH_SAMPLES = 1 << 20
+BATCH_PIECES = 1024
 PIECES = "session string, start_frame bigint, samples array<smallint>, sample_rate_hz int, channels int, session_ended boolean"
 
 
@@ -72,9 +80,31 @@ def read_header(f, size: int) -> Header:
 
 @dataclass
 class Part(InputPartition):
-    path: str
-    first: int
-    end: int
+    """Ranges of a task: (path, size, first, end), in bytes of a file's splits or in frames of a stream."""
+
+    ranges: list[tuple[str, int, int, int]]
+
+
+def dealt(files: list[tuple[str, int]], split: int, least: int) -> list[list[tuple[str, int, int, int]]]:
+    """Runs of whole splits, one a task: of TASK_BYTES or, where that makes fewer than `least` tasks, of less."""
+    files = [(path, size) for path, size in files if size]
+    most = min(TASK_BYTES, sum(size + FILE_BYTES for _, size in files) / least)
+    out: list[list] = []
+    room = 0.0
+    for path, size in files:
+        own = min(split, size)
+        cost = own * (size + FILE_BYTES) / size
+        at = 0
+        while at < size:
+            if room <= 0:
+                out.append([])
+                room = most
+            count = max(1, int(room // cost))
+            end = min(size, at + count * own)
+            out[-1].append((path, size, at, end))
+            room -= cost * (end - at) / own
+            at = end
+    return out
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -93,25 +123,40 @@ class _Pieces:
         self.path = options["path"]
         self.windows = int(options.get("pieceWindows", 3000))
         self.seconds = float(options.get("windowSeconds", WINDOW_SECONDS))
+        self.least = int(options.get("minTasks", 64))
 
     def step(self, header: Header) -> int:
         return self.windows * max(1, int(header.rate * self.seconds + 0.5))
 
-    def rows(self, path: str, ranges) -> Iterator[pa.RecordBatch]:
-        """A row for each (first, end) frame range that `ranges` makes of the header."""
-        system, files = _files(self.path)
-        size = dict(files)[path]
-        session = path.rsplit("/", 1)[-1].removesuffix(".wav")
-        with system.open_input_file(path) as f:
-            h = read_header(f, size)
-            for first, end in ranges(h):
-                f.seek(h.data_at + first * 2 * h.channels)
-                samples = np.frombuffer(f.read((end - first) * 2 * h.channels), "<i2").astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([session]), pa.array([first], pa.int64()), pa.array([samples], pa.list_(pa.int16())), pa.array([h.rate], pa.int32()),
-                     pa.array([h.channels], pa.int32()), pa.array([end == h.n_frames])],
-                    names=["session", "start_frame", "samples", "sample_rate_hz", "channels", "session_ended"],
-                )
+    def rows(self, part: Part, ranges) -> Iterator[pa.RecordBatch]:
+        """A row for each (first, end) frame range that `ranges` makes of a header and a range of the part."""
+        system, _ = _system(self.path)
+        held: list[tuple] = []
+        size = 0
+        for path, length, first, end in part.ranges:
+            session = path.rsplit("/", 1)[-1].removesuffix(".wav")
+            with system.open_input_file(path) as f:
+                h = read_header(f, length)
+                for a, b in ranges(h, first, end):
+                    f.seek(h.data_at + a * 2 * h.channels)
+                    samples = np.frombuffer(f.read((b - a) * 2 * h.channels), "<i2").astype(np.int16)
+                    held.append((session, a, samples, h.rate, h.channels, b == h.n_frames))
+                    size += len(samples)
+                    if size >= BATCH_SAMPLES or len(held) >= BATCH_PIECES:
+                        yield _batch(held)
+                        held, size = [], 0
+        if held:
+            yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    session, start, samples, rate, channels, ended = zip(*rows)
+    places = np.cumsum([0, *map(len, samples)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(session, pa.string()), pa.array(start, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(samples))),
+         pa.array(rate, pa.int32()), pa.array(channels, pa.int32()), pa.array(ended, pa.bool_())],
+        names=["session", "start_frame", "samples", "sample_rate_hz", "channels", "session_ended"],
+    )
 
 
 class PieceReader(DataSourceReader, _Pieces):
@@ -120,17 +165,17 @@ class PieceReader(DataSourceReader, _Pieces):
         self.split = int(options.get("splitBytes", 64 << 20))
 
     def partitions(self) -> list[Part]:
-        return [Part(p, at, min(at + self.split, size)) for p, size in _files(self.path)[1] for at in range(0, size, self.split)]
+        return [Part(own) for own in dealt(_files(self.path)[1], self.split, self.least)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        def ranges(h: Header) -> Iterator[tuple[int, int]]:
+        def ranges(h: Header, first: int, end: int) -> Iterator[tuple[int, int]]:
             step = self.step(h)
             width = step * 2 * h.channels
-            for k in range(max(0, -(-(part.first - h.data_at) // width)), max(0, -(-(part.end - h.data_at) // width))):
+            for k in range(max(0, -(-(first - h.data_at) // width)), max(0, -(-(end - h.data_at) // width))):
                 if k * step < h.n_frames:
                     yield k * step, min((k + 1) * step, h.n_frames)
 
-        return self.rows(part.path, ranges)
+        return self.rows(part, ranges)
 
 
 class PieceStream(DataSourceStreamReader, _Pieces):
@@ -163,15 +208,17 @@ class PieceStream(DataSourceStreamReader, _Pieces):
             system.create_dir(base.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(base) as f:
                 f.write(json.dumps(end).encode())
-        return [Part(p, start["frame"], end["frame"]) for p, size in _files(self.path)[1] if size // 2 > start["frame"]]
+        sizes = {p: size for p, size in _files(self.path)[1] if size // 2 > start["frame"]}
+        steps = [(p, min(size, 4 * (end["frame"] - start["frame"]))) for p, size in sizes.items()]
+        return [Part([(p, sizes[p], start["frame"], end["frame"]) for p, *_ in own]) for own in dealt(steps, TASK_BYTES, self.least)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        def ranges(h: Header) -> Iterator[tuple[int, int]]:
-            end = min(part.end, h.n_frames)
-            for first in range(part.first, end, self.step(h)):
-                yield first, min(first + self.step(h), end)
+        def ranges(h: Header, first: int, end: int) -> Iterator[tuple[int, int]]:
+            end = min(end, h.n_frames)
+            for a in range(first, end, self.step(h)):
+                yield a, min(a + self.step(h), end)
 
-        return self.rows(part.path, ranges)
+        return self.rows(part, ranges)
 
 
 class WavPieces(DataSource):
