@@ -115,3 +115,17 @@ def test_resampling_short_and_odd_signals():
     assert len(resampled(np.zeros(0), 48_000)) == 0 and len(resampled(np.ones(1), 48_000)) == 1 and len(resampled(np.ones(2), 8_000)) == 4
     with pytest.raises(ValueError):
         resampled(np.ones(4), 0)
+
+
+def test_samples_go_back_in_parts():
+    import pandas as pd
+
+    rows = (pd.Series([np.ones(n) if n else None for n in [0, 5, 7, 0, 3, 20, 1]]), pd.Series([2] * 7))
+    got = list(audio.in_parts(iter([rows, rows]), lambda s, k: np.repeat(s, k), 20))
+    assert [[None if x is None else len(x) for x in part] for part in got] == 2 * [[None, 10, 14], [None, 6, 40], [2]]
+
+
+def test_a_batch_of_recordings_is_prepared_in_parts(spark, monkeypatch):
+    df = spark.range(60).coalesce(1).selectExpr("id", "if(id % 7 = 3, null, transform(sequence(1, 40000 + cast(id as int)), x -> cast(x % 9000 as smallint))) as samples", "500 as rate", "1 as channels")
+    got = df.select("id", audio.prepare_for_stt("samples", "rate", "channels").alias("x")).selectExpr("id", "size(x) as n").collect()
+    assert {r["id"]: r["n"] for r in got} == {i: None if i % 7 == 3 else (40000 + i) * 32 for i in range(60)}
