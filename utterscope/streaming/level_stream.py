@@ -13,19 +13,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from utterscope.functions.audio import WINDOW_SECONDS, dbfs, frames_for
 from utterscope.operators.levels import window_levels
-from utterscope.streaming.state import ENDED, SessionProcessor, in_order, with_state
+from utterscope.streaming.state import ENDED, SessionProcessor, with_state
 
 LEVELS = "session string, window_idx bigint, rms float, end_frame bigint"
 
 
-def _joined(chunks: pd.DataFrame, tail: np.ndarray, tail_frame: int, channels: int) -> Iterator[tuple[int, np.ndarray]]:
+def _joined(frames: np.ndarray, chunks: np.ndarray, tail: np.ndarray, tail_frame: int, channels: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first frame, samples) of the stretches without gaps of the tail and the chunks, overlaps left out."""
     start, parts, upto = tail_frame, [tail], tail_frame + len(tail) // channels
-    for frame, samples in zip(chunks["start_frame"].tolist(), chunks["samples"]):
+    for frame, samples in zip(frames.tolist(), chunks):
         own = np.asarray(samples, np.int16)
         if frame > upto:
             yield start, np.concatenate(parts)
@@ -38,33 +37,46 @@ def _joined(chunks: pd.DataFrame, tail: np.ndarray, tail_frame: int, channels: i
 
 class LevelProcessor(SessionProcessor):
     HEAD = "last_chunk bigint, tail_frame bigint"
-    ITEM = "sample int"
+    ITEM = "samples array<int>"
+    POSITION = "start_frame"
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def take(self, session: str | None, rows: dict[str, np.ndarray]) -> list[tuple]:
+        """(session, first window, size, levels) of each stretch."""
         head = self.head.get()
         last, tail_frame = head if head else (None, None)
-        tail = np.array([r[0] for r in self.items.get()] if head else [], np.int16)
-        new = in_order(rows, "start_frame", last)
-        chunks = new[new["samples"].notna() & (new["channels"] > 0) & (new["size"] > 0)]
-        out = {"session": [], "window_idx": [], "rms": [], "end_frame": []}
-        if len(chunks):
-            channels, size = int(chunks["channels"].iloc[0]), int(chunks["size"].iloc[0])
-            for first, samples in _joined(chunks, tail, chunks["start_frame"].iloc[0] if tail_frame is None else tail_frame, channels):
+        kept = self.items.get() if head else None
+        tail = np.array(kept[0] if kept else [], np.int16)
+        new = self.since(rows, last)
+        there = np.array([x is not None for x in new["samples"]], bool) & (new["channels"] > 0) & (new["size"] > 0)
+        found = []
+        if there.any():
+            frames, chunks = new["start_frame"][there], new["samples"][there]
+            channels, size = int(new["channels"][there][0]), int(new["size"][there][0])
+            for first, samples in _joined(frames, chunks, tail, int(frames[0]) if tail_frame is None else tail_frame, channels):
                 skip = -first % size
                 samples, first = samples[skip * channels :], int(first) + skip
                 rms = window_levels(samples, channels, size)
-                window = first // size + np.arange(len(rms))
-                for name, values in zip(out, ([key[0]] * len(rms), window.tolist(), rms.tolist(), ((window + 1) * size).tolist())):
-                    out[name] += values
+                found.append((session, first // size, size, rms))
                 tail, tail_frame = samples[len(rms) * size * channels :], first + len(rms) * size
             # a gap that begins within a window leaves its rest out: the tail then begins at the next window
         if new[ENDED].any():
-            self.forget()
-        elif len(new):
-            self.head.update((int(new["start_frame"].iloc[-1]), None if tail_frame is None else int(tail_frame)))
-            self.items.put([(x,) for x in tail.tolist()]) if len(tail) else self.items.clear()
-        frame = pd.DataFrame(out)
-        yield frame.assign(session=frame["session"].astype(object), rms=frame["rms"].astype(np.float32))
+            self.head.clear()
+            self.items.clear()
+        elif len(new["start_frame"]):
+            self.head.update((int(new["start_frame"][-1]), None if tail_frame is None else int(tail_frame)))
+            if len(tail):
+                self.items.put((tail.tolist(),))
+            elif kept:
+                self.items.clear()
+        return found
+
+    def out(self, found: list[tuple]) -> pd.DataFrame:
+        window = np.concatenate([np.zeros(0, np.int64), *[first + np.arange(len(rms)) for _, first, _, rms in found]])
+        count = [len(rms) for *_, rms in found]
+        names = np.repeat(np.array([name for name, *_ in found], object), count)
+        size = np.repeat(np.array([size for _, _, size, _ in found], np.int64), count)
+        rms = np.concatenate([np.zeros(0, np.float32), *[rms for *_, rms in found]])
+        return pd.DataFrame({"session": pd.Series(names, dtype=object), "window_idx": window, "rms": rms, "end_frame": (window + 1) * size})
 
 
 def levels_stream(chunks: DataFrame, seconds: float = WINDOW_SECONDS, idle_ms: int | None = None) -> DataFrame:
@@ -74,6 +86,6 @@ def levels_stream(chunks: DataFrame, seconds: float = WINDOW_SECONDS, idle_ms: i
         F.col("session").cast("string").alias("session"), F.col("start_frame").cast("bigint").alias("start_frame"), "samples",
         F.col("channels").cast("int").alias("channels"), frames_for(F.col("sample_rate_hz"), seconds).cast("int").alias("size"), ended.alias(ENDED),
     )
-    found = with_state(slim, "session", LevelProcessor(idle_ms), LEVELS)
+    found = with_state(slim, LevelProcessor(idle_ms), LEVELS)
     level = dbfs(F.col("rms").cast("double")).cast("float").alias("dbfs")
     return found.select("session", "window_idx", "rms", level, "end_frame")
