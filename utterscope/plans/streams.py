@@ -1,6 +1,6 @@
 """Named queries over streams, each with its SQL: what a batch of the same rows gives.
 
-Each stream reads a table in three micro-batches, in the order of its rows, so that state is carried over.
+Each stream reads a table in three runs, in the order of its rows, so that state is carried over.
 """
 
 from __future__ import annotations
@@ -25,21 +25,21 @@ from utterscope.streaming.vad_stream import append_stream, detect_stream
 PARTS = 3
 
 
-def streamed(rows: DataFrame, order: str) -> DataFrame:
-    """The rows as a stream of PARTS files, by ranges of `order`; a micro-batch takes one file."""
-    spark, path = rows.sparkSession, new_path(rows.sparkSession, "streamed")
-    low, high = rows.agg(F.min(order), F.max(order)).first()
+def table_of(rows: DataFrame, order: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `make` appends to a table from a stream of `rows`: PARTS runs of a query that go on from one another, each
+    of a range of `order`. The rows are stored once and written by many tasks, so no task has a whole range.
+    """
+    spark = rows.sparkSession
+    root = new_path(spark, "stream")
+    rows.write.parquet(f"{root}/rows")
+    kept = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+    low, high = kept.agg(F.min(order), F.max(order)).first()
     place = F.floor((F.col(order) - low) * PARTS / (high - low + 1)) if low is not None else F.lit(0)
     for part in range(PARTS):
-        rows.where(place == part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def table_of(stream: DataFrame) -> DataFrame:
-    """The rows that a stream appends to a table until its source is used up."""
-    spark, sink = stream.sparkSession, new_path(stream.sparkSession, "stream")
-    append_stream(stream, f"{sink}/table", f"{sink}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{sink}/table")
+        kept.where(place == part).write.mode("append").parquet(f"{root}/in")
+        stream = make(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+        append_stream(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
 def _wavs(spark: SparkSession, sf_dir: str) -> str | None:
@@ -89,8 +89,8 @@ def wav_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session", (F.col("chunk") * 7).alias("start_frame"), F.transform("x", lambda x: x["s"]).alias("samples"),
         F.lit(100).alias("sample_rate_hz"), F.lit(1).alias("channels"),
     )
-    levels = table_of(levels_stream(streamed(rows, "start_frame")))
-    return table_of(detect_stream(streamed(levels.select("session", "window_idx", "dbfs", "end_frame"), "window_idx"), SMALL)).select(
+    levels = table_of(rows, "start_frame", levels_stream).select("session", "window_idx", "dbfs", "end_frame")
+    return table_of(levels, "window_idx", lambda x: detect_stream(x, SMALL)).select(
         "session", "utterance", "event", "window_idx", "at_frame", "end_reason", "speech_windows", "silence_windows"
     )
 
@@ -103,7 +103,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = F.floor(F.col("value")).cast("smallint")
     samples = F.when(kind.isin("view", "click"), F.array(sample, (-sample).cast("smallint"), F.lit(1).cast("smallint")))
     rows = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("place"), command.alias("command"), samples.alias("samples"))
-    found = table_of(capture_stream(streamed(rows, "place")))
+    found = table_of(rows, "place", capture_stream)
     total = F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, s: a + s.cast("bigint") * s)
     return found.select("session", "finished_at", "began_at", "n_samples", total.alias("squares"))
 
@@ -111,8 +111,13 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timers_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timers that have fired when the events have been seen: those due before the last event's moment."""
     events = adapter.events(spark, sf_dir).select("id", F.col("moment").cast("timestamp").alias("moment"), "timestamp", "transcript", "execution_result")
-    stream = streamed(events.withColumn("second", F.unix_timestamp("moment")), "second").withWatermark("moment", "0 seconds")
-    fired = table_of(elapsed_stream(process.timers(with_timer_slots(stream), clock="moment")))
+    cores = spark.sparkContext.defaultParallelism  # a batch is few files, and phrases cost more than their bytes
+
+    def seen(stream: DataFrame) -> DataFrame:
+        told = stream.withWatermark("moment", "0 seconds").repartition(cores)
+        return elapsed_stream(process.timers(with_timer_slots(told), clock="moment"))
+
+    fired = table_of(events.withColumn("second", F.unix_timestamp("moment")), "second", seen)
     return fired.select("event_id", "duration_seconds", F.unix_timestamp("fire_at").alias("fire_at"))
 
 
