@@ -161,3 +161,16 @@ def test_chunks_in_parallel_give_the_events_of_the_fold(spark, chunk):
     want = text(detect(df, "session", config))
     assert text(detect_long(df, "session", config, chunk)) == want and len(want) > 50
     assert detect_long(df.limit(0), "session", config, chunk).count() == 0
+
+
+def test_rounds_of_short_chunks_are_few(spark, monkeypatch):
+    from utterscope.operators import vad_chunks
+
+    config = VadConfig(**{**SMALL, "minimum_start_level_dbfs": -70, "minimum_end_level_dbfs": -80})
+    df = spark.createDataFrame(_levels(600, 5), "session string, window_idx bigint, dbfs float, end_frame bigint")
+    text = lambda found: sorted(map(str, found.select(sorted(found.columns)).collect()))
+    want, paths = text(detect(df, "session", config)), []
+    made = vad_chunks.new_path
+    monkeypatch.setattr(vad_chunks, "new_path", lambda spark, name: paths.append(name) or made(spark, name))
+    assert text(detect_long(df, "session", config, 10)) == want and len(want) > 50
+    assert paths.count("wrong") <= 7  # of 60 chunks, that no state is guessed in
