@@ -229,6 +229,17 @@ def test_timers_fire_once_and_after_a_restart(spark, tmp_path):
     assert {r["event_id"]: r["fire_at"] for r in s.rows()}["c"] == at(112)
 
 
+def test_rows_without_a_timer_move_event_time(spark, tmp_path):
+    s = Stream(spark, tmp_path, TIMERS, lambda x: elapsed_stream(x.withWatermark("moment", "0 seconds")))
+    at = lambda t: spark.sql(f"select timestamp_seconds({t}) t").first()["t"]
+    began, due = at(100), at(105)
+    s.put([(f"t{i}", 5, due, began) for i in range(500)] + [("later", 90, at(190), began)])
+    s.put([("none", None, None, at(150))])
+    query = s.run()
+    assert sorted(r["event_id"] for r in s.rows()) == sorted(f"t{i}" for i in range(500))
+    assert query.lastProgress["stateOperators"][0]["operatorName"] != "transformWithStateInPandasExec"
+
+
 # --- recordings in pieces
 
 
