@@ -15,11 +15,11 @@ import xxhash
 from pyspark.sql import functions as F
 
 from utterscope.llm import components as C
-from utterscope.llm import lm_score, packing, registry, topk
+from utterscope.llm import common, lm_score, packing, registry, topk
 from utterscope.llm import sharding as SH
 from utterscope.llm import similar as SM
 from utterscope.llm import simhash as SI
-from utterscope.llm.common import cut, with_slots
+from utterscope.llm.common import cut, maybe_among, with_slots
 
 DATA = Path("/root/testdata/sf0.001")
 DOCS = "doc_id bigint, text string"
@@ -43,6 +43,21 @@ def test_slots_are_gapless(spark):
         assert own == list(range(len(own))) and len(rows) == 500
 
 
+# --- rows marked by a bitmap of keys
+
+
+@pytest.mark.parametrize("blocks", [1, 2048])
+def test_no_key_is_missed_and_few_others_are_marked(spark, monkeypatch, blocks):
+    monkeypatch.setattr(common, "BLOCKS", blocks)
+    df = spark.range(-20_000, 20_000).withColumn("a.b", F.lit("x"))
+    got = maybe_among(df, "id", cut(df.where("id % 8 = 3").select(F.col("id").alias("k"))))
+    assert got.columns == [*df.columns, "__maybe"] and got.count() == 40_000
+    keys = {r["id"] for r in df.where("id % 8 = 3").collect()}
+    marked = {r["id"] for r in got.where("__maybe").collect()}
+    assert marked >= keys and len(marked - keys) < (2000 if blocks > 1 else 10_000)
+    assert maybe_among(df, "id", cut(df.where("false").select("id"))).where("__maybe").count() == 0
+
+
 # --- sharding
 
 

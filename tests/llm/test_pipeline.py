@@ -80,6 +80,29 @@ def test_near_duplicates(spark, sf_dir):
     assert set(got) == set(reach.values())
 
 
+def shuffled(spark):
+    """Bytes that tasks have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_near_duplicates_leave_other_texts_in_place(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, rng.randbytes(15_000).hex(" ", 3), "en", "s", 1) for i in range(400)]
+    rows += [(500 + i, f"{rows[i][1]} tail", "en", "s", 1) for i in range(8)] + [(7, "another text", "en", "s", 1)] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many ids
+    try:
+        start = shuffled(spark)
+        got = P.near_duplicates(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
+        moved = shuffled(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r["doc_id"] for r in got) == list(range(400))
+    assert 0 < moved < 0.5 * sum(len(r[1]) for r in rows), moved
+
+
 def test_benchmark(spark, sf_dir):
     got, docs = stage(spark, sf_dir, "benchmark")
     assert 301 not in got and len(got) == len(docs) - 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,10 @@ from utterscope.sources.scratch import new_path, shared_folder
 CHUNK_BYTES = 512 << 10
 #: Bytes of text that go to Python at once.
 BATCH_BYTES = 8 << 20
+#: maybe_among: bits for each key, in blocks of Spark's bitmaps; so many blocks (8 MB) at most.
+KEY_BITS = 32
+BLOCK_BITS = 1 << 15
+BLOCKS = 1 << 11
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +57,23 @@ def remove(spark: SparkSession, paths: Sequence[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_among(df: DataFrame, key: str, keys: DataFrame, name: str = "__maybe") -> DataFrame:
+    """The rows with a boolean: true for each key of `keys` (materialised, one column), and by chance for a few others.
+
+    It tells rows apart where they are, as a bitmap of the keys' hashes goes to them: an exact join of those marked follows,
+    and only they are shuffled. The bitmap is of BLOCKS at most; for more keys more others are marked, and none is missed.
+    """
+    blocks = min(BLOCKS, max(1, ceil(keys.count() * KEY_BITS / BLOCK_BITS)))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks * BLOCK_BITS))
+    slots = keys.select(slot(F.col(keys.columns[0])).alias("__slot")).withColumn("__block", F.floor(F.col("__slot") / BLOCK_BITS))
+    bits = slots.repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg(F.col("__slot") % BLOCK_BITS).alias("__bits"))
+    own = F.col("__slot") % BLOCK_BITS
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(own / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, (own % 8).cast("int")) == 1
+    rows = df.withColumn("__slot", slot(F.col(key))).withColumn("__block", F.floor(F.col("__slot") / BLOCK_BITS))
+    return rows.join(F.broadcast(bits), "__block", "left").withColumn(name, F.coalesce(marked, F.lit(False))).select(*(f"`{c}`" for c in df.columns), name)
+
+
 def byte_chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) in runs of about `limit` bytes; a longer text is a run of its own. Null is empty."""
     start, size, run = 0, 0, []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utterscope.llm.common import cut, map_texts, table
+from utterscope.llm.common import cut, map_texts, maybe_among, table
 from utterscope.llm.components import components
 from utterscope.llm.similar import bands, digest, shingle_set, similar_duplicates
 
@@ -259,10 +259,13 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
         found = similar_duplicates(docs, text, key, shingle, distance, similar)
     else:
         found = near_duplicates(docs.where(F.col(key).isNotNull()), text, key, shingle, distance)
-    kept = found.where(F.col(key) == F.col("component_id"))
-    ids = kept.select(F.col(key).alias("__kept")).distinct()
-    once = docs.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])
-    return once.unionByName(docs.where(F.col(key).isNull()))
+    kept = F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))
+    ids = cut(found.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"), F.max(kept).alias("__kept")))
+    rows = maybe_among(docs.where(F.col(key).isNotNull()), key, ids.where("__rows > 1 or not __kept").select("__key"))
+    others = rows.where("not __maybe").drop("__maybe")  # of kept ids that one row has: they stay where they are
+    ids = ids.where("__kept").select("__key")
+    once = rows.where("__maybe").drop("__maybe").join(ids, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
+    return others.unionByName(once).unionByName(docs.where(F.col(key).isNull()))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import mixed
-from utterscope.llm.common import cut, map_texts
+from utterscope.llm.common import cut, map_texts, maybe_among
 from utterscope.llm.components import components
 
 BANDS = 20
@@ -134,16 +134,17 @@ def confirmed_links(rows: DataFrame, least: float, tile: int = TILE) -> DataFram
 
     `rows` is materialised and has a candidate `component`, a `node` and its shingle set `own`.
     """
-    sizes = cut(rows.groupBy("component").count())
+    sizes = cut(rows.groupBy("component").count().where(F.col("count") > tile))
     part = lambda n: F.ceil(F.col(n) / F.lit(tile)).cast("int")
     dealt = (
-        rows.join(sizes, "component").withColumn("parts", part("count")).withColumn("label", F.col("node"))
+        rows.join(F.broadcast(sizes), "component", "left")  # a row for `tile` candidates at most, so that sets stay in place
+        .withColumn("parts", F.coalesce(part("count"), F.lit(1))).withColumn("label", F.col("node"))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("bucket", F.xxhash64("component", "part"))
     )
     links = _linked(dealt, least)
     large = dealt.where("parts > 1")
-    if not sizes.where(F.col("count") > tile).count():
+    if not sizes.count():
         return links
     tops = cut(_labelled(large, links).where("node = label"))
     groups = tops.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -176,8 +177,9 @@ def similar_duplicates(docs: DataFrame, text: str, key: str, shingle: int, dista
     stars = dealt.join(meets, "band").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     candidates = cut(components(links(nodes.select("node", "fp"), distance).unionAll(stars)))
     fields = [T.StructField("sig", T.BinaryType()), T.StructField("own", T.BinaryType())]
-    sets = map_texts(slim.join(candidates, "node"), "text", partial(_sets, shingle=shingle, hashes=shingle_hashes), fields, ["component", "node"])
-    once = cut(sets.groupBy("component", "node", "sig").agg(F.first("own").alias("own")))
+    maybe = maybe_among(slim, "node", candidates.select("node")).where("__maybe")
+    sets = map_texts(maybe, "text", partial(_sets, shingle=shingle, hashes=shingle_hashes), fields, ["node"])
+    once = cut(sets.join(candidates, "node").groupBy("component", "node", "sig").agg(F.first("own").alias("own")))
     found = components(confirmed_links(once, least))
     labelled = cut(nodes.select("sig", "node").join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id")))
     return prints.select("sig", F.col("node").alias(key)).join(labelled, "sig").select(key, "component_id")
