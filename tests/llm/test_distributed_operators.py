@@ -3,12 +3,14 @@
 import heapq
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import numpy as np
 import pytest
 import xxhash
@@ -488,6 +490,64 @@ def test_blocks_hold_runs_of_whole_texts(monkeypatch):
     assert all(len(b.column(1)[0]) == 1 or sum(len(r["text"] or "") + 1 for r in b.column(1)[0].as_py()) <= 100 for b in found)
 
 
+def traced_peak(run):
+    """Peak bytes that Python and numpy allocate in a call."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("texts", [["some words " * 100] * 8000, ["some words " * 800_000]])
+def test_hashing_texts_takes_memory_for_their_words_only(texts):
+    size = sum(map(len, texts))
+    assert traced_peak(lambda: lm_score._keys(texts)) < 16 * size
+
+
+def test_hashes_are_the_same_over_any_length(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("xyz"[: rng.randint(1, 3)] * rng.randint(1, 9) for _ in range(rng.randint(0, 50))) for _ in range(40)] + [None, "", " \n", "w" * 99]
+    want = lm_score._keys(texts)
+    for limit in (1, 7, 64):
+        monkeypatch.setattr(lm_score, "CHUNK_BYTES", limit)
+        assert all((a == b).all() for a, b in zip(lm_score._keys(texts), want))
+
+
+def test_a_part_takes_a_bounded_number_of_bytes_for_each_entry():
+    rng, n = np.random.default_rng(1), 40_000
+    rows = [(b, lm_score._planes(np.diff(np.unique(rng.integers(0, 1 << 50, n, np.uint64)), prepend=np.uint64(0))), lm_score._planes(np.ones(n, np.uint32))) for b in range(20)]
+    assert traced_peak(lambda: [None for _ in lm_score._answered(1, rows)]) < 60 * 20 * n
+
+
+@pytest.mark.parametrize("values", [[0], [1, 255], [256, 0, 7], [(1 << 64) - 1, 1 << 40]])
+def test_planes_give_back_their_numbers(values):
+    assert lm_score._numbers(lm_score._planes(np.array(values, np.uint64))).tolist() == values
+
+
+def test_stored_blocks_are_in_small_groups_of_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lm_score, "written", lambda df, *a: kept.append(made := common.stored(df, *a)) or made[0])
+    noise = F.expr("concat_ws(' ', transform(sequence(1, 3000), x -> sha2(concat(id, ':', x), 256)))")
+    df = spark.range(0, 160, 1, 1).select(F.col("id").alias("doc_id"), noise.alias("text"))
+    scores = lm_score.cross_entropy_difference(df, df.limit(1))
+    (file,) = Path(kept[0][1].removeprefix("file:")).glob("*.parquet")
+    found = pq.ParquetFile(file).metadata
+    assert found.num_rows >= 10 and max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < (8 << 20) + 2 * lm_score.BLOCK_BYTES
+    assert scores.count() == 160
+
+
+def test_parts_follow_the_target_too(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lm_score, "written", lambda df, *a: kept.append(made := common.written(df, *a)) or made)
+    monkeypatch.setattr(lm_score, "PART_ENTRIES", 64)
+    df = spark.createDataFrame([(1, "a b")], DOCS)
+    target = spark.createDataFrame([(" ".join(f"w{i}" for i in range(4000)),)], "text string")
+    assert lm_score.cross_entropy_difference(df, target, part_bits=1).count() == 1
+    assert kept[1].where("block is null").count() > 8
+
+
 def test_scores_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert lm_score.cross_entropy_difference(empty, empty).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from math import ceil
 
 import pyarrow as pa
@@ -39,16 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows, written as Parquet under the shared checkpoint folder and read back, and the path."""
+def stored(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -> tuple[DataFrame, str]:
+    """The rows, written as Parquet (with the writer's options) under the shared checkpoint folder and read back, and the path."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    return stored(df, name)[0]
+def written(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -> DataFrame:
+    return stored(df, name, options)[0]
 
 
 def remove(spark: SparkSession, paths: Sequence[str]) -> None:

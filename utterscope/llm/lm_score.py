@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import mixed, run_hashes, runs
-from utterscope.llm.common import small_batches, table, written
+from utterscope.llm.common import CHUNK_BYTES, small_batches, table, written
 
 ALPHA = 20.0
 BLOCK_BYTES = 2 << 20
@@ -42,6 +42,8 @@ MOST_BLOCK_BYTES = 32 << 20
 LEAST_ENTRIES = 64
 PART_ENTRIES = 1 << 21
 PART_BITS = 8
+#: How blocks are stored: looked at after each row, not after 100, as their pages and groups of rows are held in memory whole.
+STORED = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 8 << 20}
 ANSWER_ENTRIES = 1 << 19
 #: White space that parts words, and capital letters. Fixed values.
 _SPACE = np.zeros(256, bool)
@@ -50,6 +52,14 @@ _MARK = np.uint64(0x5851F42D4C957F2D)
 WORDS, PAIRS = 0, 1
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], made over about CHUNK_BYTES at a time: a step's arrays are many times its text."""
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + CHUNK_BYTES, CHUNK_BYTES)).tolist()
+    return np.concatenate([
+        run_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(cuts, cuts[1:]) if a < b
+    ] or [np.zeros(0, np.uint64)])
+
+
 def _keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens and of all bigrams, text after text, and where each text's begin (and the last one's end).
 
@@ -58,7 +68,7 @@ def _keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     starts, ends = runs(~_SPACE[data])
-    hashes = run_hashes(data, starts, ends)
+    hashes = _hashes(data, starts, ends)
     upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))  # words of the texts so far
     marks = upto + np.arange(len(raw))
     words = np.full(len(hashes) + len(raw), _MARK)
@@ -70,13 +80,19 @@ def _keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of equal bytes, which the shuffle's compression packs well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """Unsigned numbers as a count of planes and planes of equal bytes, the low ones first, without those that are all zero."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _length(planes: bytes) -> int:
+    return (len(planes) - 1) // planes[0]
 
 
-def _numbers(planes: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _numbers(planes: bytes) -> np.ndarray:
+    made = np.zeros((_length(planes), 8), np.uint8)
+    made[:, : planes[0]] = np.frombuffer(planes, np.uint8, offset=1).reshape(planes[0], -1).T
+    return made.view("<u8").ravel()
 
 
 def _parted(own: np.ndarray, bits: int) -> np.ndarray:
@@ -99,7 +115,7 @@ def _entries(blocks: Iterator[tuple[int | None, list[str | None]]], bits: int) -
             for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
                     steps = np.diff(own[a:b], prepend=np.uint64(0))
-                    rows.append((part * 2 + kind, block, _planes(steps), _planes(counts[a:b].astype(np.uint32))))
+                    rows.append((part * 2 + kind, block, _planes(steps), _planes(counts[a:b])))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
 
 
@@ -155,24 +171,35 @@ _ANSWER = "block long, part long, background binary, target binary, words long,
 _ANSWER_ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (x.split() for x in _ANSWER.split(", "))])
 
 
-def _answered(part: int, rows: Sequence[tuple[int | None, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-    """What one part answers to the (block, keys, counts) that it was asked."""
-    keys = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
-    counts = np.concatenate([_numbers(c, np.uint32) for _, _, c in rows]).astype(np.float64)
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    asks = np.repeat([block is not None for block, _, _ in rows], [len(k) for k in keys])
-    background = np.bincount(place, counts * asks, len(distinct)).astype(np.uint64)
-    target = np.bincount(place, counts * ~asks, len(distinct)).astype(np.uint64)
+def _answered(part: int, rows: list[tuple[int | None, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """What one part answers to the (block, keys, counts) that it was asked. The rows are taken from the list."""
+    blocks, sizes = [block for block, _, _ in rows], [_length(keys) for _, keys, _ in rows]
+    ends = np.cumsum(sizes).tolist()
+    keys, counts = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+    for end, size in zip(reversed(ends), reversed(sizes)):
+        _, own, many = rows.pop()
+        keys[end - size : end] = np.cumsum(_numbers(own), dtype=np.uint64)
+        counts[end - size : end] = _numbers(many)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    distinct = len(first) - int((keys[first] == _MARK).any())
+    del keys
+    place = np.empty(len(order), np.int32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
+    counts, asks = counts[order], np.repeat([block is not None for block in blocks], sizes)[order]
+    del order
+    background, target = (np.add.reduceat(counts * side, first, dtype=np.uint64) for side in (asks, ~asks))
+    del counts, asks, first
     out: list[tuple] = []
     if part % 2 == WORDS:
-        out.append((None, part, None, None, len(distinct) - int((distinct == _MARK).any()), int(background.sum()), int(target.sum())))
-    at = held = 0
-    for (block, _, _), own in zip(rows, keys):
-        here = place[at : at + len(own)]
-        at += len(own)
+        out.append((None, part, None, None, distinct, int(background.sum()), int(target.sum())))
+    held = 0
+    for block, end, size in zip(blocks, ends, sizes):
         if block is not None:
+            here = place[end - size : end]
             out.append((block, part, _planes(background[here]), _planes(target[here]), None, None, None))
-            held += len(own)
+            held += size
         if held > ANSWER_ENTRIES:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ANSWER_ARROW)], schema=_ANSWER_ARROW)
             out, held = [], 0
@@ -212,7 +239,7 @@ def _scored(block: pa.Table, answers: pa.Table, kept: Sequence[str], outcomes: i
         blobs = answers[side].to_pylist()
         counts = {}
         for kind in (WORDS, PAIRS):
-            answered = np.concatenate([_numbers(blobs[i], np.uint64) for i in order if parts[i] % 2 == kind])
+            answered = np.concatenate([_numbers(blobs[i]) for i in order if parts[i] % 2 == kind])
             if len(answered) != distinct[kind]:
                 raise RuntimeError(f"a block of {distinct[kind]} hashes was answered {len(answered)} counts")
             counts[kind] = answered.astype(np.float64)[places[kind]]
@@ -237,15 +264,16 @@ def cross_entropy_difference(
     small_batches(docs.sparkSession)
     names = [f"__k{i}" for i in range(len(keep))]
     plain = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col(f"`{text}`").alias("text"))
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    given = target.select(F.col(f"`{target_text}`").alias("text"))
+    size = sum(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for texts in (plain, given))
     bits = max(part_bits, (size // 8 // PART_ENTRIES).bit_length())
     limit = block_bytes if bits == part_bits else max(block_bytes, min((8 * LEAST_ENTRIES) << bits, MOST_BLOCK_BYTES))
     rows = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(plain.schema))])
-    blocks = written(plain.mapInArrow(partial(_blocks, limit=limit), rows), "texts")
+    blocks = written(plain.mapInArrow(partial(_blocks, limit=limit), rows), "texts", STORED)
     entry = "part long, block long, keys binary, counts binary"
     asked = blocks.select("block", F.col("rows.text").alias("texts")).mapInArrow(partial(_block_entries, bits=bits), entry)
-    given = target.select(F.col(f"`{target_text}`").alias("text")).mapInArrow(partial(_target_entries, bits=bits, limit=limit), entry)
-    dealt = asked.unionAll(given).repartition(F.col("part")).sortWithinPartitions("part")
+    counted = given.mapInArrow(partial(_target_entries, bits=bits, limit=limit), entry)
+    dealt = asked.unionAll(counted).repartition(F.col("part")).sortWithinPartitions("part")
     answers = written(dealt.mapInArrow(_answers, _ANSWER), "answers")
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "background_tokens", "target_tokens")]
     words, *totals = answers.where("block is null").agg(*sums).first()
