@@ -531,10 +531,10 @@ def test_stored_blocks_are_in_small_groups_of_rows(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "written", lambda df, *a: kept.append(made := common.stored(df, *a)) or made[0])
     noise = F.expr("concat_ws(' ', transform(sequence(1, 3000), x -> sha2(concat(id, ':', x), 256)))")
     df = spark.range(0, 160, 1, 1).select(F.col("id").alias("doc_id"), noise.alias("text"))
-    scores = lm_score.cross_entropy_difference(df, df.limit(1))
+    scores = lm_score.cross_entropy_difference(df, df.limit(1), block_bytes=2 << 20)
     (file,) = Path(kept[0][1].removeprefix("file:")).glob("*.parquet")
     found = pq.ParquetFile(file).metadata
-    assert found.num_rows >= 10 and max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < (8 << 20) + 2 * lm_score.BLOCK_BYTES
+    assert found.num_rows >= 10 and max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < 12 << 20
     assert scores.count() == 160
 
 

@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, options: Mapping[str, int | str] | None = None) -> tuple[DataFrame, str]:
     """The rows, written as Parquet (with the writer's options) under the shared checkpoint folder and read back, and the path."""
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, options: Mapping[str, int | str] | None = None) -> DataFrame:
     return stored(df, name, options)[0]
 
 

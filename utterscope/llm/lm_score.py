@@ -37,13 +37,15 @@ from utterscope.llm.arrays import mixed, run_hashes, runs
 from utterscope.llm.common import CHUNK_BYTES, small_batches, table, written
 
 ALPHA = 20.0
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 MOST_BLOCK_BYTES = 32 << 20
 LEAST_ENTRIES = 64
 PART_ENTRIES = 1 << 21
 PART_BITS = 8
-#: How blocks are stored: looked at after each row, not after 100, as their pages and groups of rows are held in memory whole.
-STORED = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 8 << 20}
+#: How blocks, which are compressed, are stored: sizes are looked at after each row, not after 100, as pages and groups of rows
+#: are held in memory whole. And how answers are stored.
+STORED: dict[str, int | str] = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 8 << 20, "compression": "none"}
+ANSWERS: dict[str, int | str] = {"compression": "zstd"}
 ANSWER_ENTRIES = 1 << 19
 #: White space that parts words, and capital letters. Fixed values.
 _SPACE = np.zeros(256, bool)
@@ -146,8 +148,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield made()
 
 
+def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The blocks, the rows of each compressed: they are stored, shuffled and twice sent to Python."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+    for made in _blocks(batches, limit):
+        rows = pa.RecordBatch.from_struct_array(made.column("rows").values)
+        with pa.BufferOutputStream() as to:
+            with pa.ipc.new_stream(to, rows.schema, options=options) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([made.column("block"), pa.array([to.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+
+def _unpacked(rows: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all()
+
+
 def _block_entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    return _entries(((number.as_py(), texts.values.to_pylist()) for batch in batches for number, texts in zip(*batch.columns)), bits)
+    return _entries(((number.as_py(), _unpacked(rows)["text"].to_pylist()) for batch in batches for number, rows in zip(*batch.columns)), bits)
 
 
 def _target_entries(batches: Iterator[pa.RecordBatch], bits: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -226,7 +243,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(block: pa.Table, answers: pa.Table, kept: Sequence[str], outcomes: int, totals: tuple[int, int], alpha: float) -> pa.Table:
     """The scores of one block's texts."""
-    docs = pa.Table.from_struct_array(pa.concat_arrays([rows.values for rows in block["rows"]]))
+    docs = pa.concat_tables([_unpacked(rows) for rows in block["rows"]])
     words, pairs, bounds = _keys(docs["text"].to_pylist())
     order = np.argsort(answers["part"].to_numpy(), kind="stable")
     parts = answers["part"].to_numpy()
@@ -268,13 +285,12 @@ def cross_entropy_difference(
     size = sum(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for texts in (plain, given))
     bits = max(part_bits, (size // 8 // PART_ENTRIES).bit_length())
     limit = block_bytes if bits == part_bits else max(block_bytes, min((8 * LEAST_ENTRIES) << bits, MOST_BLOCK_BYTES))
-    rows = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(plain.schema))])
-    blocks = written(plain.mapInArrow(partial(_blocks, limit=limit), rows), "texts", STORED)
+    blocks = written(plain.mapInArrow(partial(_packed, limit=limit), "block long, rows binary"), "texts", STORED)
     entry = "part long, block long, keys binary, counts binary"
-    asked = blocks.select("block", F.col("rows.text").alias("texts")).mapInArrow(partial(_block_entries, bits=bits), entry)
+    asked = blocks.mapInArrow(partial(_block_entries, bits=bits), entry)
     counted = given.mapInArrow(partial(_target_entries, bits=bits, limit=limit), entry)
     dealt = asked.unionAll(counted).repartition(F.col("part")).sortWithinPartitions("part")
-    answers = written(dealt.mapInArrow(_answers, _ANSWER), "answers")
+    answers = written(dealt.mapInArrow(_answers, _ANSWER), "answers", ANSWERS)
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "background_tokens", "target_tokens")]
     words, *totals = answers.where("block is null").agg(*sums).first()
     fields = [*plain.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background"))]
