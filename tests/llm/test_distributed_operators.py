@@ -511,7 +511,7 @@ def test_hashes_are_the_same_over_any_length(monkeypatch):
     texts = [" ".join("xyz"[: rng.randint(1, 3)] * rng.randint(1, 9) for _ in range(rng.randint(0, 50))) for _ in range(40)] + [None, "", " \n", "w" * 99]
     want = lm_score._keys(texts)
     for limit in (1, 7, 64):
-        monkeypatch.setattr(lm_score, "CHUNK_BYTES", limit)
+        monkeypatch.setattr(lm_score, "HASH_BYTES", limit)
         assert all((a == b).all() for a, b in zip(lm_score._keys(texts), want))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterscope.llm.arrays import mixed, run_hashes, runs
-from utterscope.llm.common import CHUNK_BYTES, small_batches, table, written
+from utterscope.llm.common import small_batches, table, written
 
 ALPHA = 20.0
 BLOCK_BYTES = 4 << 20
@@ -42,6 +42,8 @@ MOST_BLOCK_BYTES = 32 << 20
 LEAST_ENTRIES = 64
 PART_ENTRIES = 1 << 21
 PART_BITS = 8
+#: Bytes of text that are hashed at once: a step's arrays are many times its text.
+HASH_BYTES = 128 << 10
 #: How blocks, which are compressed, are stored: sizes are looked at after each row, not after 100, as pages and groups of rows
 #: are held in memory whole. And how answers are stored.
 STORED: dict[str, int | str] = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 8 << 20, "compression": "none"}
@@ -55,30 +57,39 @@ WORDS, PAIRS = 0, 1
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], made over about CHUNK_BYTES at a time: a step's arrays are many times its text."""
-    cuts = np.searchsorted(starts, np.arange(0, len(data) + CHUNK_BYTES, CHUNK_BYTES)).tolist()
+    """Hashes of data[start:end], made over about HASH_BYTES at a time."""
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + HASH_BYTES, HASH_BYTES)).tolist()
     return np.concatenate([
         run_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(cuts, cuts[1:]) if a < b
     ] or [np.zeros(0, np.uint64)])
 
 
-def _keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens and of all bigrams, text after text, and where each text's begin (and the last one's end).
-
-    A token's bigram is it and what stands before it, a mark for the first word; the last token is the end mark.
-    """
+def _words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, text after text, and where each text's begin (and the last one's end)."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    lines = np.cumsum([len(x) + 1 for x in raw])
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    del raw
     starts, ends = runs(~_SPACE[data])
     hashes = _hashes(data, starts, ends)
-    upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))  # words of the texts so far
-    marks = upto + np.arange(len(raw))
-    words = np.full(len(hashes) + len(raw), _MARK)
+    marks = np.searchsorted(starts, lines) + np.arange(len(lines))  # after the words of the texts so far
+    words = np.full(len(hashes) + len(lines), _MARK)
     at = np.ones(len(words), bool)
     at[marks] = False
     words[at] = hashes
-    before = np.concatenate(([_MARK], words[:-1]))
-    return words, mixed(before * np.uint64(3) + words), np.concatenate(([0], marks + 1))
+    return words, np.concatenate(([0], marks + 1))
+
+
+def _keys(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens and of all bigrams, text after text, and where each text's begin (and the last one's end).
+
+    A token's bigram is it and what stands before it, a mark for the first word; the last token is the end mark.
+    """
+    words, bounds = _words(texts)
+    pairs = np.concatenate(([_MARK], words))[:-1]
+    pairs *= np.uint64(3)
+    pairs += words
+    return words, mixed(pairs), bounds
 
 
 def _planes(values: np.ndarray) -> bytes:
